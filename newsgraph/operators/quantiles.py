@@ -67,12 +67,17 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequen
                 remaining.append((c, i))
         open_keys = remaining
 
-    exact = []
+    exact, whole = [], {}
     for (c, i), b in brackets.items():
+        if math.isinf(b["lo"]):
+            whole.setdefault(c, []).append(i)
+            continue
         at = min((b["rank"] - b["below"]) / max(b["inside"] - 1, 1), 1.0)
         exact.append(F.percentile(inside(c, b), at).alias(f"{c}|{i}"))
+    exact += [F.percentile(values[c], [probabilities[i] for i in found]).alias(c)
+              for c, found in whole.items()]
     if exact:
         row = df.agg(*exact).first()
         for c, i in brackets:
-            result[c][i] = row[f"{c}|{i}"]
+            result[c][i] = row[c][whole[c].index(i)] if i in whole.get(c, []) else row[f"{c}|{i}"]
     return result

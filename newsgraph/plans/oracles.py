@@ -377,3 +377,101 @@ for name, by in (("tone_by_location_type", "Location_Type"), ("tone_by_country",
     ORACLES[name] = f"""WITH {CLEAN} SELECT {by}, count(Tone_Overall) AS n,
         round(avg(Tone_Overall), 6) + 0.0 AS mean_tone,
         round(stddev_samp(Tone_Overall), 6) + 0.0 AS sd_tone FROM clean GROUP BY 1"""
+
+# ---- space -----------------------------------------------------------------
+
+EARTH_KM = 6371.0088
+
+
+def km(a: str, b: str) -> str:
+    """Great-circle distance; ``a`` and ``b`` have columns lat and lon."""
+    return f"""(2 * {EARTH_KM} * asin(least(1.0, sqrt(
+        power(sin(radians({b}.lat - {a}.lat) / 2), 2) + cos(radians({a}.lat))
+        * cos(radians({b}.lat)) * power(sin(radians({b}.lon - {a}.lon) / 2), 2)))))"""
+
+
+POINTS = CLEAN + """,
+pts AS (SELECT Latitude AS lat, Longitude AS lon, count(*) AS w FROM clean GROUP BY 1, 2)"""
+
+K_DISTANCE = POINTS + f""",
+dist AS (SELECT a.lat, a.lon, b.w, {km('a', 'b')} AS km FROM pts a, pts b),
+run AS (SELECT lat, lon, km, sum(w) OVER (PARTITION BY lat, lon ORDER BY km
+            RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS events FROM dist),
+kd AS (SELECT lat AS Latitude, lon AS Longitude, min(km) AS k_distance_km
+       FROM run WHERE events >= 150 GROUP BY 1, 2)"""
+
+KDE = POINTS + f""",
+grid AS (SELECT -90 + (i + 0.5) * 3.0::DOUBLE AS lat, -180 + (j + 0.5) * 3.0::DOUBLE AS lon
+         FROM range(60) r(i), range(120) c(j)),
+kde AS (
+    SELECT g.lat AS Grid_Latitude, g.lon AS Grid_Longitude,
+        round(1e6 * sum(p.w * exp(-power({km('p', 'g')}, 2) / (2 * 250.0 * 250.0)))
+              / (2 * pi() * 250.0 * 250.0 * (SELECT sum(w) FROM pts)), 6) AS density
+    FROM grid g, pts p WHERE {km('p', 'g')} <= 750.0 GROUP BY 1, 2)"""
+
+DBSCAN = POINTS + f""",
+near AS (SELECT a.lat AS alat, a.lon AS alon, b.lat AS blat, b.lon AS blon, b.w
+         FROM pts a, pts b WHERE {km('a', 'b')} <= 170.0),
+core AS (SELECT alat AS lat, alon AS lon FROM near GROUP BY 1, 2 HAVING sum(w) >= 120),
+links AS (SELECT n.* FROM near n JOIN core a ON a.lat = alat AND a.lon = alon
+                             JOIN core b ON b.lat = blat AND b.lon = blon),
+reach(lat, lon, rlat, rlon) AS (
+    SELECT lat, lon, lat, lon FROM core
+    UNION SELECT r.lat, r.lon, l.blat, l.blon FROM reach r JOIN links l
+          ON l.alat = r.rlat AND l.alon = r.rlon),
+roots AS (SELECT lat, lon, min({{'a': rlat, 'b': rlon}}) AS root FROM reach GROUP BY 1, 2),
+numbers AS (SELECT lat, lon, dense_rank() OVER (ORDER BY root) - 1 AS cluster FROM roots)"""
+
+UNITS = CLEAN + """,
+units AS (SELECT Country AS u, count(*) AS n_events, round(avg(Tone_Overall), 6) AS mean_tone,
+              round(avg(Latitude), 6) AS lat, round(avg(Longitude), 6) AS lon
+          FROM clean WHERE Country <> '' GROUP BY 1)"""
+
+MORAN = UNITS + f""",
+ranks AS (SELECT a.u, b.u AS v, row_number() OVER (PARTITION BY a.u ORDER BY {km('a', 'b')}, b.u) AS r
+          FROM units a, units b WHERE a.u <> b.u),
+weights AS (SELECT u, v, 0.25 AS weight FROM ranks WHERE r <= 4),
+measures AS (SELECT unnest(['n_events', 'mean_tone']) AS measure),
+vals AS (SELECT measure, u, CASE measure WHEN 'n_events' THEN n_events ELSE mean_tone END AS x
+         FROM units, measures),
+centred AS (SELECT measure, u, x - avg(x) OVER (PARTITION BY measure) AS z FROM vals),
+orders AS (SELECT measure, perm, z, row_number() OVER (PARTITION BY measure, perm
+               ORDER BY CASE WHEN perm = 0 THEN u ELSE md5('42:' || perm || ':' || u) END, u) AS r
+           FROM centred, range(100) p(perm)),
+seats AS (SELECT u, row_number() OVER (ORDER BY u) AS r FROM units),
+placed AS (SELECT measure, perm, u, z FROM orders JOIN seats USING (r)),
+crossed AS (SELECT a.measure, a.perm, sum(weight * a.z * b.z) AS c
+            FROM placed a JOIN weights w ON w.u = a.u
+            JOIN placed b ON b.measure = a.measure AND b.perm = a.perm AND b.u = w.v GROUP BY 1, 2),
+spread AS (SELECT measure, perm, sum(z * z) AS ss, count(*) AS n FROM placed GROUP BY 1, 2),
+moran AS (SELECT measure, perm, n, c / ss AS i FROM crossed JOIN spread USING (measure, perm))"""
+
+ORACLES |= {
+    "eps_neighbours": f"""WITH {POINTS} SELECT a.lat AS Latitude, a.lon AS Longitude,
+        b.lat AS Other_Latitude, b.lon AS Other_Longitude, round({km('a', 'b')}, 6) AS km
+        FROM pts a, pts b WHERE (a.lat < b.lat OR (a.lat = b.lat AND a.lon < b.lon))
+        AND {km('a', 'b')} <= 400""",
+    "k_distance": f"""WITH {K_DISTANCE} SELECT Latitude, Longitude,
+        round(k_distance_km, 6) AS k_distance_km FROM kd""",
+    "k_distance_curve": f"""WITH {K_DISTANCE}
+        SELECT i / 20.0::DOUBLE AS share, round(v[i + 1], 6) AS k_distance_km
+        FROM (SELECT quantile_cont(k_distance_km, [""" + ", ".join(f"{i}/20.0" for i in range(21)) + """]) AS v
+              FROM kd), range(21) r(i)""",
+    "dbscan": f"""WITH RECURSIVE {DBSCAN}
+        SELECT p.lat AS Latitude, p.lon AS Longitude, p.w AS n_events, c.lat IS NOT NULL AS is_core,
+            coalesce(c.cluster, (SELECT min(x.cluster) FROM near n JOIN numbers x
+                ON x.lat = n.blat AND x.lon = n.blon WHERE n.alat = p.lat AND n.alon = p.lon),
+                -1) AS cluster
+        FROM pts p LEFT JOIN numbers c ON c.lat = p.lat AND c.lon = p.lon""",
+    "kde_grid": f"WITH {KDE} SELECT * FROM kde",
+    "kde_hotspots": f"""WITH {KDE} SELECT * FROM kde
+        ORDER BY density DESC, Grid_Latitude, Grid_Longitude LIMIT 10""",
+    "morans_i": f"""WITH {MORAN} SELECT o.measure, o.n, round(o.i, 6) + 0.0 AS I,
+        round(-1.0 / (o.n - 1), 6) AS expected,
+        round((least(s.larger, 99 - s.larger) + 1) / 100.0::DOUBLE, 6) AS p_sim
+        FROM moran o JOIN (SELECT p.measure, count(*) FILTER (WHERE round(p.i, 12) >= round(q.i, 12)) AS larger
+            FROM moran p JOIN moran q ON q.measure = p.measure AND q.perm = 0
+            WHERE p.perm > 0 GROUP BY 1) s ON s.measure = o.measure WHERE o.perm = 0""",
+    "morans_permutation": f"""WITH {MORAN} SELECT CAST(perm AS INTEGER) AS perm, round(i, 6) + 0.0 AS I
+        FROM moran WHERE measure = 'n_events'""",
+}

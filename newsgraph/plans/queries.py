@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from newsgraph.functions import parse as P
 from newsgraph.functions.text import paragraph_text, word_count
-from newsgraph.operators import clean as C, manifest as M, pages as PG, summary as S
+from newsgraph.operators import clean as C, manifest as M, pages as PG, spatial as SP, summary as S
 from newsgraph.operators.panel import country_month_panel
 from newsgraph.operators.summary import rounded
 from newsgraph.plans import views as V
 from newsgraph.schema import RAW_COLUMNS, TONE_COLUMNS
-from newsgraph.session import scratch_path
+from newsgraph.session import cut_lineage, scratch_path
 from newsgraph.sources import archive as A, files as FS
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -384,3 +384,67 @@ def dedupe_first(spark, sf_dir):
 @query
 def pilot_sample(spark, sf_dir):
     return C.seeded_sample(C.pilot_clean(pilot_events(spark, sf_dir)), 50, 42).select(*PILOT_OUT)
+
+
+# ---- space -----------------------------------------------------------------
+
+EPS_KM = 170.0
+MIN_SAMPLES = 120
+
+
+def points_of(spark, sf_dir):
+    return S.event_points(events_of(spark, sf_dir))
+
+
+@query
+def eps_neighbours(spark, sf_dir):
+    pairs = SP.eps_neighbours(points_of(spark, sf_dir), 400.0)
+    return pairs.withColumn("km", rounded(F.col("km")))
+
+
+@query
+def k_distance(spark, sf_dir):
+    found = SP.k_distance(points_of(spark, sf_dir), 150)
+    return found.withColumn("k_distance_km", rounded(F.col("k_distance_km")))
+
+
+@query
+def k_distance_curve(spark, sf_dir):
+    curve = SP.k_distance_curve(SP.k_distance(points_of(spark, sf_dir), 150), 20)
+    return curve.withColumn("k_distance_km", rounded(F.col("k_distance_km")))
+
+
+@query
+def dbscan(spark, sf_dir):
+    return SP.dbscan(points_of(spark, sf_dir), EPS_KM, MIN_SAMPLES)
+
+
+@query
+def kde_grid(spark, sf_dir):
+    grid = SP.kde_grid(points_of(spark, sf_dir), step_deg=3.0, bandwidth_km=250.0)
+    return grid.withColumn("density", rounded(F.col("density") * 1e6))
+
+
+@query
+def kde_hotspots(spark, sf_dir):
+    top = SP.kde_hotspots(SP.kde_grid(points_of(spark, sf_dir), step_deg=3.0, bandwidth_km=250.0), 10)
+    return top.withColumn("density", rounded(F.col("density") * 1e6))
+
+
+def units_of(spark, sf_dir):
+    return cut_lineage(S.country_totals(events_of(spark, sf_dir).where("Country != ''")))
+
+
+@query
+def morans_i(spark, sf_dir):
+    units = units_of(spark, sf_dir)
+    weights = cut_lineage(SP.nearest_weights(units))
+    return SP.morans_i(units, weights, "n_events").unionByName(
+        SP.morans_i(units, weights, "mean_tone"))
+
+
+@query
+def morans_permutation(spark, sf_dir):
+    units = units_of(spark, sf_dir)
+    values = SP.morans_permutation(units, SP.nearest_weights(units), "n_events", 99)
+    return values.select("perm", rounded(F.col("I")).alias("I"))
