@@ -475,3 +475,110 @@ ORACLES |= {
     "morans_permutation": f"""WITH {MORAN} SELECT CAST(perm AS INTEGER) AS perm, round(i, 6) + 0.0 AS I
         FROM moran WHERE measure = 'n_events'""",
 }
+
+# ---- count regression ------------------------------------------------------
+
+FIT = PANEL + """,
+cells AS (SELECT Misinfo_Event_Count AS y, CAST(Political_Prop > 0.5 AS INTEGER) AS g FROM panel),
+means AS (SELECT g, avg(y) AS mu, sum(y) AS total, count(*) AS n FROM cells GROUP BY g),
+a AS (SELECT * FROM means WHERE g = 0),
+b AS (SELECT * FROM means WHERE g = 1),
+coefs AS (
+    SELECT 'Intercept' AS term, ln(a.mu) AS coef, sqrt(1.0 / a.total) AS se FROM a
+    UNION ALL SELECT 'Mostly_Political', ln(b.mu / a.mu), sqrt(1.0 / a.total + 1.0 / b.total) FROM a, b)"""
+
+# integral of the normal density from 0 to |z| by Simpson's rule with 400 strips
+P_VALUE = """greatest(0.0, 1 - 2 * (SELECT sum(CASE WHEN i = 0 OR i = 400 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END
+    * exp(-power(abs(coef / se) * i / 400.0, 2) / 2)) * abs(coef / se) / 1200.0 / sqrt(2 * pi())
+    FROM range(401) r(i)))"""
+
+
+def nb_likelihood(t: str) -> str:
+    """Log-likelihood at alpha = exp(t), over counts grouped by value."""
+    r = f"exp(-({t}))"
+    return f"""(SELECT sum(w * (lgamma(y + {r}) - lgamma({r}) - lgamma(y + 1)
+        + {r} * ln({r} / ({r} + mu)) + y * ln(mu / ({r} + mu)))) FROM grouped)"""
+
+
+NEGBIN = FIT + f""",
+grouped AS (SELECT CAST(y AS DOUBLE) AS y, mu, count(*) AS w FROM cells JOIN means USING (g) GROUP BY 1, 2),
+search(step, lo, hi) AS (
+    SELECT 0, -12.0::DOUBLE, 3.0::DOUBLE
+    UNION ALL SELECT step + 1,
+        CASE WHEN {nb_likelihood('lo + (hi - lo) / 3')} < {nb_likelihood('hi - (hi - lo) / 3')}
+             THEN lo + (hi - lo) / 3 ELSE lo END,
+        CASE WHEN {nb_likelihood('lo + (hi - lo) / 3')} < {nb_likelihood('hi - (hi - lo) / 3')}
+             THEN hi ELSE hi - (hi - lo) / 3 END
+    FROM search WHERE step < 45),
+best AS (SELECT (lo + hi) / 2 AS t, exp((lo + hi) / 2) AS alpha FROM search WHERE step = 45),
+info AS (SELECT g, n * mu / (1 + alpha * mu) AS v, alpha, t FROM means, best)"""
+
+# ---- topics ----------------------------------------------------------------
+
+from newsgraph.operators.topics import STOP_WORDS, WORD  # noqa: E402
+from newsgraph.plans.queries import TERM_SETS  # noqa: E402
+
+TOKENS = f"""
+docs AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), {quote(WORD)}),
+    lambda w: length(w) >= 3 AND NOT list_contains({listing(STOP_WORDS)}, w)) AS tokens FROM documents),
+vocab AS (
+    SELECT term, docs, row_number() OVER (ORDER BY docs DESC, term) - 1 AS "index" FROM (
+        SELECT term, count(*) AS docs FROM (SELECT DISTINCT doc_id, unnest(tokens) AS term FROM docs)
+        GROUP BY 1)
+    WHERE docs >= 5 AND docs <= 0.5 * (SELECT count(*) FROM docs)
+    QUALIFY row_number() OVER (ORDER BY docs DESC, term) <= 2000)"""
+
+COHERENCE = TOKENS + """,
+sets(topic, term) AS (VALUES """ + ", ".join(
+    f"({t}, {quote(w)})" for t, ws in TERM_SETS.items() for w in ws) + """),
+placed AS (SELECT doc_id, len(tokens) AS n, greatest(len(tokens) - 110, 0) AS last,
+               unnest(tokens) AS term, unnest(range(len(tokens))) AS p FROM docs),
+presence AS (
+    SELECT DISTINCT doc_id, term, unnest(range(greatest(p - 109, 0), least(p, last) + 1)) AS s
+    FROM placed WHERE term IN (SELECT term FROM sets)),
+total AS (SELECT sum(greatest(len(tokens) - 110, 0) + 1)::DOUBLE AS w FROM docs WHERE len(tokens) > 0),
+singles AS (SELECT term, count(*) / (SELECT w FROM total) AS p FROM presence GROUP BY 1),
+pairs AS (SELECT x.topic, x.term AS a, y.term AS b FROM sets x JOIN sets y USING (topic)),
+joint AS (SELECT x.term AS a, y.term AS b, count(*) / (SELECT w FROM total) AS p
+          FROM presence x JOIN presence y USING (doc_id, s) GROUP BY 1, 2),
+npmi AS (
+    SELECT topic, pairs.a, pairs.b, CASE WHEN sa.p IS NULL OR sb.p IS NULL THEN 0.0
+        ELSE ln((coalesce(j.p, 0) + 1e-12) / (sa.p * sb.p)) / -ln(coalesce(j.p, 0) + 1e-12) END AS m
+    FROM pairs LEFT JOIN joint j ON j.a = pairs.a AND j.b = pairs.b
+    LEFT JOIN singles sa ON sa.term = pairs.a LEFT JOIN singles sb ON sb.term = pairs.b),
+whole AS (SELECT topic, b, sum(m) AS m FROM npmi GROUP BY 1, 2),
+lengths AS (SELECT topic, sqrt(sum(m * m)) AS l FROM whole GROUP BY 1),
+cosines AS (SELECT n.topic, n.a, CASE WHEN sum(n.m * n.m) = 0 THEN 0
+                ELSE sum(n.m * w.m) / sqrt(sum(n.m * n.m)) / any_value(l) END AS c
+            FROM npmi n JOIN whole w ON w.topic = n.topic AND w.b = n.b
+            JOIN lengths ON lengths.topic = n.topic GROUP BY 1, 2)"""
+
+ORACLES |= {
+    "poisson_fit": f"""WITH {FIT} SELECT term, round(coef, 6) AS coef, round(se, 6) AS se FROM coefs""",
+    "overdispersion": f"""WITH {FIT},
+        fitted AS (SELECT y, mu, (power(y - mu, 2) - y) / mu AS z FROM cells JOIN means USING (g)),
+        sums AS (SELECT count(*) AS n, sum(power(y - mu, 2) / mu) AS x2, var_samp(y) / avg(y) AS vm,
+            sum(mu * mu) AS mm, sum(mu * z) AS mz, sum(z * z) AS zz FROM fitted)
+        SELECT n, n - 2 AS df, round(x2, 6) AS pearson_chi2, round(x2 / (n - 2), 6) AS pearson_ratio,
+            round(vm, 6) AS variance_to_mean, round(mz / mm, 6) AS aux_alpha,
+            round(mz / mm / sqrt((zz - mz * mz / mm) / (n - 1) / mm), 6) AS aux_t FROM sums""",
+    "negbin_fit": f"""WITH RECURSIVE {NEGBIN}
+        SELECT term, round(coef, 6) AS coef,
+            round(CASE term WHEN 'Intercept' THEN sqrt(1 / (SELECT v FROM info WHERE g = 0))
+                  ELSE sqrt((SELECT sum(1 / v) FROM info)) END, 5) AS se,
+            round((SELECT alpha FROM best), 5) AS alpha, false AS at_boundary,
+            round((SELECT {nb_likelihood('t')} FROM best), 5) AS log_likelihood FROM coefs""",
+    "irr_table": f"""WITH {FIT} SELECT term, round(coef, 3) AS coef, round(exp(coef), 3) AS IRR,
+        round(exp(coef - 1.959963984540054 * se), 3) AS IRR_ci_lower,
+        round(exp(coef + 1.959963984540054 * se), 3) AS IRR_ci_upper,
+        round({P_VALUE}, 3) AS p_value FROM coefs""",
+    "tokens": f"""WITH {TOKENS} SELECT doc_id, array_to_string(tokens, ' ') AS tokens,
+        CAST(len(tokens) AS BIGINT) AS n FROM docs""",
+    "lemmatised_tokens": f"""WITH {TOKENS} SELECT doc_id, array_to_string(list_transform(tokens,
+        lambda w: regexp_replace(w, 'ing$', '')), ' ') AS tokens FROM docs""",
+    "vocabulary": f"WITH {TOKENS} SELECT * FROM vocab",
+    "doc_term_matrix": f"""WITH {TOKENS} SELECT doc_id, "index", count(*) AS n
+        FROM (SELECT doc_id, unnest(tokens) AS term FROM docs) JOIN vocab USING (term) GROUP BY 1, 2""",
+    "coherence_cv": f"""WITH {COHERENCE} SELECT topic, round(avg(c), 6) AS coherence
+        FROM cosines GROUP BY 1""",
+}

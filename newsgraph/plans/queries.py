@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from newsgraph.functions import parse as P
 from newsgraph.functions.text import paragraph_text, word_count
-from newsgraph.operators import clean as C, manifest as M, pages as PG, spatial as SP, summary as S
+from newsgraph.operators import (
+    clean as C, manifest as M, pages as PG, regress as R, spatial as SP, summary as S, topics as T,
+)
 from newsgraph.operators.panel import country_month_panel
 from newsgraph.operators.summary import rounded
 from newsgraph.plans import views as V
@@ -448,3 +450,142 @@ def morans_permutation(spark, sf_dir):
     units = units_of(spark, sf_dir)
     values = SP.morans_permutation(units, SP.nearest_weights(units), "n_events", 99)
     return values.select("perm", rounded(F.col("I")).alias("I"))
+
+
+# ---- count regression ------------------------------------------------------
+
+def panel_of(spark, sf_dir):
+    """The panel with one 0/1 covariate, for which the fits have a closed form."""
+    panel = country_month_panel(events_of(spark, sf_dir), digits=6)
+    return cut_lineage(panel.withColumn("Mostly_Political", (F.col("Political_Prop") > 0.5).cast("int")))
+
+
+ONE = ["Mostly_Political"]
+
+
+@query
+def poisson_fit(spark, sf_dir):
+    fit = R.poisson(panel_of(spark, sf_dir), covariates=ONE)
+    return R.fit_row(fit, spark).select("term", rounded(F.col("coef")).alias("coef"),
+                                        rounded(F.col("se")).alias("se"))
+
+
+@query
+def poisson_fit_full(spark, sf_dir):
+    fit = R.poisson(panel_of(spark, sf_dir))
+    return R.fit_row(fit, spark).select("term", "coef", "se")
+
+
+@query
+def overdispersion(spark, sf_dir):
+    panel = panel_of(spark, sf_dir)
+    found = R.overdispersion(panel, R.poisson(panel, covariates=ONE))
+    return found.select("n", "df", *[rounded(F.col(c)).alias(c) for c in (
+        "pearson_chi2", "pearson_ratio", "variance_to_mean", "aux_alpha", "aux_t")])
+
+
+@query
+def negbin_fit(spark, sf_dir):
+    fit = R.negative_binomial(panel_of(spark, sf_dir), covariates=ONE)
+    return R.fit_row(fit, spark).select(
+        "term", rounded(F.col("coef")).alias("coef"), rounded(F.col("se"), 5).alias("se"),
+        rounded(F.col("alpha"), 5).alias("alpha"), "at_boundary",
+        rounded(F.col("log_likelihood"), 5).alias("log_likelihood"))
+
+
+@query
+def negbin_fit_full(spark, sf_dir):
+    return R.fit_row(R.negative_binomial(panel_of(spark, sf_dir)), spark)
+
+
+@query
+def irr_table(spark, sf_dir):
+    return R.irr_table(R.poisson(panel_of(spark, sf_dir), covariates=ONE), spark)
+
+
+# ---- topics ----------------------------------------------------------------
+
+VOCABULARY = {"min_docs": 5, "max_share": 0.5, "max_terms": 2000}
+TERM_SETS = {0: ["tion", "ing", "ble", "ther"], 1: ["thon", "thth", "than", "que", "absent"],
+             2: ["ther", "thth", "erin", "anea", "des"]}
+
+
+def tokens_of(spark, sf_dir):
+    return T.tokens(V.table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+
+
+def landed_tokens(spark, sf_dir):
+    """Tokens of all documents as a table, for jobs that read them many times."""
+    path = scratch_path(spark, "tokens")
+    tokens_of(spark, sf_dir).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def terms_of(docs):
+    """The vocabulary in index order; its size is bounded by ``max_terms``."""
+    return [r["term"] for r in T.vocabulary(docs, **VOCABULARY).orderBy("index").collect()]
+
+
+@query
+def tokens(spark, sf_dir):
+    return tokens_of(spark, sf_dir).select(
+        "doc_id", F.array_join("tokens", " ").alias("tokens"), F.size("tokens").cast("long").alias("n"))
+
+
+@query
+def lemmatised_tokens(spark, sf_dir):
+    docs = tokens_of(spark, sf_dir)
+    forms = docs.select(F.explode("tokens").alias("form")).where("form LIKE '%ing'").distinct()
+    lemmas = forms.withColumn("lemma", F.regexp_replace("form", "ing$", ""))
+    return T.lemmatise(docs, lemmas, "doc_id").select(
+        "doc_id", F.array_join("tokens", " ").alias("tokens"))
+
+
+@query
+def vocabulary(spark, sf_dir):
+    return T.vocabulary(tokens_of(spark, sf_dir), **VOCABULARY)
+
+
+@query
+def doc_term_matrix(spark, sf_dir):
+    docs = tokens_of(spark, sf_dir)
+    vocab = T.vocabulary(docs, **VOCABULARY)
+    return T.doc_term_matrix(docs, vocab, VOCABULARY["max_terms"], "doc_id")
+
+
+@query
+def coherence_cv(spark, sf_dir):
+    scores = T.coherence_cv(landed_tokens(spark, sf_dir), TERM_SETS, key="doc_id")
+    return scores.withColumn("coherence", rounded(F.col("coherence")))
+
+
+def lda_of(spark, sf_dir, k=5):
+    docs = landed_tokens(spark, sf_dir)
+    terms = terms_of(docs)
+    vectors = T.term_vectors(docs, terms).select("doc_id", "features")
+    return T.fit_lda(vectors, k), vectors, terms
+
+
+@query
+def lda_topics(spark, sf_dir):
+    model, _, terms = lda_of(spark, sf_dir)
+    return T.topic_top_terms(model, terms, 20)
+
+
+@query
+def topic_top_terms(spark, sf_dir):
+    model, _, terms = lda_of(spark, sf_dir)
+    return T.topic_top_terms(model, terms, 10)
+
+
+@query
+def dominant_topic(spark, sf_dir):
+    model, vectors, _ = lda_of(spark, sf_dir)
+    return T.dominant_topic(model, vectors, "doc_id")
+
+
+@query
+def select_k(spark, sf_dir):
+    docs = landed_tokens(spark, sf_dir)
+    table, _ = T.select_k(docs, terms_of(docs), [2, 3, 5], key="doc_id")
+    return table
