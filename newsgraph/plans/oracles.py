@@ -582,3 +582,13 @@ ORACLES |= {
     "coherence_cv": f"""WITH {COHERENCE} SELECT topic, round(avg(c), 6) AS coherence
         FROM cosines GROUP BY 1""",
 }
+
+# ---- streams: what has been drained equals the batch result ----------------
+
+ORACLES |= {
+    "stream_ingest": """SELECT event_type, count(*) AS n, min(event_id) AS first_id, max(ts) AS last_ts
+        FROM events GROUP BY 1""",
+    "stream_dedupe": "SELECT event_id, ts, event_type FROM events",
+    "stream_daily_counts": "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1",
+    "stream_manifest": "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1",
+}

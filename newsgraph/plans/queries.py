@@ -17,6 +17,7 @@ from newsgraph.plans import views as V
 from newsgraph.schema import RAW_COLUMNS, TONE_COLUMNS
 from newsgraph.session import cut_lineage, scratch_path
 from newsgraph.sources import archive as A, files as FS
+from newsgraph.streaming import feed as ST
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -589,3 +590,56 @@ def select_k(spark, sf_dir):
     docs = landed_tokens(spark, sf_dir)
     table, _ = T.select_k(docs, terms_of(docs), [2, 3, 5], key="doc_id")
     return table
+
+
+# ---- streams ---------------------------------------------------------------
+
+DELAY = "60 days"  # longer than the month the events span: files land in any order
+
+
+def land_events(spark, sf_dir, copies=False):
+    """``events`` split into files; with ``copies`` every third event is delivered again."""
+    path = scratch_path(spark, "landing")
+    events = V.table(spark, sf_dir, "events").select("event_id", "ts", "event_type")
+    events.repartition(4, "event_id").write.parquet(path)
+    if copies:
+        events.where("event_id % 3 = 0").repartition(2, "event_id").write.mode("append").parquet(path)
+    return path, events.schema
+
+
+@query
+def stream_ingest(spark, sf_dir):
+    path, schema = land_events(spark, sf_dir)
+    out, marks = scratch_path(spark, "ingested"), scratch_path(spark, "progress")
+    for _ in range(2):  # the second run finds nothing new
+        ST.ingest(ST.landed(spark, path, schema, files_per_batch=2), out, marks)
+    return spark.read.parquet(out).groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id"), F.max("ts").alias("last_ts"))
+
+
+@query
+def stream_daily_counts(spark, sf_dir):
+    path, schema = land_events(spark, sf_dir)
+    out = scratch_path(spark, "daily")
+    stream = ST.landed(spark, path, schema, files_per_batch=2).withColumn("time", ST.utc(F.col("ts")))
+    ST.drain(ST.daily_counts(stream, "time", DELAY), scratch_path(spark, "progress"),
+             ST.upsert_by_batch(out), "update")
+    return ST.latest(spark, out)
+
+
+@query
+def stream_dedupe(spark, sf_dir):
+    path, schema = land_events(spark, sf_dir, copies=True)
+    out = scratch_path(spark, "deduped")
+    stream = ST.landed(spark, path, schema, files_per_batch=3).withColumn("time", ST.utc(F.col("ts")))
+    ST.ingest(ST.deduped(stream, "event_id", "time", DELAY), out, scratch_path(spark, "progress"))
+    return spark.read.parquet(out).select("event_id", "ts", "event_type")
+
+
+@query
+def stream_manifest(spark, sf_dir):
+    path, schema = land_events(spark, sf_dir)
+    out = scratch_path(spark, "manifest")
+    ST.drain(ST.landed(spark, path, schema, files_per_batch=2), scratch_path(spark, "progress"),
+             ST.manifest_sink(out, F.col("ts").cast("date").cast("string")))
+    return ST.stream_manifest(spark, out)
