@@ -36,7 +36,9 @@ def squeezed_words(c: Column) -> Column:
 
 
 def word_count(c: Column) -> Column:
-    return squeezed_words(squeeze(F.coalesce(c, F.lit(""))))
+    """Number of words, cut at any white space."""
+    pieces = F.split(F.coalesce(c, F.lit("")), f"[{SPACE_CLASS}]+")
+    return F.size(F.array_remove(pieces, "")).cast("long")
 
 
 # Entities undone in extracted text; the ampersand comes last.

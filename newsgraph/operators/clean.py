@@ -11,6 +11,7 @@ from newsgraph.operators.quantiles import exact_quantiles
 from newsgraph.schema import (
     CONTEXT_CODES, COUNTRY_ALIASES, FILTER_CODES, REQUIRED_COLUMNS, TONE_COLUMNS,
 )
+from newsgraph.session import cut_lineage
 
 EVENT_COLUMNS = [
     "Record_ID", "Date", "Year", "Month", "Year_Month", "Source", "Source_URL",
@@ -124,7 +125,7 @@ def pilot_clean(df: DataFrame, order: Sequence[str] = ("_pos",)) -> DataFrame:
     if "Misinfo_Flag" in df.columns:
         out = out.where("Misinfo_Flag = 1")
     out = out.dropna(subset=["Latitude", "Longitude", "Themes"])
-    out = impute_medians(out)
+    out = impute_medians(cut_lineage(out))
     if "Country" in df.columns:
         out = standardise_country(out)
     return with_calendar(out) if "Date" in df.columns else out

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from newsgraph.functions.plan import once
 from newsgraph.functions.text import paragraph_text, squeezed_words
 
 MIN_WORDS = 50
@@ -67,7 +68,7 @@ def fetch_outcome(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                    _outcome("error", F.concat(F.lit(NOT_HTML), F.coalesce("content_type", F.lit(""))))))
     judged = rows.withColumn("_early", early)
     judged = judged.withColumn(
-        "text", F.when(F.col("_early").isNull(), paragraph_text(F.col("html"))).otherwise(""))
+        "text", once(F.when(F.col("_early").isNull(), paragraph_text(F.col("html"))).otherwise("")))
     judged = judged.withColumn("word_count", squeezed_words(F.col("text")))
     short = F.col("word_count") < min_words
     return judged.select(

@@ -4,80 +4,108 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 ACCURACY = 10_000
 
 
+@dataclass
+class _Search:
+    """The value at ``rank`` among those of ``column`` strictly between ``low`` and ``high``."""
+    column: str
+    rank: int
+    size: int
+    low: float = -math.inf
+    high: float = math.inf
+    value: float | None = None
+
+    def inside(self) -> Column:
+        c = F.col(self.column)
+        held = c.isNotNull()
+        if self.low > -math.inf:
+            held = held & (c > self.low)
+        if self.high < math.inf:
+            held = held & (c < self.high)
+        return F.when(held, c)
+
+    def narrow(self, a: float, b: float, below: int, at_a: int, between: int, at_b: int) -> None:
+        """Keeps the part that holds the rank, given the counts around two of the values."""
+        for count, low, high in ((below, self.low, a), (at_a, a, a), (between, a, b), (at_b, b, b),
+                                 (self.size, b, self.high)):
+            if self.rank < count:
+                break
+            self.rank -= count
+            self.size -= count
+        if low == high:
+            self.value = low
+        else:
+            last = high == self.high and low == b
+            self.low, self.high, self.size = low, high, self.size if last else count
+
+
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float],
                     direct_rows: int = 1_000_000) -> dict[str, list[float] | None]:
     """Linear-interpolated quantiles per column; None where a column has no values.
 
-    Each wanted rank is narrowed to a value bracket with the bounded sketch of
-    ``percentile_approx``; ranks inside the bracket follow from counts below it.
-    A scan narrows a bracket by three orders of magnitude, so the exact
-    ``percentile``, whose state grows with the number of different values, only
-    ever sees ``direct_rows`` rows or a bracket of one value.
+    A column of at most ``direct_rows`` values goes to ``percentile`` at once.
+    Beyond that, its state would grow with the number of different values, so
+    each wanted rank is first narrowed: ``percentile_approx``, whose state is
+    bounded, gives two values close around the rank, and a count decides on which
+    side of them it lies. A round cuts the values left by three orders of magnitude.
     """
     if not columns:
         return {}
-    values = {c: F.when(~F.isnan(c), F.col(c)).cast("double") for c in columns}
-    counts = df.agg(*[F.count(values[c]).alias(c) for c in columns]).first()
+    data = df.select(*[F.when(~F.isnan(c), F.col(c)).cast("double").alias(c) for c in columns])
+    counts = data.agg(*[F.count(c).alias(c) for c in columns]).first()
     result: dict[str, list[float] | None] = {c: None for c in columns}
-    # open brackets: (column, probability index) -> rank wanted, bounds, rows below, rows inside
-    brackets = {}
-    for c in columns:
-        if counts[c]:
-            result[c] = [math.nan] * len(probabilities)
-            for i, p in enumerate(probabilities):
-                brackets[c, i] = {"rank": p * (counts[c] - 1), "lo": -math.inf, "hi": math.inf,
-                                  "below": 0, "inside": counts[c]}
+    short = [c for c in columns if 0 < counts[c] <= direct_rows]
+    if short:
+        row = data.agg(*[F.percentile(c, list(probabilities)).alias(c) for c in short]).first()
+        result.update({c: list(row[c]) for c in short})
+    long = [c for c in columns if counts[c] > direct_rows]
+    searches = {}
+    for c in long:
+        for p in probabilities:
+            at = p * (counts[c] - 1)
+            for r in (math.floor(at), math.ceil(at)):
+                searches[c, r] = _Search(c, r, counts[c])
+    _select(data, list(searches.values()), direct_rows)
+    for c in long:
+        result[c] = []
+        for p in probabilities:
+            at = p * (counts[c] - 1)
+            a, b = searches[c, math.floor(at)].value, searches[c, math.ceil(at)].value
+            result[c].append(a + (b - a) * (at - math.floor(at)))
+    return result
 
-    def inside(c, b):
-        if math.isinf(b["lo"]):
-            return values[c]
-        return F.when((values[c] >= b["lo"]) & (values[c] <= b["hi"]), values[c])
 
-    open_keys = [k for k, b in brackets.items() if b["inside"] > direct_rows]
-    while open_keys:
+def _select(data: DataFrame, searches: list[_Search], direct_rows: int) -> None:
+    while True:
+        wide = [s for s in searches if s.value is None and s.size > direct_rows]
+        if not wide:
+            break
         sketch = []
-        for c, i in open_keys:
-            b = brackets[c, i]
-            at = (b["rank"] - b["below"]) / max(b["inside"] - 1, 1)
-            ends = [max(at - 2 / ACCURACY, 0.0), min(at + 2 / ACCURACY, 1.0)]
-            sketch.append(F.percentile_approx(inside(c, b), ends, ACCURACY).alias(f"{c}|{i}"))
-        bounds = df.agg(*sketch).first()
-        tally = []
-        for c, i in open_keys:
-            lo, hi = bounds[f"{c}|{i}"]
-            tally += [F.count_if(values[c] < lo).alias(f"{c}|{i}|below"),
-                      F.count_if((values[c] >= lo) & (values[c] <= hi)).alias(f"{c}|{i}|inside")]
-        tallies = df.agg(*tally).first()
-        remaining = []
-        for c, i in open_keys:
-            b = brackets[c, i]
-            lo, hi = bounds[f"{c}|{i}"]
-            below, count = tallies[f"{c}|{i}|below"], tallies[f"{c}|{i}|inside"]
-            holds = below <= math.floor(b["rank"]) and math.ceil(b["rank"]) < below + count
-            if not holds or count >= b["inside"]:
-                continue  # no tighter bracket with certainty: percentile decides
-            b.update(lo=lo, hi=hi, below=below, inside=count)
-            if lo < hi and count > direct_rows:
-                remaining.append((c, i))
-        open_keys = remaining
-
-    exact, whole = [], {}
-    for (c, i), b in brackets.items():
-        if math.isinf(b["lo"]):
-            whole.setdefault(c, []).append(i)
-            continue
-        at = min((b["rank"] - b["below"]) / max(b["inside"] - 1, 1), 1.0)
-        exact.append(F.percentile(inside(c, b), at).alias(f"{c}|{i}"))
-    exact += [F.percentile(values[c], [probabilities[i] for i in found]).alias(c)
-              for c, found in whole.items()]
-    if exact:
-        row = df.agg(*exact).first()
-        for c, i in brackets:
-            result[c][i] = row[c][whole[c].index(i)] if i in whole.get(c, []) else row[f"{c}|{i}"]
-    return result
+        for i, s in enumerate(wide):
+            at = s.rank / (s.size - 1)
+            sketch.append(F.percentile_approx(s.inside(), [max(at - 2 / ACCURACY, 0.0),
+                                                           min(at + 2 / ACCURACY, 1.0)], ACCURACY).alias(str(i)))
+        near = data.agg(*sketch).first()
+        counts = []
+        for i, s in enumerate(wide):
+            (a, b), x = near[str(i)], s.inside()
+            counts += [F.count_if(x < a).alias(f"{i}l"), F.count_if(x == a).alias(f"{i}a"),
+                       F.count_if((x > a) & (x < b)).alias(f"{i}m"),
+                       F.count_if((x == b) & F.lit(a < b)).alias(f"{i}b")]
+        row = data.agg(*counts).first()
+        for i, s in enumerate(wide):
+            s.narrow(*near[str(i)], *(row[f"{i}{k}"] for k in "lamb"))
+    rest = [s for s in searches if s.value is None]
+    if rest:
+        # the discrete percentile at the middle of a rank's share is the value of that rank
+        inner = data.select(*[s.inside().alias(f"v{i}") for i, s in enumerate(rest)])
+        row = inner.agg(*[F.expr(f"percentile_disc({(s.rank + 0.5) / s.size!r}D) WITHIN GROUP (ORDER BY v{i})")
+                          .alias(str(i)) for i, s in enumerate(rest)]).first()
+        for i, s in enumerate(rest):
+            s.value = row[str(i)]

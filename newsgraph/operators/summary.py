@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from newsgraph.operators.quantiles import exact_quantiles
+from newsgraph.session import cut_lineage
 
 
 def rounded(c: Column, digits: int = 6) -> Column:
@@ -56,6 +57,7 @@ def tone_histogram(events: DataFrame, low: float = -10.0, high: float = 10.0, bi
 
 def tone_summary(events: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Count, mean, deviation, extremes and exact quartiles of each tone column."""
+    events = cut_lineage(events.select(*columns))
     quartiles = exact_quantiles(events, columns, [0.25, 0.5, 0.75])
     stats = events.agg(*[
         F.struct(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev(c).alias("sd"),

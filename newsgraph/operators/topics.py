@@ -7,11 +7,13 @@ from collections.abc import Iterable, Sequence
 
 import numpy as np
 from pyspark import StorageLevel
-from pyspark.ml.clustering import LDA
+from pyspark.ml.clustering import LDA, LDAModel
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window, functions as F
 
+from newsgraph.functions.plan import once
+
 WORD = r"\p{L}+"
 # Words that carry no topic; an argument everywhere, this is the default
 STOP_WORDS = (
@@ -30,7 +32,7 @@ def tokens(texts: DataFrame, key: str = "Record_ID", text: str = "text",
     """(key, tokens): lower-case words in order, without stop words and short words."""
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
     keep = lambda w: (F.length(w) >= min_length) & ~w.isin(list(stop_words))
-    return texts.select(key, F.filter(words, keep).alias("tokens"))
+    return texts.select(key, once(F.filter(words, keep)).alias("tokens"))
 
 
 def lemmatise(docs: DataFrame, lemmas: DataFrame, key: str = "Record_ID") -> DataFrame:
@@ -80,10 +82,20 @@ def term_vectors(docs: DataFrame, terms: Sequence[str]) -> DataFrame:
 
 
 def fit_lda(vectors: DataFrame, k: int, iterations: int = 20, seed: int = 42,
-            batch_share: float = 0.05) -> "LDAModel":
-    """Online variational LDA; each step reads a sample of documents."""
-    return LDA(k=k, maxIter=iterations, seed=seed, optimizer="online",
-               subsamplingRate=batch_share, featuresCol="features").fit(vectors)
+            batch_share: float = 0.05) -> LDAModel:
+    """Online variational LDA; each step reads a sample of documents.
+
+    Vectors not kept by the caller are kept here for the length of the fit.
+    """
+    keep = vectors.storageLevel == StorageLevel.NONE
+    if keep:
+        vectors.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return LDA(k=k, maxIter=iterations, seed=seed, optimizer="online",
+                   subsamplingRate=batch_share, featuresCol="features").fit(vectors)
+    finally:
+        if keep:
+            vectors.unpersist()
 
 
 def topic_top_terms(model, terms: Sequence[str], top: int = 10) -> DataFrame:

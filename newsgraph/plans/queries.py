@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from newsgraph.functions import parse as P
+from newsgraph.functions.plan import once, spread
 from newsgraph.functions.text import paragraph_text, word_count
 from newsgraph.operators import (
     clean as C, manifest as M, pages as PG, regress as R, spatial as SP, summary as S, topics as T,
@@ -228,15 +229,15 @@ def fetch_outcome(spark, sf_dir):
 
 @query
 def q_paragraph_text(spark, sf_dir):
-    return V.table(spark, sf_dir, "pages").select(
-        "page_id", paragraph_text(F.col("html")).alias("text"))
+    pages = spread(V.table(spark, sf_dir, "pages").select("page_id", "html"), "page_id")
+    return pages.select("page_id", paragraph_text(F.col("html")).alias("text"))
 
 
 @query
 def q_word_count(spark, sf_dir):
     n = word_count(F.col("text"))
-    return V.table(spark, sf_dir, "documents").select(
-        "doc_id", n.alias("word_count"), (n >= PG.MIN_WORDS).alias("long_enough"))
+    return V.documents(spark, sf_dir).select("doc_id", once(n).alias("word_count")).withColumn(
+        "long_enough", F.col("word_count") >= PG.MIN_WORDS)
 
 
 @query
@@ -512,7 +513,7 @@ TERM_SETS = {0: ["tion", "ing", "ble", "ther"], 1: ["thon", "thth", "than", "que
 
 
 def tokens_of(spark, sf_dir):
-    return T.tokens(V.table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return T.tokens(V.documents(spark, sf_dir), "doc_id")
 
 
 def landed_tokens(spark, sf_dir):

@@ -88,4 +88,4 @@ def export_results(tables: Mapping[str, DataFrame], folder: str) -> None:
     """Every result table as Parquet and as CSV."""
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
-        write_csv(df, f"{folder}/{name}.csv")
+        write_csv(df.sparkSession.read.parquet(f"{folder}/{name}.parquet"), f"{folder}/{name}.csv")
