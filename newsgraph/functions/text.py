@@ -69,7 +69,6 @@ def paragraph_text(html: Column) -> Column:
     page = F.regexp_replace(F.coalesce(html, F.lit("")), HIDDEN_MARKUP, " ")
     inside = F.regexp_replace(F.concat(F.lit("</p>"), page), BETWEEN_PARAGRAPHS, " $1")
     plain = F.regexp_replace(inside, TAG, " ")
-    decoded = plain
     for entity, char in ENTITIES:
-        decoded = F.replace(decoded, F.lit(entity), F.lit(char))
-    return squeeze(F.when(plain.contains("&"), decoded).otherwise(plain))
+        plain = F.replace(plain, F.lit(entity), F.lit(char))
+    return squeeze(plain)
