@@ -15,6 +15,9 @@ from pyspark.sql.types import StructType
 from newsgraph.operators.clean import theme_filter
 from newsgraph.sources.archive import archive_lines, well_formed
 
+# The columns of Spark's binary file source
+BINARY_FILE = "path string, modificationTime timestamp, length long, content binary"
+
 
 def landed(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet",
            files_per_batch: int | None = None, **options) -> DataFrame:
@@ -31,7 +34,7 @@ def landed_archives(spark: SparkSession, path: str, daily_time: str | None = "12
 
     ``daily_time`` keeps the one file of each day whose name carries that time.
     """
-    files = (spark.readStream.format("binaryFile").option("pathGlobFilter", "*.zip")
+    files = (spark.readStream.format("binaryFile").schema(BINARY_FILE).option("pathGlobFilter", "*.zip")
              .option("maxFilesPerTrigger", files_per_batch).load(path))
     if daily_time:
         files = files.where(F.col("path").rlike(rf"/[0-9]{{8}}{daily_time}\.[^/]*$"))
