@@ -79,11 +79,14 @@ def tone_by(events: DataFrame, by: str, column: str = "Tone_Overall") -> DataFra
 
 
 def topic_tone(events: DataFrame, topics: DataFrame, key: str = "Record_ID", digits: int = 2) -> DataFrame:
-    """Mean of four tone columns per topic label; events without a topic take no part."""
+    """Mean of four tone columns per topic label; events without a topic take no part.
+
+    Means are rounded half to even after scaling, as data frames in Python do.
+    """
     joined = events.join(topics.select(key, "Topic_Label"), key, "left")
     names = ["Tone_Overall", "Tone_Positive", "Tone_Negative", "Tone_Polarity"]
     return (joined.where(F.col("Topic_Label").isNotNull()).groupBy("Topic_Label")
-            .agg(*[rounded(F.avg(c), digits).alias(c) for c in names]))
+            .agg(*[(F.rint(F.avg(c) * 10 ** digits) / 10 ** digits + 0.0).alias(c) for c in names]))
 
 
 def country_totals(events: DataFrame) -> DataFrame:

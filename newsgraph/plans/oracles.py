@@ -350,7 +350,7 @@ ORACLES: dict[str, str] = {
         round(quantile_cont({c}, 0.75), 6) AS q3, max({c}) AS max FROM clean"""
         for c in TONE_COLUMNS),
     "topic_tone": f"""WITH {PARSED} SELECT Topic_Label, """ + ", ".join(
-        f"round(avg({c}), 2) + 0.0 AS {c}" for c in TONE_COLUMNS[:4]) + """
+        f"round_even(avg({c}) * 100, 0) / 100 + 0.0 AS {c}" for c in TONE_COLUMNS[:4]) + """
         FROM parsed JOIN (SELECT doc_id, 'Topic ' || (ascii(source[4:4]) % 5) AS Topic_Label
                           FROM documents) ON doc_id = _pos GROUP BY 1""",
     "country_month_panel": f"WITH {PANEL} SELECT * FROM panel",
@@ -510,8 +510,11 @@ search(step, lo, hi) AS (
         CASE WHEN {nb_likelihood('lo + (hi - lo) / 3')} < {nb_likelihood('hi - (hi - lo) / 3')}
              THEN hi ELSE hi - (hi - lo) / 3 END
     FROM search WHERE step < 45),
-best AS (SELECT (lo + hi) / 2 AS t, exp((lo + hi) / 2) AS alpha FROM search WHERE step = 45),
-info AS (SELECT g, n * mu / (1 + alpha * mu) AS v, alpha, t FROM means, best)"""
+rise AS (SELECT sum(w * (power(y - mu, 2) - y)) <= 0 AS none,
+             sum(w * (y * ln(mu) - mu - lgamma(y + 1))) AS poisson FROM grouped),
+best AS (SELECT (lo + hi) / 2 AS t, CASE WHEN none THEN 0.0 ELSE exp((lo + hi) / 2) END AS alpha,
+             none, poisson FROM search, rise WHERE step = 45),
+info AS (SELECT g, n * mu / (1 + alpha * mu) AS v FROM means, best)"""
 
 # ---- topics ----------------------------------------------------------------
 
@@ -566,8 +569,9 @@ ORACLES |= {
         SELECT term, round(coef, 6) AS coef,
             round(CASE term WHEN 'Intercept' THEN sqrt(1 / (SELECT v FROM info WHERE g = 0))
                   ELSE sqrt((SELECT sum(1 / v) FROM info)) END, 5) AS se,
-            round((SELECT alpha FROM best), 5) AS alpha, false AS at_boundary,
-            round((SELECT {nb_likelihood('t')} FROM best), 5) AS log_likelihood FROM coefs""",
+            round((SELECT alpha FROM best), 5) AS alpha, (SELECT none FROM best) AS at_boundary,
+            round((SELECT CASE WHEN none THEN poisson ELSE {nb_likelihood('t')} END FROM best), 5)
+                AS log_likelihood FROM coefs""",
     "irr_table": f"""WITH {FIT} SELECT term, round(coef, 3) AS coef, round(exp(coef), 3) AS IRR,
         round(exp(coef - 1.959963984540054 * se), 3) AS IRR_ci_lower,
         round(exp(coef + 1.959963984540054 * se), 3) AS IRR_ci_upper,
