@@ -44,6 +44,7 @@ def extraction_manifest(days: DataFrame, matched: DataFrame, failed: DataFrame |
         *days.columns, F.coalesce("n", F.lit(0)).cast("long").alias("rows_matched"))
     if failed is None:
         return out
+    # a day without a file, or with one that could not be read
     marks = failed.select("date").distinct().withColumn("_failed", F.lit(True))
     return out.join(marks, "date", "left").select(
         *out.columns, F.when(F.col("_failed"), "failed").otherwise("ok").alias("status"))

@@ -6,30 +6,49 @@ import csv
 import io
 import zipfile
 import zlib
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from newsgraph.functions.parse import mentions_any, text
 from newsgraph.schema import RAW_COLUMNS
 
 LINES_PER_BATCH = 10_000
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Landed zip files as (path, content); one file is one row, split over tasks by size."""
-    return (spark.read.format("binaryFile").option("pathGlobFilter", "*.zip")
+def read_archives(spark: SparkSession, path: str, daily_time: str | None = None) -> DataFrame:
+    """Landed zip files as (path, content); one file is one row, split over tasks by size.
+
+    ``daily_time`` (HHMMSS) keeps the files of that time of day; others are not
+    even opened. Spark leaves files of no bytes out.
+    """
+    names = f"*{daily_time}.*zip" if daily_time else "*.zip"
+    return (spark.read.format("binaryFile").option("pathGlobFilter", names)
             .option("recursiveFileLookup", True).load(path).select("path", "content"))
 
 
+def of_days(archives: DataFrame, days: DataFrame) -> DataFrame:
+    """Archives whose name carries a ``timestamp_queried`` of ``days``.
+
+    ``days`` has one row per day, some thousands for the longest range, so it is
+    sent to the tasks and file contents are never shuffled.
+    """
+    stamp = F.regexp_extract("path", r"([0-9]{14})[^/]*$", 1)
+    return (archives.withColumn("timestamp_queried", stamp)
+            .join(F.broadcast(days.select("timestamp_queried")), "timestamp_queried", "left_semi"))
+
+
 def _unzip(legacy_quotes: bool):
     def lines(batches):
+        csv.field_size_limit(2**31 - 1)
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
                 try:
                     with zipfile.ZipFile(io.BytesIO(content)) as z, z.open(z.namelist()[0]) as member:
-                        text = io.TextIOWrapper(member, encoding="utf-8", errors="replace",
-                                                newline="" if legacy_quotes else None)
-                        rows = csv.reader(text, delimiter="\t") if legacy_quotes else text
+                        reader = io.TextIOWrapper(member, encoding="utf-8", errors="replace",
+                                                  newline="" if legacy_quotes else None)
+                        rows = csv.reader(reader, delimiter="\t") if legacy_quotes else reader
                         yield from _chunks(path, rows, legacy_quotes)
                 except (zipfile.BadZipFile, zlib.error, EOFError, IndexError, csv.Error):
                     yield pd.DataFrame({"path": [path], "line_no": [-1], "line": [None]})
@@ -65,6 +84,8 @@ def text_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("block"),
+        # grows along a block, as one task reads it from front to back
+        F.monotonically_increasing_id().alias("line_no"),
         F.split("value", "\t", -1).alias("fields"))
 
 
@@ -83,6 +104,15 @@ def malformed(lines: DataFrame) -> DataFrame:
                     F.array_join("fields", "\t").alias("line")))
 
 
+def matching_or_broken(lines: DataFrame, codes: Sequence[str]) -> DataFrame:
+    """Well-formed records that mention a code, and one row marked ``broken`` per unreadable file."""
+    named = lines.select("*", *[F.get("fields", F.lit(i)).alias(c) for i, c in enumerate(RAW_COLUMNS)])
+    broken = F.col("fields").isNull()
+    match = (F.size("fields") == len(RAW_COLUMNS)) & mentions_any(
+        text("Themes"), text("V2Themes"), list(codes))
+    return named.where(broken | match).withColumn("broken", broken).drop("fields")
+
+
 def unreadable(lines: DataFrame) -> DataFrame:
     """Files that could not be unzipped."""
     return lines.where("fields IS NULL").select("path")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
@@ -27,13 +27,14 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
                      ).mode(mode).csv(path)
 
 
-def write_raw(raw: DataFrame, path: str, mode: str = "append", fmt: str = "parquet") -> None:
-    """Records unmodified, in one folder per day.
+def write_raw(raw: DataFrame, path: str, mode: str = "append", fmt: str = "parquet",
+              order: Sequence[str] = ()) -> None:
+    """Records unmodified, in one folder per day; ``order`` columns are kept beside them.
 
     The rebalance hint gives a day with much data several tasks and joins small
     days, so neither file sizes nor tasks follow the size of a day.
     """
-    out = raw.select(*RAW_COLUMNS).withColumn("day", F.substring("DATE", 1, 8))
+    out = raw.select(*RAW_COLUMNS, *order).withColumn("day", F.substring("DATE", 1, 8))
     writer = out.hint("rebalance", F.col("day")).write.mode(mode).partitionBy("day")
     if fmt == "csv":
         writer = writer.options(header=True, quote='"', escape='"', emptyValue="",
@@ -41,9 +42,13 @@ def write_raw(raw: DataFrame, path: str, mode: str = "append", fmt: str = "parqu
     writer.format(fmt).save(path)
 
 
-def read_raw(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Raw records by header name, with the folder's ``day`` for pruning."""
-    schema = StructType(RAW_SCHEMA.fields).add("day", "string")
+def read_raw(spark: SparkSession, path: str, fmt: str = "parquet", order: str = "") -> DataFrame:
+    """Raw records by header name, with the folder's ``day`` for pruning.
+
+    ``order`` declares extra columns, as in ``"path string, line_no long"``.
+    """
+    extra = StructType.fromDDL(order).fields if order else []
+    schema = StructType([*RAW_SCHEMA.fields, *extra]).add("day", "string")
     if fmt == "csv":
         return read_csv(spark, path, schema)
     return spark.read.schema(schema).format(fmt).load(path)

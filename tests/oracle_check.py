@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 from pathlib import Path
 
 import duckdb
+from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
@@ -64,8 +66,11 @@ def compare(spark, con, name, sf_dir):
 def main(sf_dir, names):
     from newsgraph.session import get_session
 
-    spark = get_session(master="local[8]", spark__sql__shuffle__partitions="8",
-                        spark__ui__enabled="false", spark__driver__memory="8g")
+    if os.environ.get("PLAIN_SESSION"):  # nothing set that a caller might not set
+        spark = SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false").getOrCreate()
+    else:
+        spark = get_session(master="local[8]", spark__sql__shuffle__partitions="8",
+                            spark__ui__enabled="false", spark__driver__memory="8g")
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
     failed = 0
