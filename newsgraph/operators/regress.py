@@ -150,12 +150,14 @@ def negative_binomial(panel: DataFrame, outcome: str = OUTCOME, covariates: Sequ
             return fit
         alpha = max(at_zero["rise"] / at_zero["mm"], 1e-6)
         for _ in range(rounds):
-            coef, inverse = _settle(data, terms, coef, alpha)
+            # coefficients and alpha are nearly independent, so one step of each in turn will do
+            new, inverse = _weighted_step(data, terms, coef, alpha)
+            moved, coef = np.max(np.abs(new - coef)), new
             fit = Fit(terms, coef.tolist(), np.sqrt(np.diag(inverse)).tolist(), alpha, n=first["n"])
             fit.log_likelihood, slope, curve = _alpha_sums(data, fit, alpha)
             step = slope / abs(curve) if curve else math.copysign(1.0, slope)
             step = max(-2.0, min(2.0, step))
-            if abs(step) < tol:
+            if abs(step) < tol and moved < tol:
                 return fit
             alpha = alpha * math.exp(-step)
             if alpha < 1e-9:

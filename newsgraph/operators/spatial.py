@@ -309,24 +309,22 @@ def _compare_points(unsettled: DataFrame, points: DataFrame, eps_km: float, size
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, label): the smallest node id of each component.
 
-    Every round takes the smallest label among the neighbours and then follows
-    labels to their own label, so long chains shrink by half or better.
+    A round takes the smallest label among the neighbours and then follows it to
+    the label its own node had, so labels travel further every round.
     """
     both = cut_lineage(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    state = cut_lineage(nodes.select("id", F.col("id").alias("label")))
-    while True:
+    state = cut_lineage(nodes.select("id", F.col("id").alias("label"), F.lit(True).alias("moved")))
+    while not state.where("moved").isEmpty():
         offered = (both.join(state.select(F.col("id").alias("b"), F.col("label").alias("l")), "b")
                    .groupBy(F.col("a").alias("id")).agg(F.min("l").alias("l")))
-        hooked = cut_lineage(state.join(offered, "id", "left").select(
-            "id", F.least("label", "l").alias("label"), (F.col("l") < F.col("label")).alias("moved")))
-        # labels that have moved on themselves; a root never has, however many follow it
-        passed = hooked.where("id != label").select(F.col("id").alias("label"), F.col("label").alias("next"))
-        moving = passed.join(hooked.select("label").distinct(), "label", "left_semi")
-        state = cut_lineage(hooked.join(moving, "label", "left").select(
+        hooked = state.join(offered, "id", "left").select(
+            "id", F.col("label").alias("old"), F.least("label", "l").alias("label"))
+        # a root's label is itself, so however many nodes follow a root, none meets a row here
+        onward = state.where("id != label").select(F.col("id").alias("label"), F.col("label").alias("next"))
+        state = cut_lineage(hooked.join(onward, "label", "left").select(
             "id", F.coalesce("next", "label").alias("label"),
-            (F.coalesce("moved", F.lit(False)) | F.col("next").isNotNull()).alias("moved")))
-        if state.where("moved").isEmpty():
-            return state.select("id", "label")
+            (F.coalesce("next", "label") != F.col("old")).alias("moved")))
+    return state.select("id", "label")
 
 
 def _numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
