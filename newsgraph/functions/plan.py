@@ -18,7 +18,8 @@ def once(c: Column) -> Column:
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Rows over all cores if the scan has fewer splits than the session has cores.
 
-    A large table has more splits than that and is left alone: no shuffle.
+    For plain scans. A large table has more splits than that and is left alone:
+    no shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     splits = df._jdf.queryExecution().toRdd().getNumPartitions()

@@ -8,6 +8,7 @@ from newsgraph.functions.plan import once
 from newsgraph.functions.text import paragraph_text, squeezed_words
 
 MIN_WORDS = 50
+RULES_BYTES = 64 * 1024 * 1024
 
 # The reasons a fetch is logged with.
 NO_URL = "no Source_URL in input row"
@@ -34,14 +35,20 @@ def with_permission(rows: DataFrame, rules: DataFrame, match: str = "longest") -
 
     ``longest``: the longest matching prefix decides and an allow wins a tie.
     ``first``: the first match by ``position`` decides. Rules travel as one array
-    per host, so every page meets one row and nothing is multiplied.
+    per host (a robots file is read up to 500 KiB), so every page meets one row and
+    nothing is multiplied. Rules of up to ``RULES_BYTES`` are sent to every task and
+    the pages stay where they are; beyond that the join shuffles, and adaptive
+    execution splits a host with very many pages.
     """
+    rules = rules.where(F.length("path_prefix") > 0)
+    size = rules.agg(F.sum(F.octet_length("host") + F.octet_length("path_prefix") + 32)).first()[0] or 0
     fields = {"longest": [(-F.length("path_prefix")).alias("o"), (~F.col("allow")).alias("deny")],
               "first": [F.col("position").alias("o") if "position" in rules.columns
                         else F.lit(0).alias("o"), (~F.col("allow")).alias("deny")]}[match]
-    by_host = (rules.where(F.length("path_prefix") > 0)
-               .groupBy(F.lower("host").alias("_host"))
-               .agg(F.array_sort(F.collect_list(F.struct(*fields, "path_prefix"))).alias("_rules")))
+    by_host = (rules.groupBy(F.lower("host").alias("_host")).agg(
+        F.array_sort(F.collect_list(F.struct(*fields, "path_prefix"))).alias("_rules")))
+    if size <= RULES_BYTES:
+        by_host = F.broadcast(by_host)
     target = F.col("_target")
     applying = F.filter("_rules", lambda r: F.startswith(target, r["path_prefix"]))
     return (rows.withColumns({"_host": F.lower(url_host(F.col("url"))),

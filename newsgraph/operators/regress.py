@@ -110,18 +110,22 @@ def _settle(data, terms, coef, alpha, tol=1e-10, rounds=50):
     raise RuntimeError("regression did not converge")
 
 
-def _alpha_sums(data: DataFrame, fit: Fit, alpha: float):
-    """Log-likelihood, its slope and curvature in log(1/alpha), at fixed means."""
+def _alpha_slope(data: DataFrame, fit: Fit, alpha: float) -> tuple[float, float]:
+    """Slope and curvature of the log-likelihood in log(1/alpha), at the fit's means."""
     r = 1.0 / alpha
     y, mu, rc = F.col("y"), F.col("_mu"), F.lit(r)
-    d = data.withColumn("_mu", mean_of(fit))
-    log_likelihood = (lgamma(y + rc) - lgamma(rc) - lgamma(y + 1) + rc * F.log(rc / (rc + mu))
-                      + y * F.log(mu / (rc + mu)))
     slope = (digamma(y + rc) - digamma(rc) + F.log(rc / (rc + mu)) + 1 - (rc + y) / (rc + mu))
     curve = (trigamma(y + rc) - trigamma(rc) + 1 / rc - 1 / (rc + mu)
              - (mu - y) / F.pow(rc + mu, F.lit(2)))
-    row = d.agg(F.sum(log_likelihood).alias("l"), F.sum(slope).alias("s"), F.sum(curve).alias("c")).first()
-    return row["l"], r * row["s"], r * r * row["c"] + r * row["s"]
+    row = data.withColumn("_mu", mean_of(fit)).agg(F.sum(slope).alias("s"), F.sum(curve).alias("c")).first()
+    return r * row["s"], r * r * row["c"] + r * row["s"]
+
+
+def _log_likelihood(data: DataFrame, fit: Fit) -> float:
+    y, mu, rc = F.col("y"), F.col("_mu"), F.lit(1.0 / fit.alpha)
+    each = (lgamma(y + rc) - lgamma(rc) - lgamma(y + 1) + rc * F.log(rc / (rc + mu))
+            + y * F.log(mu / (rc + mu)))
+    return data.withColumn("_mu", mean_of(fit)).agg(F.sum(each)).first()[0]
 
 
 def negative_binomial(panel: DataFrame, outcome: str = OUTCOME, covariates: Sequence[str] = COVARIATES,
@@ -154,14 +158,15 @@ def negative_binomial(panel: DataFrame, outcome: str = OUTCOME, covariates: Sequ
             new, inverse = _weighted_step(data, terms, coef, alpha)
             moved, coef = np.max(np.abs(new - coef)), new
             fit = Fit(terms, coef.tolist(), np.sqrt(np.diag(inverse)).tolist(), alpha, n=first["n"])
-            fit.log_likelihood, slope, curve = _alpha_sums(data, fit, alpha)
+            slope, curve = _alpha_slope(data, fit, alpha)
             step = slope / abs(curve) if curve else math.copysign(1.0, slope)
             step = max(-2.0, min(2.0, step))
             if abs(step) < tol and moved < tol:
+                fit.log_likelihood = _log_likelihood(data, fit)
                 return fit
             alpha = alpha * math.exp(-step)
             if alpha < 1e-9:
-                fit.alpha, fit.at_boundary = 0.0, True
+                fit.alpha, fit.at_boundary, fit.log_likelihood = 0.0, True, at_zero["l"]
                 return fit
         raise RuntimeError("dispersion did not converge")
     finally:

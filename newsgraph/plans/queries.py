@@ -397,7 +397,7 @@ MIN_SAMPLES = 120
 
 
 def points_of(spark, sf_dir):
-    return S.event_points(events_of(spark, sf_dir))
+    return cut_lineage(S.event_points(events_of(spark, sf_dir)))
 
 
 @query
