@@ -58,13 +58,17 @@ def vocabulary(docs: DataFrame, min_docs: int = 5, max_share: float = 0.5, max_t
     return top.select("term", "docs", (F.row_number().over(order) - 1).cast("long").alias("index"))
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def _small(df: DataFrame, rows: int | None) -> DataFrame:
+    return F.broadcast(df) if rows is not None and rows <= BROADCAST_ROWS else df
 
 
-def doc_term_matrix(docs: DataFrame, vocab: DataFrame, max_terms: int = 10_000,
+def doc_term_matrix(docs: DataFrame, vocab: DataFrame, max_terms: int | None = None,
                     key: str = "Record_ID") -> DataFrame:
-    """(key, index, n): occurrences of vocabulary terms. ``max_terms`` bounds the vocabulary."""
+    """(key, index, n): occurrences of vocabulary terms.
+
+    ``max_terms``, the bound the vocabulary was made with, allows sending it to
+    every task; without it Spark chooses the join by size.
+    """
     each = docs.select(key, F.explode("tokens").alias("term"))
     return (each.join(_small(vocab.select("term", "index"), max_terms), "term")
             .groupBy(key, "index").agg(F.count(F.lit(1)).alias("n")))
@@ -76,9 +80,7 @@ def term_vectors(docs: DataFrame, terms: Sequence[str]) -> DataFrame:
     Documents without any of the terms are left out.
     """
     model = CountVectorizerModel.from_vocabulary(list(terms), inputCol="tokens", outputCol="features")
-    known = F.arrays_overlap("tokens", F.array(*[F.lit(t) for t in terms])) if len(terms) <= 64 else None
-    out = model.transform(docs)
-    return out.where(known) if known is not None else out
+    return model.transform(docs.where(F.exists("tokens", lambda t: t.isin(list(terms)))))
 
 
 def fit_lda(vectors: DataFrame, k: int, iterations: int = 20, seed: int = 42,
