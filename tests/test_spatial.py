@@ -138,3 +138,26 @@ def test_components_on_a_chain_and_a_star(spark):
 def test_no_core_points(spark):
     rows = SP.dbscan(frame(spark, {(0.0, 0.0): 1, (50.0, 50.0): 1}), 10.0, 5).collect()
     assert [(r.is_core, r.cluster) for r in rows] == [(False, -1)] * 2
+
+
+def test_fine_boxes_are_reached(spark, monkeypatch):
+    """Cells whose first points are too far apart, with near points, and with none."""
+    sides, cell = [], SP._cell
+    monkeypatch.setattr(SP, "_cell", lambda side: sides.append(side) or cell(side))
+    points = {(0.0, 0.01): 5, (0.2, 0.5): 5, (0.0, 1.02): 5, (0.2, 0.54): 5,  # linked by their near points
+              (20.0, 0.01): 5, (20.001, 0.012): 5, (20.0, 1.12): 5, (20.001, 1.122): 5}  # further apart than eps
+    got = {(r.Latitude, r.Longitude): (r.is_core, r.cluster)
+           for r in SP.dbscan(frame(spark, points), 100.0, 5).collect()}
+    assert got == reference_clusters(points, 100.0, 5)
+    assert len({c for _, c in got.values()}) == 3
+    assert min(sides) <= max(sides) / 4 * (1 + 1e-9)
+
+
+def test_last_level_compares_points(spark, monkeypatch):
+    inner = SP._touching_cells
+    monkeypatch.setattr(SP, "_touching_cells", lambda core, eps, side: inner(core, eps, side, last_level=0))
+    points = {(0.0, 0.01): 5, (0.2, 0.5): 5, (0.0, 1.02): 5, (0.2, 0.54): 5,
+              (20.0, 0.01): 5, (20.001, 0.012): 5, (20.0, 1.12): 5, (20.001, 1.122): 5}
+    got = {(r.Latitude, r.Longitude): (r.is_core, r.cluster)
+           for r in SP.dbscan(frame(spark, points), 100.0, 5).collect()}
+    assert got == reference_clusters(points, 100.0, 5)
