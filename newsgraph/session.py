@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -22,28 +24,45 @@ def get_session(app: str = "newsgraph", master: str | None = None, **conf: str)
         # the JIT skips methods above 8000 bytes of code; wide parsing projections
         # run faster as separate generated projections than as one such method
         "spark.sql.codegen.hugeMethodLimit": "8000",
+        # files of checkpoints go when their data are no longer referenced
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     settings.update({k.replace("__", "."): v for k, v in conf.items()})
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make Spark send this package to its Python workers, once per application.
+
+    Workers then need neither an installed copy nor the driver's working directory.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_newsgraph_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(), "newsgraph-package"), "zip",
+                                  os.path.dirname(here), os.path.basename(here))
+    context.addPyFile(archive)
+    context._newsgraph_shipped = True
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, taken from ``spark.checkpoint.dir``.
+    """The folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
-    A local session without the setting gets a temporary folder. A cluster
-    session without it is refused: a folder on one machine would lose
-    checkpoints together with that machine.
+    A local session without the setting uses a folder below the warehouse. A cluster
+    session without it is refused: a folder on one machine would lose checkpoints
+    together with that machine.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="newsgraph-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
