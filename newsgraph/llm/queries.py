@@ -1,11 +1,23 @@
 """The named queries of this subpackage and their SQL counterparts."""
 
+from newsgraph.llm.decontaminate import op7_decontaminate
+from newsgraph.llm.jaccard_join import op2_jaccard_join
+from newsgraph.llm.language_id import op6_language_id
+from newsgraph.llm.line_dedup import LINE_DEDUP_SQL, op4_line_dedup
+from newsgraph.llm.packing import op10_packing
 from newsgraph.llm.substring_dedup import op1_substring_dedup
 from newsgraph.llm.suffix_dedup import op3_suffix_dedup
 
 OP_QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_line_dedup": op4_line_dedup,
+    "op6_language_id": op6_language_id,
+    "op7_decontaminate": op7_decontaminate,
+    "op10_packing": op10_packing,
 }
 
-OP_ORACLES: dict[str, str] = {}
+OP_ORACLES = {
+    "op4_line_dedup": LINE_DEDUP_SQL,
+}

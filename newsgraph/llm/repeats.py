@@ -181,12 +181,14 @@ def repeated_spans(docs: DataFrame, unit: Unit) -> DataFrame:
         anchors = occurrences.groupBy("anchor").agg(F.min("path").alias("low"), F.max("path").alias("high"), *mass)
         anchors = (anchors.filter("least < most" if unit.earlier else "mass > 1")
                    .selectExpr("anchor", "low = high as single", *(["least"] if unit.earlier else [])))
-        live = stored(occurrences.join(anchors, "anchor"), f"paths{level}")
+        # a written table: the join may then deal the rows of a hot anchor to several tasks
+        live = stored(occurrences.join(stored(anchors, f"anchors{level}"), "anchor"), f"paths{level}")
         whole = live.filter("single and least < doc" if unit.earlier else "single")
         branching = live.filter("not single").drop("single", "least")
         by_path = branching.groupBy("anchor", "path").agg(
             *([F.min("doc").alias("least")] if unit.earlier else
               [F.sum("weight").alias("mass"), F.min(F.struct("doc", "base", "start", "n")).alias("first")]))
+        by_path = stored(by_path, f"contents{level}")
         settled = branching.join(by_path, ["anchor", "path"])
         span = ["doc", "start", "n", "path as hash"]
         found += [whole.selectExpr(*span),
@@ -216,8 +218,9 @@ def removed(docs: DataFrame, spans: DataFrame, unit: Unit,
     fields = [f.split()[0] for f in schema.split(", ")]
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = None
         for batch in batches:
+            if not len(batch):
+                continue
             texts = unpacked(batch, 1)
             counts, start, n, digest = _spans(batch, 2)
             limits = np.concatenate([[0], np.cumsum(counts)])
@@ -241,9 +244,8 @@ def removed(docs: DataFrame, spans: DataFrame, unit: Unit,
                     own = slice(first[i], first[i + 1])
                     out.append(finish(texts[k], ranges, starts[own] - part.offsets[i],
                                       ends[own] - part.offsets[i]))
-            columns = [batch.column(0)] + [pa.array(c) for c in zip(*out)]
-            types = types or [c.type for c in columns]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *fields])
+            yield pa.RecordBatch.from_arrays([batch.column(0)] + [pa.array(c) for c in zip(*out)],
+                                             names=["doc_id", *fields])
 
     return (packed_texts(docs, "doc_id").join(wanted, F.col("doc_id") == F.col("doc"), "left")
             .select("doc_id", "packed", "spans").mapInArrow(kernel, f"doc_id long, {schema}"))
