@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from newsgraph.functions.geo import EARTH_KM, haversine_km, unit_vector
 from newsgraph.operators.quantiles import exact_quantiles
 from newsgraph.operators.summary import rounded
+from newsgraph.operators.components import connected_components
 from newsgraph.session import cut_lineage
 
 CHUNK = 4096          # points of one cell that one join key holds
@@ -306,27 +307,6 @@ def _compare_points(unsettled: DataFrame, points: DataFrame, eps_km: float, size
     return out.where(_distance("a_", "b_") <= eps_km).select("cell_a", "cell_b")
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, label): the smallest node id of each component.
-
-    A round takes the smallest label among the neighbours and then follows it to
-    the label its own node had, so labels travel further every round.
-    """
-    both = cut_lineage(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    state = cut_lineage(nodes.select("id", F.col("id").alias("label"), F.lit(True).alias("moved")))
-    while not state.where("moved").isEmpty():
-        offered = (both.join(state.select(F.col("id").alias("b"), F.col("label").alias("l")), "b")
-                   .groupBy(F.col("a").alias("id")).agg(F.min("l").alias("l")))
-        hooked = state.join(offered, "id", "left").select(
-            "id", F.col("label").alias("old"), F.least("label", "l").alias("label"))
-        # a root's label is itself, so however many nodes follow a root, none meets a row here
-        onward = state.where("id != label").select(F.col("id").alias("label"), F.col("label").alias("next"))
-        state = cut_lineage(hooked.join(onward, "label", "left").select(
-            "id", F.coalesce("next", "label").alias("label"),
-            (F.coalesce("next", "label") != F.col("old")).alias("moved")))
-    return state.select("id", "label")
-
-
 def _numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Rows numbered from 0 in ``order``, by position within range partitions."""
     low = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
