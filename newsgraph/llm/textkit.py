@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: Bytes of text a kernel looks at together; one longer document is a slice of its own.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 400_000
 
 #: ASCII white space: blank, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = b" \t\n\x0b\x0c\r"
