@@ -21,6 +21,9 @@ from newsgraph.llm.repeats import stored
 #: Scale of the integer components, answers per query, most pivots, vectors of a block.
 SCALE, TOP, PIVOTS, BLOCK = 256, 5, 64, 2048
 
+#: Below any score; its negative is a number too.
+_NONE = -(1 << 62)
+
 _RESULT = "query_id long, vec_id long, score long"
 
 
@@ -96,10 +99,10 @@ def _solve(pairs: DataFrame, top: int) -> DataFrame:
                     ids = q[low:low + 256]
                     score = (x[low:low + 256].astype(float) @ y.T.astype(float)).astype(np.int64) if small \
                         else x[low:low + 256] @ y.T
-                    score[ids[:, None] == c] = np.iinfo(np.int64).min
+                    score[ids[:, None] == c] = _NONE
                     best = np.argsort(-score, axis=1, kind="stable")[:, :top] if len(c) <= 4 * top else _top(score, top)
                     keep = np.take_along_axis(score, best, 1)
-                    row, col = np.nonzero(keep > np.iinfo(np.int64).min)
+                    row, col = np.nonzero(keep > _NONE)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(ids[row]), pa.array(c[best[row, col]]), pa.array(keep[row, col])],
                         names=["query_id", "vec_id", "score"])
@@ -186,7 +189,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP, pivots: int
     floor = stored(floor.filter(F.col("have") >= top).select("query_id", "least"), "floor")
     open_ = (sent.join(floor, F.col("vec_id") == F.col("query_id"), "left")
              .filter(F.col("least").isNull() | (F.col("most") >= F.col("least"))).drop("query_id", "least"))
-    return _best(met(open_, blocks).distinct() if False else met(open_, blocks), top).select(
+    return _best(met(open_, blocks), top).select(
         "query_id", "rank", "vec_id", "score")
 
 
