@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, functions as F
 
 # Every character that counts as white space, as a list for trimming and as a
@@ -41,14 +43,34 @@ def word_count(c: Column) -> Column:
     return F.size(F.array_remove(pieces, "")).cast("long")
 
 
-# Entities undone in extracted text; the ampersand comes last.
-ENTITIES = [
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-    ("&nbsp;", " "), ("&#160;", " "), ("&lsquo;", "\u2018"), ("&rsquo;", "\u2019"),
-    ("&ldquo;", "\u201c"), ("&rdquo;", "\u201d"), ("&ndash;", "\u2013"),
-    ("&mdash;", "\u2014"), ("&hellip;", "\u2026"), ("&#8217;", "\u2019"),
-    ("&amp;", "&"),
-]
+# Names of characters in markup: the standard's table as Python's own library has it.
+ENTITIES = {**{name: chr(code) for name, code in name2codepoint.items()}, "apos": "'"}
+
+
+def undo_entities(c: Column) -> Column:
+    """``&name;``, ``&#n;`` and ``&#xh;`` as the characters they stand for, once each.
+
+    Unknown names stay as they are; numbers that are no character give U+FFFD.
+    """
+    names = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
+
+    def character(code: Column) -> Column:
+        good = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        points = F.lpad(F.hex(F.when(good, code).otherwise(F.lit(0xFFFD))), 8, "0")
+        return F.decode(F.unhex(points), "UTF-32")
+
+    def undone(part: Column) -> Column:
+        name = F.regexp_extract(part, r"(?s)^(#[0-9]{1,9}|#[xX][0-9a-fA-F]{1,7}|[A-Za-z][A-Za-z0-9]*);", 1)
+        number = F.when(F.startswith(F.lower(name), F.lit("#x")), F.conv(F.substr(name, F.lit(3)), 16, 10)) \
+            .when(F.startswith(name, F.lit("#")), F.substr(name, F.lit(2))).cast("long")
+        char = F.when(number.isNotNull(), character(number)).otherwise(F.try_element_at(names, name))
+        return F.when(char.isNull(), F.concat(F.lit("&"), part)).otherwise(
+            F.concat(char, F.substr(part, F.length(name) + 2)))
+
+    parts = F.split(c, "&", -1)
+    return F.concat(F.get(parts, F.lit(0)), F.array_join(
+        F.transform(F.slice(parts, 2, F.size(parts)), undone), ""))
+
 
 HIDDEN_MARKUP = (
     r"(?is)<script[ \t\n\r\f>].*?(?:</script[^>]*>|\z)"
@@ -69,6 +91,4 @@ def paragraph_text(html: Column) -> Column:
     page = F.regexp_replace(F.coalesce(html, F.lit("")), HIDDEN_MARKUP, " ")
     inside = F.regexp_replace(F.concat(F.lit("</p>"), page), BETWEEN_PARAGRAPHS, " $1")
     plain = F.regexp_replace(inside, TAG, " ")
-    for entity, char in ENTITIES:
-        plain = F.replace(plain, F.lit(entity), F.lit(char))
-    return squeeze(plain)
+    return squeeze(F.when(F.contains(plain, F.lit("&")), undo_entities(plain)).otherwise(plain))

@@ -102,8 +102,19 @@ def drop_report(raw: DataFrame) -> DataFrame:
 
 
 def missing_columns(df: DataFrame, required: Sequence[str] = REQUIRED_COLUMNS) -> DataFrame:
-    absent = [c for c in required if c not in df.columns]
-    return df.sparkSession.createDataFrame([(c,) for c in absent], "missing_column string")
+    """(column, present, n_null, n_blank) per required column, over all rows.
+
+    An absent column is null in every row; texts of nothing but blanks count as blank.
+    """
+    sums = [F.count(F.lit(1)).alias("_rows")]
+    for i, c in enumerate(required):
+        value = F.col(c) if c in df.columns else F.lit(None).cast("string")
+        sums += [F.count_if(value.isNull()).alias(f"n{i}"), F.count_if(F.btrim(value.cast("string")) == "").alias(f"b{i}")]
+    one = df.agg(*sums)
+    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(c in df.columns).alias("present"),
+                              F.col(f"n{i}").alias("n_null"), F.col(f"b{i}").alias("n_blank"))
+                     for i, c in enumerate(required)])
+    return one.select(F.inline(rows))
 
 
 def standardise_country(df: DataFrame, aliases: Mapping[str, str] = COUNTRY_ALIASES,

@@ -24,22 +24,30 @@ def sampled_days(span: DataFrame, start: str = "start", end: str = "end",
                        source_url(stamp, template).alias("source_url"))
 
 
-def rows_per_day(raw: DataFrame) -> DataFrame:
-    """Records per day, by the first eight characters of DATE."""
-    return raw.groupBy(F.substring("DATE", 1, 8).alias("day")).agg(F.count(F.lit(1)).alias("n"))
+def rows_per_day(raw: DataFrame, day: Column | None = None) -> DataFrame:
+    """Records per day, by the first eight characters of DATE or by ``day`` (yyyyMMdd)."""
+    day = F.substring("DATE", 1, 8) if day is None else day
+    return raw.groupBy(day.alias("day")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def file_stamp(path: Column) -> Column:
+    """The 14 digits in a file's name; its first eight are the day the file was queried for."""
+    return F.regexp_extract(path, r"([0-9]{14})[^/]*$", 1)
 
 
 def iso_day(day8: Column) -> Column:
     return F.concat_ws("-", F.substring(day8, 1, 4), F.substring(day8, 5, 2), F.substring(day8, 7, 2))
 
 
-def extraction_manifest(days: DataFrame, matched: DataFrame, failed: DataFrame | None = None) -> DataFrame:
+def extraction_manifest(days: DataFrame, matched: DataFrame, failed: DataFrame | None = None,
+                        day: Column | None = None) -> DataFrame:
     """One row per sampled day with its matched rows, zero included.
 
+    Rows belong to the day of their DATE, or to ``day``, as to that of the file they come from.
     With ``failed`` (a ``date`` column) the manifest also says whether the day
     was read, so that a resume can tell a failure from a true zero.
     """
-    counts = rows_per_day(matched).select(iso_day(F.col("day")).alias("date"), "n")
+    counts = rows_per_day(matched, day).select(iso_day(F.col("day")).alias("date"), "n")
     out = days.join(counts, "date", "left").select(
         *days.columns, F.coalesce("n", F.lit(0)).cast("long").alias("rows_matched"))
     if failed is None:
@@ -66,9 +74,14 @@ def records_to_do(rows: DataFrame, attempts: DataFrame, limit: int = 0,
 
 
 def repair_manifest(manifest: DataFrame, raw: DataFrame, daily_time: str = "121500",
-                    template: str = URL_TEMPLATE) -> DataFrame:
-    """Counts found in the raw records replace manifest entries; other days stay as they are."""
-    counts = rows_per_day(raw)
+                    template: str = URL_TEMPLATE, day: Column | None = None) -> DataFrame:
+    """Counts found in the raw records replace manifest entries; other days stay as they are.
+
+    A ``status`` stays too, so failed days are still due; days found in the records are ok.
+    """
+    counts = rows_per_day(raw, day)
+    status = [F.when(F.col("_n").isNotNull(), "ok").otherwise(F.col("status")).alias("status")] \
+        if "status" in manifest.columns else []
     stamp = F.concat("day", F.lit(daily_time))
     found = counts.select(
         iso_day(F.col("day")).alias("date"), stamp.alias("_ts"),
@@ -77,7 +90,7 @@ def repair_manifest(manifest: DataFrame, raw: DataFrame, daily_time: str = "1215
         "date",
         F.coalesce("_ts", "timestamp_queried").alias("timestamp_queried"),
         F.coalesce("_url", "source_url").alias("source_url"),
-        F.coalesce("_n", "rows_matched").alias("rows_matched"),
+        F.coalesce("_n", "rows_matched").alias("rows_matched"), *status,
     ).orderBy("date")
 
 

@@ -8,7 +8,6 @@ from newsgraph.functions.plan import once
 from newsgraph.functions.text import paragraph_text, squeezed_words
 
 MIN_WORDS = 50
-RULES_BYTES = 64 * 1024 * 1024
 
 # The reasons a fetch is logged with.
 NO_URL = "no Source_URL in input row"
@@ -18,40 +17,40 @@ NOT_HTML = "non-HTML content-type: "
 SHORT_BEFORE, SHORT_AFTER = "only ", " words extracted (likely paywall/stub/non-article page)"
 
 
+# scheme, user, host (or an address in brackets), port, then path and query up to a fragment
+_URL = r"(?s)^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)(?::[^/?#]*)?([^#]*)"
+
+
 def url_host(url: Column) -> Column:
-    return F.try_parse_url(url, F.lit("HOST"))
+    """The host in lower case, by cutting the text: an odd character does not hide it."""
+    return F.lower(F.regexp_extract(url, _URL, 1))
 
 
 def url_target(url: Column) -> Column:
     """Path and query, as robots rules see them."""
-    path = F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit(""))
-    query = F.try_parse_url(url, F.lit("QUERY"))
-    path = F.when(path == "", F.lit("/")).otherwise(path)
-    return F.when(query.isNotNull(), F.concat(path, F.lit("?"), query)).otherwise(path)
+    target = F.regexp_extract(url, _URL, 2)
+    return F.when(F.startswith(target, F.lit("/")), target).otherwise(F.concat(F.lit("/"), target))
 
 
 def with_permission(rows: DataFrame, rules: DataFrame, match: str = "longest") -> DataFrame:
     """Adds ``allowed``: the rule of the URL's host that applies, or true when none does.
 
     ``longest``: the longest matching prefix decides and an allow wins a tie.
-    ``first``: the first match by ``position`` decides. Rules travel as one array
-    per host (a robots file is read up to 500 KiB), so every page meets one row and
-    nothing is multiplied. Rules of up to ``RULES_BYTES`` are sent to every task and
-    the pages stay where they are; beyond that the join shuffles, and adaptive
-    execution splits a host with very many pages.
+    ``first``: the first match by ``position`` decides, a column the rules must have. Rules travel
+    as one array per host, so every page meets one row and nothing is multiplied. Spark
+    chooses the join by the size of the rules; where it shuffles, adaptive execution
+    splits a host with very many pages.
     """
     rules = rules.where(F.length("path_prefix") > 0)
-    size = rules.agg(F.sum(F.octet_length("host") + F.octet_length("path_prefix") + 32)).first()[0] or 0
-    fields = {"longest": [(-F.length("path_prefix")).alias("o"), (~F.col("allow")).alias("deny")],
-              "first": [F.col("position").alias("o") if "position" in rules.columns
-                        else F.lit(0).alias("o"), (~F.col("allow")).alias("deny")]}[match]
+    if match == "first" and "position" not in rules.columns:
+        raise ValueError("rules need a position to be matched in their order")
+    rank = {"longest": -F.length("path_prefix"), "first": F.expr("position") if match == "first" else None}[match]
+    fields = [rank.alias("o"), (~F.col("allow")).alias("deny")]
     by_host = (rules.groupBy(F.lower("host").alias("_host")).agg(
         F.array_sort(F.collect_list(F.struct(*fields, "path_prefix"))).alias("_rules")))
-    if size <= RULES_BYTES:
-        by_host = F.broadcast(by_host)
     target = F.col("_target")
     applying = F.filter("_rules", lambda r: F.startswith(target, r["path_prefix"]))
-    return (rows.withColumns({"_host": F.lower(url_host(F.col("url"))),
+    return (rows.withColumns({"_host": url_host(F.col("url")),
                               "_target": url_target(F.col("url"))})
             .join(by_host, "_host", "left")
             .withColumn("allowed", ~F.coalesce(F.get(applying, F.lit(0))["deny"], F.lit(False)))

@@ -49,35 +49,30 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequen
                     direct_rows: int = 1_000_000) -> dict[str, list[float] | None]:
     """Linear-interpolated quantiles per column; None where a column has no values.
 
-    A column of at most ``direct_rows`` values goes to ``percentile`` at once.
-    Beyond that, its state would grow with the number of different values, so
-    each wanted rank is first narrowed: ``percentile_approx``, whose state is
-    bounded, gives two values close around the rank, and a count decides on which
-    side of them it lies. A round cuts the values left by three orders of magnitude.
+    Each wanted rank is narrowed until at most ``direct_rows`` values are left around it:
+    ``percentile_approx``, whose state is bounded, gives two values close around the rank, and a
+    count decides on which side of them it lies. A round cuts the values left by three
+    orders of magnitude; a short column needs none. What is left goes to an exact aggregate.
     """
     if not columns:
         return {}
     data = df.select(*[F.when(~F.isnan(c), F.col(c)).cast("double").alias(c) for c in columns])
     counts = data.agg(*[F.count(c).alias(c) for c in columns]).first()
     result: dict[str, list[float] | None] = {c: None for c in columns}
-    short = [c for c in columns if 0 < counts[c] <= direct_rows]
-    if short:
-        row = data.agg(*[F.percentile(c, list(probabilities)).alias(c) for c in short]).first()
-        result.update({c: list(row[c]) for c in short})
-    long = [c for c in columns if counts[c] > direct_rows]
     searches = {}
-    for c in long:
-        for p in probabilities:
+    for c in columns:
+        for p in probabilities if counts[c] else ():
             at = p * (counts[c] - 1)
             for r in (math.floor(at), math.ceil(at)):
-                searches[c, r] = _Search(c, r, counts[c])
+                searches.setdefault((c, r), _Search(c, r, counts[c]))
     _select(data, list(searches.values()), direct_rows)
-    for c in long:
-        result[c] = []
-        for p in probabilities:
-            at = p * (counts[c] - 1)
-            a, b = searches[c, math.floor(at)].value, searches[c, math.ceil(at)].value
-            result[c].append(a + (b - a) * (at - math.floor(at)))
+    for c in columns:
+        if counts[c]:
+            result[c] = []
+            for p in probabilities:
+                at = p * (counts[c] - 1)
+                a, b = searches[c, math.floor(at)].value, searches[c, math.ceil(at)].value
+                result[c].append(a + (b - a) * (at - math.floor(at)))
     return result
 
 

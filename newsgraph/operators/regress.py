@@ -35,6 +35,9 @@ class Fit:
     n: int = 0
 
 
+MOST_ROUNDS = 100
+
+
 def complete_cases(panel: DataFrame, outcome: str, covariates: Sequence[str]) -> DataFrame:
     return panel.select(F.col(outcome).cast("double").alias("y"),
                         *[F.col(c).cast("double").alias(c) for c in covariates]).dropna()
@@ -45,8 +48,10 @@ def poisson(panel: DataFrame, outcome: str = OUTCOME, covariates: Sequence[str]
     data = VectorAssembler(inputCols=list(covariates), outputCol="features").transform(
         complete_cases(panel, outcome, covariates)).select("y", "features")
     model = GeneralizedLinearRegression(
-        family="poisson", link="log", labelCol="y", tol=1e-10, maxIter=100).fit(data)
+        family="poisson", link="log", labelCol="y", tol=1e-10, maxIter=MOST_ROUNDS).fit(data)
     summary = model.summary
+    if summary.numIterations >= MOST_ROUNDS:
+        raise RuntimeError(f"the Poisson fit did not settle in {MOST_ROUNDS} rounds")
     # Spark lists the intercept last
     se = list(summary.coefficientStandardErrors)
     return Fit(["Intercept", *covariates], [model.intercept, *model.coefficients.toArray().tolist()],

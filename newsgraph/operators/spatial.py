@@ -324,9 +324,11 @@ def _numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
 # ---- density grid ----------------------------------------------------------
 
 def kde_grid(points: DataFrame, step_deg: float = 1.0, bandwidth_km: float = 200.0,
-             cutoff: float = 3.0) -> DataFrame:
+             cutoff: float = 8.6) -> DataFrame:
     """Gaussian density per grid cell centre, from points within ``cutoff`` bandwidths.
 
+    At the default a point further away would add less than a double can hold beside 1.
+
     Every point adds to the cells in its reach; sums start before the shuffle.
     """
     reach = min(cutoff * bandwidth_km, LARGEST_KM)

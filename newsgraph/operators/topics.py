@@ -13,6 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window, functions as F
 
 from newsgraph.functions.plan import once
+from newsgraph.session import shared_dir
 
 WORD = r"\p{L}+"
 # Words that carry no topic; an argument everywhere, this is the default
@@ -21,8 +22,6 @@ STOP_WORDS = (
     "from had has have he her his how i if in into is it its just more most new no not of on one only "
     "or other our out over said she so some such than that the their them then there they this to two "
     "up was we were what when where which who will with would you your").split()
-# a vocabulary or term table up to this many rows is sent to every task
-BROADCAST_ROWS = 200_000
 # Fixed value: keeps logarithms finite in the coherence measure
 EPSILON = 1e-12
 
@@ -36,12 +35,18 @@ def tokens(texts: DataFrame, key: str = "Record_ID", text: str = "text",
 
 
 def lemmatise(docs: DataFrame, lemmas: DataFrame, key: str = "Record_ID") -> DataFrame:
-    """Tokens replaced through a (form, lemma) table; other tokens stay."""
-    each = docs.select(key, F.posexplode("tokens").alias("pos", "form"))
-    found = each.join(lemmas.select("form", "lemma"), "form", "left").groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("pos", F.coalesce("lemma", "form").alias("t")))).alias("p"))
-    return docs.select(key).join(found, key, "left").select(
-        key, F.coalesce(F.col("p.t"), F.array().cast("array<string>")).alias("tokens"))
+    """Tokens replaced through a (form, lemma) table; other tokens stay, as do repeated rows.
+
+    A document meets each of its different forms once, and only those with a lemma go
+    back to it, as a map. Of several lemmas of one form the smallest counts.
+    """
+    one = lemmas.groupBy("form").agg(F.min("lemma").alias("lemma"))
+    each = docs.select(key, F.explode(F.array_distinct("tokens")).alias("form")).distinct()
+    found = each.join(one, "form").groupBy(key).agg(
+        F.map_from_entries(F.collect_list(F.struct("form", "lemma"))).alias("_lemmas"))
+    swapped = F.transform("tokens", lambda t: F.coalesce(F.try_element_at("_lemmas", t), t))
+    return docs.join(found, key, "left").select(
+        key, F.when(F.col("_lemmas").isNull(), F.col("tokens")).otherwise(swapped).alias("tokens"))
 
 
 def vocabulary(docs: DataFrame, min_docs: int = 5, max_share: float = 0.5, max_terms: int = 10_000,
@@ -58,43 +63,35 @@ def vocabulary(docs: DataFrame, min_docs: int = 5, max_share: float = 0.5, max_t
     return top.select("term", "docs", (F.row_number().over(order) - 1).cast("long").alias("index"))
 
 
-def _small(df: DataFrame, rows: int | None) -> DataFrame:
-    return F.broadcast(df) if rows is not None and rows <= BROADCAST_ROWS else df
-
-
-def doc_term_matrix(docs: DataFrame, vocab: DataFrame, max_terms: int | None = None,
-                    key: str = "Record_ID") -> DataFrame:
-    """(key, index, n): occurrences of vocabulary terms.
-
-    ``max_terms``, the bound the vocabulary was made with, allows sending it to
-    every task; without it Spark chooses the join by size.
-    """
+def doc_term_matrix(docs: DataFrame, vocab: DataFrame, key: str = "Record_ID") -> DataFrame:
+    """(key, index, n): occurrences of vocabulary terms; Spark chooses the join by size."""
     each = docs.select(key, F.explode("tokens").alias("term"))
-    return (each.join(_small(vocab.select("term", "index"), max_terms), "term")
+    return (each.join(vocab.select("term", "index"), "term")
             .groupBy(key, "index").agg(F.count(F.lit(1)).alias("n")))
 
 
 def term_vectors(docs: DataFrame, terms: Sequence[str]) -> DataFrame:
     """Adds ``features``: counts of ``terms``, made row by row without a shuffle.
 
-    Documents without any of the terms are left out.
+    Documents without any of the terms stay, with an empty vector.
     """
     model = CountVectorizerModel.from_vocabulary(list(terms), inputCol="tokens", outputCol="features")
-    return model.transform(docs.where(F.exists("tokens", lambda t: t.isin(list(terms)))))
+    return model.transform(docs)
 
 
-def fit_lda(vectors: DataFrame, k: int, iterations: int = 20, seed: int = 42,
-            batch_share: float = 0.05) -> LDAModel:
-    """Online variational LDA; each step reads a sample of documents.
+def fit_lda(vectors: DataFrame, k: int, iterations: int = 20, seed: int = 42) -> LDAModel:
+    """LDA by expectation-maximisation: every step reads every document that has a term.
 
     Vectors not kept by the caller are kept here for the length of the fit.
     """
+    context = vectors.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_dir(vectors.sparkSession))
     keep = vectors.storageLevel == StorageLevel.NONE
     if keep:
         vectors.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return LDA(k=k, maxIter=iterations, seed=seed, optimizer="online",
-                   subsamplingRate=batch_share, featuresCol="features").fit(vectors)
+        return LDA(k=k, maxIter=iterations, seed=seed, optimizer="em", featuresCol="features").fit(vectors)
     finally:
         if keep:
             vectors.unpersist()
@@ -103,24 +100,23 @@ def fit_lda(vectors: DataFrame, k: int, iterations: int = 20, seed: int = 42,
 def topic_top_terms(model, terms: Sequence[str], top: int = 10) -> DataFrame:
     """(topic, rank, term, weight); k x top rows."""
     table = model.describeTopics(top)
-    words = F.array(*[F.lit(t) for t in terms]) if len(terms) <= 2000 else None
     flat = table.select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "t"))
-    if words is not None:
-        name = F.get(words, F.col("t.termIndices"))
-        return flat.select("topic", (F.col("rank") + 1).alias("rank"), name.alias("term"),
-                           F.col("t.termWeights").alias("weight"))
-    rows = [(r["topic"], r["rank"] + 1, terms[r["t"]["termIndices"]], r["t"]["termWeights"])
-            for r in flat.collect()]
-    return flat.sparkSession.createDataFrame(rows, "topic int, rank int, term string, weight double")
+    names = flat.sparkSession.createDataFrame(list(enumerate(terms)), "termIndices int, term string")
+    return flat.select("topic", (F.col("rank") + 1).alias("rank"), "t.termIndices", "t.termWeights").join(
+        names, "termIndices").select("topic", "rank", "term", F.col("termWeights").alias("weight"))
 
 
 def dominant_topic(model, vectors: DataFrame, key: str = "Record_ID") -> DataFrame:
-    """(key, Topic_Label, share, total): the largest topic of each document, first one on ties."""
+    """(key, Topic_Label, share, total): the largest topic of each document, first one on ties.
+
+    A document without any vocabulary term stays, with a null label and share and a total of 0.
+    """
     shares = model.transform(vectors).select(key, vector_to_array("topicDistribution").alias("d"))
     best = F.array_max("d")
+    known = best > 0
     return shares.select(
-        key, F.concat(F.lit("Topic "), F.array_position("d", best) - 1).alias("Topic_Label"),
-        best.alias("share"), F.aggregate("d", F.lit(0.0), lambda a, x: a + x).alias("total"))
+        key, F.when(known, F.concat(F.lit("Topic "), F.array_position("d", best) - 1)).alias("Topic_Label"),
+        F.when(known, best).alias("share"), F.aggregate("d", F.lit(0.0), lambda a, x: a + x).alias("total"))
 
 
 # ---- coherence -------------------------------------------------------------
@@ -196,9 +192,13 @@ def _cv(terms: list[str], counts: dict[str, int], total: int) -> float:
     return float(np.mean(np.divide(m @ whole, norms, out=np.zeros(n), where=norms > 0)))
 
 
+def best_k(scores: Iterable[tuple[int, float]]) -> int:
+    """The k of the best mean coherence, to nine decimals; the smaller k on ties."""
+    return max(scores, key=lambda s: (-math.inf if s[1] is None or math.isnan(s[1]) else round(s[1], 9), -s[0]))[0]
+
+
 def select_k(docs: DataFrame, terms: Sequence[str], ks: Iterable[int], top: int = 10,
-             iterations: int = 20, seed: int = 42, window: int = 110, batch_share: float = 0.05,
-             key: str = "Record_ID"):
+             iterations: int = 20, seed: int = 42, window: int = 110, key: str = "Record_ID"):
     """Fits one model per k and scores it; returns (table of k and coherence, best model).
 
     The best mean coherence wins, the smaller k on ties. Vectors are kept for all fits.
@@ -207,13 +207,13 @@ def select_k(docs: DataFrame, terms: Sequence[str], ks: Iterable[int], top: int
     try:
         scores, models = [], {}
         for k in sorted(ks):
-            models[k] = fit_lda(vectors, k, iterations, seed, batch_share)
+            models[k] = fit_lda(vectors, k, iterations, seed)
             tops: dict[int, list[str]] = {}
             for r in topic_top_terms(models[k], terms, top).orderBy("topic", "rank").collect():
                 tops.setdefault(r["topic"], []).append(r["term"])
             mean = coherence_cv(docs, tops, window, key).agg(F.avg("coherence")).first()[0]
             scores.append((k, mean))
-        best = max(scores, key=lambda s: (round(s[1], 9), -s[0]))[0]
+        best = best_k(scores)
         table = docs.sparkSession.createDataFrame(
             [(k, c, k == best) for k, c in scores], "k int, coherence double, chosen boolean")
         return table, models[best]

@@ -5,17 +5,17 @@ Each stage reads what the one before has written, so it can be run again alone.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.errors import AnalysisException
 
 from newsgraph.operators import (
-    clean as C, manifest as M, pages as PG, regress as R, spatial as SP, summary as S,
+    clean as C, manifest as M, pages as PG, regress as R, spatial as SP, summary as S, topics as T,
 )
 from newsgraph.operators.panel import country_month_panel
-from newsgraph.schema import FILTER_CODES, TONE_COLUMNS
-from newsgraph.session import cut_lineage, scratch_path
+from newsgraph.schema import CONTEXT_CODES, FILTER_CODES, REQUIRED_COLUMNS, TONE_COLUMNS
+from newsgraph.session import cut_lineage, scratch_path, ship_package
 from newsgraph.sources import archive as A, files as FS
 
 ORDER = "path string, line_no long"
@@ -34,41 +34,70 @@ def _present(read, *args) -> DataFrame | None:
 
 def extract(spark: SparkSession, landing: str, raw: str, manifest: str, start: str, end: str,
             daily_time: str = "121500", codes: Sequence[str] = FILTER_CODES, resume: bool = False,
-            legacy: bool = False) -> DataFrame:
+            legacy: bool = False, legacy_quotes: bool = False) -> DataFrame:
     """Matching records of one archive per day into ``raw``; returns this run's manifest rows.
 
-    With ``resume``, days found in the manifest or in the raw records are left
-    out and the rest is appended. Days whose file is missing or broken are marked
-    and due again, unless ``legacy``.
+    With ``resume``, the manifest decides which days are due: those it lacks, and those whose file
+    was missing or broken, unless ``legacy``. Only where it lacks a day do raw records count: they
+    are of a run that stopped before its manifest, which then gets their row. A broken file
+    gives no record. Rows count for the day of their file. ``legacy_quotes`` reads quotes in
+    archives as quoting.
     """
+    ship_package(spark)
     span = spark.createDataFrame([(start, end)], "start string, end string")
-    days = M.sampled_days(span, daily_time=daily_time)
-    known = _present(lambda: spark.read.parquet(manifest)) if resume else None
-    have = _present(lambda: FS.read_raw(spark, raw, order=ORDER)) if resume else None
-    if known is not None:
-        days = M.days_to_do(days, known, legacy)
-    if have is not None:
-        # records of a run that stopped before its manifest was written
-        stored = have.select(M.iso_day(F.col("day")).alias("date")).distinct()
-        days = days.join(stored, "date", "left_anti")
-    days = cut_lineage(days)
+    sampled = cut_lineage(M.sampled_days(span, daily_time=daily_time))
+    days, rescued = sampled, None
+    file_day = F.substring(M.file_stamp(F.col("path")), 1, 8)
+    if resume:
+        known = _present(lambda: FS.read_manifest(spark, manifest))
+        have = _present(lambda: FS.read_raw(spark, raw, order=ORDER))
+        if known is not None:
+            days = M.days_to_do(days, known, legacy)
+        if have is not None:
+            held = M.rows_per_day(have, file_day).select(M.iso_day(F.col("day")).alias("date"), F.col("n").alias("rows_matched"))
+            if known is not None:
+                held = held.join(known.select("date"), "date", "left_anti")
+            rescued = cut_lineage(days.join(held, "date").withColumn("status", F.lit("ok")))
+            days = days.join(rescued.select("date"), "date", "left_anti")
+        days = cut_lineage(days)
 
     # one pass over the archives: matches, and a row without fields per broken file
-    archives = A.of_days(A.read_archives(spark, landing, daily_time), days)
+    archives = A.of_days(spark, landing, days, daily_time)
     staged = scratch_path(spark, "matched")
-    A.matching_or_broken(A.archive_lines(archives), codes).write.parquet(staged)
+    A.matching_or_broken(A.archive_lines(archives, legacy_quotes), codes).write.parquet(staged)
     found = spark.read.parquet(staged)
-    matched = found.where("NOT broken")
+    matched = A.of_sound_files(found)
     FS.write_raw(matched, raw, "append" if resume else "overwrite", order=ORDER_COLUMNS)
 
     sound = archives.select("path").join(found.where("broken").select("path"), "path", "left_anti")
-    stamp = F.regexp_extract("path", r"([0-9]{14})[^/]*$", 1).alias("timestamp_queried")
-    failed = days.join(sound.select(stamp), "timestamp_queried", "left_anti")
-    rows = M.extraction_manifest(days, matched, failed)
-    rows.write.mode("append" if resume else "overwrite").parquet(manifest)
+    failed = days.join(sound.select(M.file_stamp(F.col("path")).alias("timestamp_queried")), "timestamp_queried", "left_anti")
+    rows = M.extraction_manifest(days, matched, failed, file_day)
+    rows = cut_lineage(rows.unionByName(rescued) if rescued is not None else rows)
+    FS.write_manifest(rows, manifest, "append" if resume else "overwrite")
     return rows
 
 
+def repair(spark: SparkSession, raw: str, manifest: str, daily_time: str = "121500") -> DataFrame:
+    """The manifest rewritten with what the raw records hold; failed days stay due."""
+    records = FS.read_raw(spark, raw, order=ORDER)
+    fixed = cut_lineage(M.repair_manifest(
+        FS.read_manifest(spark, manifest), records, daily_time, day=F.substring(M.file_stamp(F.col("path")), 1, 8)))
+    FS.write_manifest(fixed, manifest, "overwrite")
+    return fixed
+
+
+def pilot(spark: SparkSession, prepared: DataFrame, cleaned: str, sample: str, n: int = 50, seed: int = 42,
+          required: Sequence[str] = REQUIRED_COLUMNS) -> DataFrame:
+    """A prepared event table, checked, cleaned and sampled into two tables; returns the check."""
+    gaps = cut_lineage(C.missing_columns(prepared, required))
+    absent = [r["column"] for r in gaps.where("NOT present").collect()]
+    if absent:
+        raise ValueError(f"required columns are missing: {', '.join(absent)}")
+    C.pilot_clean(prepared).write.mode("overwrite").parquet(cleaned)
+    C.seeded_sample(spark.read.parquet(cleaned), n, seed).write.mode("overwrite").parquet(sample)
+    return gaps
+
+
 def clean(spark: SparkSession, raw: str, events: str) -> DataFrame:
     """Raw records into ``events``; returns the drop report."""
     records = FS.read_raw(spark, raw, order=ORDER)
@@ -94,12 +123,32 @@ def collect_articles(spark: SparkSession, fetched: DataFrame, rules: DataFrame,
     return PG.status_counts(PG.fetch_manifest(outcomes))
 
 
+def topics(spark: SparkSession, articles: str, events: str, results: str, ks: Sequence[int] = (5, 10, 15),
+           min_docs: int = 5, max_share: float = 0.5, max_terms: int = 10_000, iterations: int = 20) -> DataFrame:
+    """Topics of the collected articles, met with their events; returns the tone per topic.
+
+    Every event stays: one without text, or whose text has no term of the vocabulary, has no topic.
+    """
+    staged = scratch_path(spark, "tokens")
+    T.tokens(FS.read_articles(spark, articles)).write.parquet(staged)
+    docs = spark.read.parquet(staged)
+    vocabulary = T.vocabulary(docs, min_docs, max_share, max_terms).orderBy("index")
+    terms = [r["term"] for r in vocabulary.collect()]  # at most max_terms
+    scores, model = T.select_k(docs, terms, ks, iterations=iterations)
+    labels = T.dominant_topic(model, T.term_vectors(docs, terms)).select("Record_ID", "Topic_Label")
+    labelled = cut_lineage(FS.read_events(spark, events).join(labels, "Record_ID", "left"))
+    tone = S.topic_tone(labelled.drop("Topic_Label"), labelled.select("Record_ID", "Topic_Label"), "Record_ID")
+    FS.export_results({"topic_vs_tone": tone, "topic_scores": scores, "topic_terms": T.topic_top_terms(model, terms),
+                       "event_topics": labelled.select("Record_ID", "Topic_Label")}, results)
+    return spark.read.parquet(f"{results}/topic_vs_tone.parquet")
+
+
 def analyse(spark: SparkSession, events: str, results: str, eps_km: float = 200.0, min_samples: int = 10,
-            top_themes: int = 20) -> None:
+            top_themes: int = 20, context_codes: Mapping[str, Sequence[str]] = CONTEXT_CODES) -> None:
     """Theme, tone, space and panel tables of stored events, with the count models."""
     stored = FS.read_events(spark, events)
     points = cut_lineage(S.event_points(stored))
-    panel = cut_lineage(country_month_panel(stored))
+    panel = cut_lineage(country_month_panel(stored, codes=context_codes))
     tables = {
         "country_month_panel": panel,
         "theme_frequencies": S.theme_frequency(stored, top_themes),

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from newsgraph.functions.text import (
-    BETWEEN_PARAGRAPHS, ENTITIES, HIDDEN_MARKUP, PADDED_DECIMAL, SPACE_CLASS, TAG,
-)
+from html.entities import name2codepoint
+
+from newsgraph.functions.text import PADDED_DECIMAL, SPACE_CLASS
 from newsgraph.operators import pages as PG
 from newsgraph.operators.manifest import URL_TEMPLATE
 from newsgraph.plans.views import ROBOTS_RULES, VIEW_CODES
@@ -156,10 +156,25 @@ RULES = "rules(host, allow, prefix) AS (VALUES " + ", ".join(
     f"({quote(h)}, {str(a).lower()}, {quote(p)})" for h, a, p in ROBOTS_RULES) + ")"
 
 
+# written out anew, so that a slip in the implementation's own patterns shows
+SCRIPTS = (r"(?is)<(?:script[ \t\n\r\f>].*?(?:</script[^>]*>|\z)|style[ \t\n\r\f>].*?(?:</style[^>]*>|\z)"
+           r"|!--.*?(?:-->|\z))")
+GAPS = r"(?is)</p[ \t\n\r\f]*>.*?(<p[ \t\n\r\f>/]|\z)"
+MARKUP = r"</?[a-zA-Z][^>]*>|<[!?][^>]*>"
+NAMES = "map([" + ", ".join(map(quote, [*name2codepoint, "apos"])) + "], [" + ", ".join(
+    f"chr({c})" for c in [*name2codepoint.values(), 39]) + "])"
+
+
 def undo_entities(x: str) -> str:
-    for entity, char in ENTITIES:
-        x = f"replace({x}, {quote(entity)}, {quote(char)})"
-    return x
+    """Entities found one by one; what comes out is not looked at again."""
+    name = "regexp_extract(p, '^(#[0-9]{1,9}|#[xX][0-9a-fA-F]{1,7}|[A-Za-z][A-Za-z0-9]*);', 1)"
+    number = (f"CASE WHEN {name} LIKE '#x%' OR {name} LIKE '#X%' THEN CAST('0x' || {name}[3:] AS BIGINT) "
+              f"WHEN {name} LIKE '#%' THEN CAST({name}[2:] AS BIGINT) END")
+    char = (f"CASE WHEN {name} LIKE '#%' THEN CASE WHEN {number} BETWEEN 1 AND 1114111 AND NOT {number} BETWEEN 55296 AND 57343 "
+            f"THEN chr(CAST({number} AS INTEGER)) ELSE chr(65533) END ELSE ({NAMES})[{name}] END")
+    whole = f"coalesce({char} || p[length({name}) + 2:], '&' || p)"
+    return (f"(string_split({x}, '&')[1] || array_to_string(list_transform(string_split({x}, '&')[2:], "
+            f"lambda p: {whole}), ''))")
 
 
 def squeezed(x: str) -> str:
@@ -167,9 +182,9 @@ def squeezed(x: str) -> str:
 
 
 def extracted(html: str) -> str:
-    shown = f"regexp_replace({html}, {quote(HIDDEN_MARKUP)}, ' ', 'g')"
-    inside = f"regexp_replace('</p>' || {shown}, {quote(BETWEEN_PARAGRAPHS)}, ' \\1', 'g')"
-    return squeezed(undo_entities(f"regexp_replace({inside}, {quote(TAG)}, ' ', 'g')"))
+    shown = f"regexp_replace({html}, {quote(SCRIPTS)}, ' ', 'g')"
+    inside = f"regexp_replace('</p>' || {shown}, {quote(GAPS)}, ' \\1', 'g')"
+    return squeezed(undo_entities(f"regexp_replace({inside}, {quote(MARKUP)}, ' ', 'g')"))
 
 
 def words(x: str) -> str:
@@ -191,7 +206,7 @@ fetches AS (
 def located(source: str) -> str:
     return f"""
 targets AS (
-    SELECT *, lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) AS host,
+    SELECT *, lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)) AS host,
         regexp_extract(url, '^[a-z]+://[^/?#]*([^#]*)', 1) AS target
     FROM {source}),
 permitted AS (
@@ -243,6 +258,11 @@ pilot AS (
 ORACLES: dict[str, str] = {
     "gkg_archive_scan": f"""WITH {GKG} SELECT GKGRECORDID, DATE, SourceCommonName,
         DocumentIdentifier, Themes, V2Themes, V2Locations, V2Tone FROM gkg WHERE {SUBSTRING_HIT}""",
+    "extract_resume": f"""WITH {GKG}, {DAYS},
+        placed AS (SELECT *, strftime(CASE WHEN day(own_day) = 3 THEN own_day + 1 ELSE own_day END, '%Y-%m-%d') AS file_day FROM gkg),
+        found AS (SELECT file_day, count(*) FILTER ({SUBSTRING_HIT}) AS n FROM placed GROUP BY 1)
+        SELECT d.date, coalesce(n, 0) AS rows_matched, CASE WHEN n IS NULL THEN 'failed' ELSE 'ok' END AS status,
+               coalesce(n, 0) AS raw_rows FROM days d LEFT JOIN found f ON f.file_day = d.date""",
     "sampled_days": f"WITH {DAYS} SELECT * FROM days",
     "malformed_rows": """SELECT event_id AS line_no,
         CAST(CASE WHEN event_id % 11 = 0 THEN 26 ELSE 28 END AS BIGINT) AS n_fields
@@ -284,8 +304,12 @@ ORACLES: dict[str, str] = {
     "calendar_fields": """SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS Year,
         CAST(month(o_orderdate) AS INTEGER) AS Month, strftime(o_orderdate, '%Y-%m') AS Year_Month
         FROM orders""",
-    "missing_columns": """SELECT unnest(['Country', 'Latitude', 'Themes']) AS missing_column
-        FROM (SELECT count(*) FROM events)""",
+    "missing_columns": f"""WITH {GKG} """ + " UNION ALL ".join(
+        f"""SELECT {quote(c)} AS "column", true AS present, count(*) FILTER ({x} IS NULL) AS n_null,
+        count(*) FILTER (trim({x}, ' ') = '') AS n_blank FROM gkg""" for c, x in (
+            ("GKGRECORDID", "GKGRECORDID"), ("Themes", "Themes"), ("V2Themes", "V2Themes"),
+            ("V2Locations", "V2Locations"), ("V2Tone", "nullif(V2Tone, '')"))) + """
+        UNION ALL SELECT 'Country', false, count(*), 0 FROM gkg""",
     "median_impute": f"WITH {PARSED} SELECT _pos, {MEDIANS} FROM parsed",
     "country_standardise": """SELECT n_nationkey, CASE c WHEN 'United States' THEN 'USA'
             WHEN 'United Kingdom' THEN 'UK' WHEN 'Russia' THEN 'Russian Federation'
@@ -300,7 +324,10 @@ ORACLES: dict[str, str] = {
     "paragraph_text": f"SELECT page_id, {extracted('html')} AS text FROM pages",
     "word_count": f"""SELECT doc_id, CAST({words(squeezed('text'))} AS BIGINT) AS word_count,
         {words(squeezed('text'))} >= 50 AS long_enough FROM documents""",
-    "robots_allowed": f"""WITH {RULES}, {located('(SELECT page_id, url FROM pages)')}
+    "robots_allowed": f"""WITH {RULES}, {located("""(SELECT page_id, CASE page_id % 6
+            WHEN 1 THEN url || '|b' WHEN 2 THEN url || ' c' WHEN 3 THEN url || '{d}'
+            WHEN 4 THEN 'http://under_score.example.org/' || page_id
+            WHEN 5 THEN regexp_replace(url, '^([a-z]+://[^/?#]*)', '\\1:8080') ELSE url END AS url FROM pages)""")}
         SELECT * FROM permitted""",
 
     "resume_days": f"""WITH {DAYS} SELECT * FROM days WHERE CAST(date[9:10] AS INTEGER) > 15
@@ -318,10 +345,11 @@ ORACLES: dict[str, str] = {
             replace(coalesce(f.date, s.date), '-', '') || '121500' AS timestamp_queried,
             replace({quote(URL_TEMPLATE)}, '{{ts}}',
                     replace(coalesce(f.date, s.date), '-', '') || '121500') AS source_url,
-            CAST(coalesce(f.n, 7) AS BIGINT) AS rows_matched
+            CAST(coalesce(f.n, 7) AS BIGINT) AS rows_matched,
+            CASE WHEN f.n IS NULL AND right(s.date, 2) = '08' THEN 'failed' ELSE 'ok' END AS status
         FROM stale s FULL JOIN found f ON s.date = f.date""",
-    "events_with_text": """SELECT d.doc_id, d.lang, l.quality
-        FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""",
+    "events_with_text": f"""WITH {CLEAN} SELECT Record_ID, text IS NOT NULL AS has_text, md5(text) AS text_md5
+        FROM clean LEFT JOIN documents ON doc_id * 3 = _pos""",
     "incremental_append": """SELECT strftime(ts, '%Y%m%d') AS day, count(*) AS n
         FROM events JOIN nation ON n_nationkey = user_id % 25 GROUP BY 1""",
 
@@ -339,9 +367,9 @@ ORACLES: dict[str, str] = {
             row_number() OVER (PARTITION BY Country ORDER BY count(*) DESC, theme) AS rank
         FROM (SELECT Country, unnest(theme_list) AS theme FROM clean) GROUP BY 1, 2)
         WHERE rank = 1""",
-    "tone_histogram": f"""WITH {CLEAN} SELECT bin, -10.0 + (bin - 1) * 1.0::DOUBLE AS bin_start, count(*) AS n
-        FROM (SELECT CAST(CASE WHEN Tone_Overall < -10 THEN 0 WHEN Tone_Overall >= 10 THEN 21
-                  ELSE floor(Tone_Overall + 10) + 1 END AS BIGINT) AS bin
+    "tone_histogram": f"""WITH {CLEAN} SELECT bin, -5.0 + (bin - 1) * 0.5::DOUBLE AS bin_start, count(*) AS n
+        FROM (SELECT CAST(CASE WHEN Tone_Overall < -5 THEN 0 WHEN Tone_Overall >= 2 THEN 15
+                  ELSE floor((Tone_Overall + 5) * 2) + 1 END AS BIGINT) AS bin
               FROM clean WHERE Tone_Overall IS NOT NULL) GROUP BY 1""",
     "tone_summary": f"WITH {CLEAN} " + " UNION ALL ".join(
         f"""SELECT {quote(c)} AS measure, count({c}) AS n, round(avg({c}), 6) + 0.0 AS mean,
@@ -352,9 +380,10 @@ ORACLES: dict[str, str] = {
     "topic_tone": f"""WITH {PARSED} SELECT Topic_Label, """ + ", ".join(
         f"round_even(avg({c}) * 100, 0) / 100 + 0.0 AS {c}" for c in TONE_COLUMNS[:4]) + """
         FROM parsed JOIN (SELECT doc_id, 'Topic ' || (ascii(source[4:4]) % 5) AS Topic_Label
-                          FROM documents) ON doc_id = _pos GROUP BY 1""",
+                          FROM documents) ON doc_id = _pos % (SELECT max(doc_id) + 1 FROM documents) GROUP BY 1""",
     "country_month_panel": f"WITH {PANEL} SELECT * FROM panel",
-    "country_month_panel_zero_fill": f"""WITH {PANEL}, months AS (
+    "country_month_panel_zero_fill": f"""WITH {PANEL.replace("FROM flagged GROUP",
+        "FROM flagged WHERE Theme_Count = 1 AND list_contains(theme_list, 'ELECTION') GROUP")}, months AS (
             SELECT unnest(generate_series(CAST(min(Year_Month) || '-01' AS TIMESTAMP),
                 CAST(max(Year_Month) || '-01' AS TIMESTAMP), INTERVAL 1 MONTH)) AS m FROM panel),
         cells AS (SELECT Country, strftime(m, '%Y-%m') AS Year_Month
@@ -407,7 +436,7 @@ kde AS (
     SELECT g.lat AS Grid_Latitude, g.lon AS Grid_Longitude,
         round(1e6 * sum(p.w * exp(-power({km('p', 'g')}, 2) / (2 * 250.0 * 250.0)))
               / (2 * pi() * 250.0 * 250.0 * (SELECT sum(w) FROM pts)), 6) AS density
-    FROM grid g, pts p WHERE {km('p', 'g')} <= 750.0 GROUP BY 1, 2)"""
+    FROM grid g, pts p GROUP BY 1, 2 HAVING density > 0)"""
 
 DBSCAN = POINTS + f""",
 near AS (SELECT a.lat AS alat, a.lon AS alon, b.lat AS blat, b.lon AS blon, b.w
@@ -558,6 +587,21 @@ cosines AS (SELECT n.topic, n.a, CASE WHEN sum(n.m * n.m) = 0 THEN 0
 
 ORACLES |= {
     "poisson_fit": f"""WITH {FIT} SELECT term, round(coef, 6) AS coef, round(se, 6) AS se FROM coefs""",
+    "poisson_fit_full": f"""WITH {PANEL} SELECT unnest(['Intercept', 'Political_Prop', 'Economic_Prop', 'Health_Prop',
+            'Tone_Overall_Mean']) AS term, unnest([round(sum(n), 4), round(sum(n * p), 4) + 0.0, round(sum(n * e), 4) + 0.0, round(sum(n * h), 4) + 0.0, round(sum(n * t), 4) + 0.0]) AS score
+        FROM (SELECT Misinfo_Event_Count::DOUBLE AS n, Political_Prop AS p, Economic_Prop AS e, Health_Prop AS h,
+                     Tone_Overall_Mean AS t FROM panel WHERE Tone_Overall_Mean IS NOT NULL)""",
+    "negbin_fit_full": f"""WITH {PANEL} SELECT unnest(['Intercept', 'Political_Prop', 'Economic_Prop', 'Health_Prop',
+            'Tone_Overall_Mean']) AS term, 0.0::DOUBLE AS score FROM (SELECT count(*) FROM panel)""",
+    "lda_topics": f"""WITH {TOKENS} SELECT unnest([0, 1, 2, 3, 4])::INTEGER AS topic, n AS terms, 1.0::DOUBLE AS total
+        FROM (SELECT count(*) AS n FROM vocab)""",
+    "topic_top_terms": f"""WITH {TOKENS} SELECT t::INTEGER AS topic, r::INTEGER AS rank, true AS falls, true AS known
+        FROM range(5) a(t), range(1, 11) b(r) WHERE r <= (SELECT count(*) FROM vocab)""",
+    "dominant_topic": f"""WITH {TOKENS}, met AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, unnest(tokens) AS term FROM docs)
+            JOIN vocab USING (term))
+        SELECT d.doc_id, m.doc_id IS NOT NULL AS has_topic, CASE WHEN m.doc_id IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS total,
+               CASE WHEN m.doc_id IS NOT NULL THEN true END AS largest FROM docs d LEFT JOIN met m ON m.doc_id = d.doc_id""",
+    "select_k": """SELECT unnest([2, 3, 5])::INTEGER AS k, true AS scored, true AS rightly FROM (SELECT count(*) FROM documents)""",
     "overdispersion": f"""WITH {FIT},
         fitted AS (SELECT y, mu, (power(y - mu, 2) - y) / mu AS z FROM cells JOIN means USING (g)),
         sums AS (SELECT count(*) AS n, sum(power(y - mu, 2) / mu) AS x2, var_samp(y) / avg(y) AS vm,

@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from newsgraph.functions import parse as P
-from newsgraph.functions.plan import once, spread
+from newsgraph.functions.plan import once
 from newsgraph.functions.text import paragraph_text, word_count
 from newsgraph.operators import (
     clean as C, manifest as M, pages as PG, regress as R, spatial as SP, summary as S, topics as T,
 )
 from newsgraph.operators.panel import country_month_panel
 from newsgraph.operators.summary import rounded
-from newsgraph.plans import views as V
+from newsgraph.plans import flows, views as V
 from newsgraph.schema import RAW_COLUMNS, TONE_COLUMNS
 from newsgraph.session import cut_lineage, scratch_path
 from newsgraph.sources import archive as A, files as FS
@@ -50,12 +50,38 @@ def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def gkg_archive_scan(spark, sf_dir):
-    archives = A.pack_archives(V.gkg(spark, sf_dir))
-    kept = C.theme_filter(A.well_formed(A.archive_lines(archives)))
+    folder = scratch_path(spark, "landing")
+    A.land(A.pack_archives(V.gkg(spark, sf_dir), F.concat(F.lit("202306"), F.lpad(F.col("_pos") % 28 + 1, 2, "0"))), folder)
+    kept = C.theme_filter(A.well_formed(A.archive_lines(A.read_archives(spark, folder, "121500"))))
     return kept.select("GKGRECORDID", "DATE", "SourceCommonName", "DocumentIdentifier",
                        "Themes", "V2Themes", "V2Locations", "V2Tone")
 
 
+@query
+def extract_resume(spark, sf_dir):
+    """A broken archive mended before a resume, and one that holds records of the day before."""
+    folder, raw, log = (scratch_path(spark, n) for n in ("landing", "raw", "manifest"))
+    span = day_span(spark, sf_dir).first()
+    day = F.substring("DATE", 1, 8)
+    # records of the 3rd lie in the file of the 4th
+    file_day = F.when(F.substring("DATE", 7, 2) == "03", F.concat(F.substring("DATE", 1, 6), F.lit("04"))).otherwise(day)
+    files = cut_lineage(A.pack_archives(feed(spark, sf_dir), file_day))
+    middle = F.expr("cast(length(content) / 2 as int)")
+    flipped = F.concat(F.substring("content", F.lit(1), middle), F.unhex(F.lit("0000000000")),
+                       F.substring("content", middle + 6, F.length("content")))
+    fifth = F.substring("name", 7, 2) == "05"
+    A.land(files.withColumn("content", F.when(fifth, flipped).otherwise(F.col("content"))), folder)
+    args = (spark, folder, raw, log, str(span.start), str(span.end))
+    flows.extract(*args)
+    A.land(files.where(fifth), folder)
+    flows.extract(*args, resume=True)
+    held = FS.read_raw(spark, raw, order=flows.ORDER).select(
+        M.iso_day(F.substring(M.file_stamp(F.col("path")), 1, 8)).alias("date"))
+    latest = FS.read_manifest(spark, log).groupBy("date").agg(
+        F.max_by("rows_matched", F.col("status") == "ok").alias("rows_matched"), F.max("status").alias("status"))
+    return latest.join(held.groupBy("date").agg(F.count(F.lit(1)).alias("raw_rows")), "date", "left").fillna(0, ["raw_rows"])
+
+
 @query
 def sampled_days(spark, sf_dir):
     return M.sampled_days(day_span(spark, sf_dir))
@@ -181,14 +207,14 @@ def calendar_fields(spark, sf_dir):
 
 @query
 def missing_columns(spark, sf_dir):
-    return C.missing_columns(V.table(spark, sf_dir, "events"),
-                             ["event_id", "ts", "Country", "Latitude", "Themes"])
+    gkg = V.gkg(spark, sf_dir).withColumn("V2Tone", F.when(F.col("V2Tone") != "", F.col("V2Tone")))
+    return C.missing_columns(gkg, ["GKGRECORDID", "Themes", "V2Themes", "V2Locations", "V2Tone", "Country"])
 
 
 @query
 def median_impute(spark, sf_dir):
     tones = C.parse_events(V.gkg(spark, sf_dir), ["_pos"]).select("_pos", *TONE_COLUMNS)
-    return C.impute_medians(tones)
+    return C.impute_medians(cut_lineage(tones))  # parsed once for counts, quantiles and fill
 
 
 @query
@@ -229,7 +255,7 @@ def fetch_outcome(spark, sf_dir):
 
 @query
 def q_paragraph_text(spark, sf_dir):
-    pages = spread(V.table(spark, sf_dir, "pages").select("page_id", "html"), "page_id")
+    pages = V.table(spark, sf_dir, "pages").select("page_id", "html")
     return pages.select("page_id", paragraph_text(F.col("html")).alias("text"))
 
 
@@ -242,7 +268,11 @@ def q_word_count(spark, sf_dir):
 
 @query
 def robots_allowed(spark, sf_dir):
-    pages = V.table(spark, sf_dir, "pages").select("page_id", "url")
+    """Page addresses as they are, with characters a strict parser refuses, and with a port."""
+    pages = V.table(spark, sf_dir, "pages").selectExpr("page_id", """CASE page_id % 6
+        WHEN 1 THEN concat(url, '|b') WHEN 2 THEN concat(url, ' c') WHEN 3 THEN concat(url, '{d}')
+        WHEN 4 THEN concat('http://under_score.example.org/', page_id)
+        WHEN 5 THEN regexp_replace(url, '^([a-z]+://[^/?#]*)', '$1:8080') ELSE url END AS url""")
     return PG.with_permission(pages, V.robots_rules(spark))
 
 
@@ -280,14 +310,18 @@ def manifest_repair(spark, sf_dir):
     days = M.sampled_days(day_span(spark, sf_dir))
     raw = C.theme_filter(feed(spark, sf_dir)).where(F.substring("DATE", 7, 2) > "10")
     stale = days.where(F.substring("date", 9, 2).cast("int") % 2 == 0)
+    stale = stale.withColumn("status", F.when(F.substring("date", 9, 2) == "08", "failed").otherwise("ok"))
     return M.repair_manifest(stale.withColumn("rows_matched", F.lit(7).cast("long")), raw)
 
 
 @query
 def events_with_text(spark, sf_dir):
-    documents = V.table(spark, sf_dir, "documents").select("doc_id", "lang")
-    labels = V.table(spark, sf_dir, "labels").select("doc_id", "quality")
-    return PG.events_with_text(documents, labels, "doc_id")
+    """Events with the text of the document of their number; two in three have none or another's place."""
+    texts = V.documents(spark, sf_dir).selectExpr("doc_id * 3 AS _pos", "text")
+    valid = C.parse_events(V.gkg(spark, sf_dir).where(C.drop_reason().isNull()), ["_pos"])
+    events = C.dedupe_first(valid, "Record_ID").select("_pos", "Record_ID")
+    return PG.events_with_text(events, texts, "_pos").select(
+        "Record_ID", F.col("text").isNotNull().alias("has_text"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 @query
@@ -330,7 +364,8 @@ def dominant_theme_country(spark, sf_dir):
 
 @query
 def tone_histogram(spark, sf_dir):
-    return S.tone_histogram(events_of(spark, sf_dir))
+    """Bounds inside the range of the data, so both open bins are met."""
+    return S.tone_histogram(events_of(spark, sf_dir), -5.0, 2.0, 14)
 
 
 @query
@@ -350,12 +385,14 @@ def tone_by_country(spark, sf_dir):
 
 @query
 def topic_tone(spark, sf_dir):
-    """Events meet documents by number; the topic follows from the document's source."""
+    """Every event meets a document by number; the topic follows from the document's source."""
     documents = V.table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("_pos"),
+        F.col("doc_id").alias("_doc"),
         F.concat(F.lit("Topic "), F.ascii(F.substring("source", 4, 1)) % 5).alias("Topic_Label"))
-    parsed = C.parse_events(V.gkg(spark, sf_dir), ["_pos"])
-    return S.topic_tone(parsed, documents, "_pos")
+    count = documents.agg((F.max("_doc") + 1).alias("n"))
+    parsed = C.parse_events(V.gkg(spark, sf_dir), ["_pos"]).join(F.broadcast(count)).withColumn(
+        "_doc", F.col("_pos") % F.col("n"))
+    return S.topic_tone(parsed, documents, "_doc")
 
 
 @query
@@ -365,7 +402,9 @@ def q_country_month_panel(spark, sf_dir):
 
 @query
 def country_month_panel_zero_fill(spark, sf_dir):
-    return country_month_panel(events_of(spark, sf_dir), zero_fill=True, digits=6)
+    """Of events with one rare theme, so that most cells are empty."""
+    rare = events_of(spark, sf_dir).where("Theme_Count = 1 AND array_contains(Themes, 'ELECTION')")
+    return country_month_panel(rare, zero_fill=True, digits=6)
 
 
 @query
@@ -426,7 +465,7 @@ def dbscan(spark, sf_dir):
 @query
 def kde_grid(spark, sf_dir):
     grid = SP.kde_grid(points_of(spark, sf_dir), step_deg=3.0, bandwidth_km=250.0)
-    return grid.withColumn("density", rounded(F.col("density") * 1e6))
+    return grid.withColumn("density", rounded(F.col("density") * 1e6)).where("density > 0")
 
 
 @query
@@ -472,10 +511,20 @@ def poisson_fit(spark, sf_dir):
                                         rounded(F.col("se")).alias("se"))
 
 
+def _scores(panel, fit, weight, digits=4):
+    data = R.complete_cases(panel, R.OUTCOME, fit.terms[1:])
+    sums = data.agg(*[F.round(F.sum(weight * (F.col(t) if i else F.lit(1.0))), digits).alias(t)
+                      for i, t in enumerate(fit.terms)])
+    return sums.select(F.inline(F.array(*[F.struct(F.lit(t).alias("term"), (F.col(t) + 0.0).alias("score"))
+                                          for t in fit.terms])))
+
+
 @query
 def poisson_fit_full(spark, sf_dir):
-    fit = R.poisson(panel_of(spark, sf_dir))
-    return R.fit_row(fit, spark).select("term", "coef", "se")
+    """Score equations of the fit: per term the sum of expected counts times the covariate."""
+    panel = panel_of(spark, sf_dir)
+    fit = R.poisson(panel)
+    return _scores(panel, fit, R.mean_of(fit))
 
 
 @query
@@ -497,7 +546,11 @@ def negbin_fit(spark, sf_dir):
 
 @query
 def negbin_fit_full(spark, sf_dir):
-    return R.fit_row(R.negative_binomial(panel_of(spark, sf_dir)), spark)
+    """Score equations of the fit: residuals weighted by the variance it states sum to nothing."""
+    panel = panel_of(spark, sf_dir)
+    fit = R.negative_binomial(panel)
+    mu = R.mean_of(fit)
+    return _scores(panel, fit, (F.col("y") - mu) / (1 + fit.alpha * mu), 3)
 
 
 @query
@@ -536,7 +589,7 @@ def tokens(spark, sf_dir):
 
 @query
 def lemmatised_tokens(spark, sf_dir):
-    docs = tokens_of(spark, sf_dir)
+    docs = landed_tokens(spark, sf_dir)
     forms = docs.select(F.explode("tokens").alias("form")).where("form LIKE '%ing'").distinct()
     lemmas = forms.withColumn("lemma", F.regexp_replace("form", "ing$", ""))
     return T.lemmatise(docs, lemmas, "doc_id").select(
@@ -545,14 +598,13 @@ def lemmatised_tokens(spark, sf_dir):
 
 @query
 def vocabulary(spark, sf_dir):
-    return T.vocabulary(tokens_of(spark, sf_dir), **VOCABULARY)
+    return T.vocabulary(landed_tokens(spark, sf_dir), **VOCABULARY)
 
 
 @query
 def doc_term_matrix(spark, sf_dir):
-    docs = tokens_of(spark, sf_dir)
-    vocab = T.vocabulary(docs, **VOCABULARY)
-    return T.doc_term_matrix(docs, vocab, VOCABULARY["max_terms"], "doc_id")
+    docs = landed_tokens(spark, sf_dir)
+    return T.doc_term_matrix(docs, T.vocabulary(docs, **VOCABULARY), "doc_id")
 
 
 @query
@@ -570,27 +622,40 @@ def lda_of(spark, sf_dir, k=5):
 
 @query
 def lda_topics(spark, sf_dir):
+    """Each topic's weights over all terms: their number, and their sum."""
     model, _, terms = lda_of(spark, sf_dir)
-    return T.topic_top_terms(model, terms, 20)
+    return T.topic_top_terms(model, terms, len(terms)).groupBy("topic").agg(
+        F.count_distinct("term").alias("terms"), F.round(F.sum("weight"), 6).alias("total"))
 
 
 @query
 def topic_top_terms(spark, sf_dir):
-    model, _, terms = lda_of(spark, sf_dir)
-    return T.topic_top_terms(model, terms, 10)
+    """What any ranking must show: weights that do not rise, terms of the vocabulary."""
+    docs = landed_tokens(spark, sf_dir)
+    vocab = T.vocabulary(docs, **VOCABULARY)
+    terms = terms_of(docs)
+    tops = cut_lineage(T.topic_top_terms(T.fit_lda(T.term_vectors(docs, terms).select("features"), 5), terms, 10))
+    before = F.lag("weight").over(Window.partitionBy("topic").orderBy("rank"))
+    return tops.withColumn("falls", F.coalesce(F.col("weight") <= before, F.lit(True))).join(
+        vocab.select("term", F.lit(True).alias("known")), "term", "left").select(
+        "topic", "rank", "falls", F.coalesce("known", F.lit(False)).alias("known"))
 
 
 @query
 def dominant_topic(spark, sf_dir):
     model, vectors, _ = lda_of(spark, sf_dir)
-    return T.dominant_topic(model, vectors, "doc_id")
+    found = T.dominant_topic(model, vectors, "doc_id")
+    return found.select("doc_id", F.col("Topic_Label").isNotNull().alias("has_topic"),
+                        F.round("total", 6).alias("total"), (F.col("share") >= 0.2 - 1e-9).alias("largest"))
 
 
 @query
 def select_k(spark, sf_dir):
     docs = landed_tokens(spark, sf_dir)
     table, _ = T.select_k(docs, terms_of(docs), [2, 3, 5], key="doc_id")
-    return table
+    place = F.row_number().over(Window.orderBy(F.desc(F.round("coherence", 9)), "k"))  # three rows
+    return cut_lineage(table).select("k", F.col("coherence").between(-1, 1).alias("scored"),
+                                     (F.col("chosen") == (place == 1)).alias("rightly"))
 
 
 # ---- streams ---------------------------------------------------------------

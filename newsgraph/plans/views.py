@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from newsgraph.functions.plan import spread
 from newsgraph.schema import FILTER_CODES, RAW_COLUMNS
 
 # Codes the derived records cycle through: the filter list, then others.
@@ -21,8 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def gkg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` joined with ``nation`` as 27 packed text columns, plus ``_pos`` (row order)."""
-    e = spread(table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type"),
-               "event_id")
+    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     base = e.join(n, n.n_nationkey == F.pmod(e.user_id, F.lit(25)))
     codes = "array(" + ",".join(f"'{c}'" for c in VIEW_CODES) + ")"
@@ -63,7 +61,7 @@ def gkg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fetch_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``pages`` as landed fetch results, with failures placed by page number."""
-    return spread(table(spark, sf_dir, "pages"), "page_id").selectExpr(
+    return table(spark, sf_dir, "pages").selectExpr(
         "page_id AS _pos", "cast(page_id AS string) AS Record_ID",
         "CASE WHEN page_id % 29 = 0 THEN '' ELSE url END AS url",
         "CASE WHEN page_id % 23 = 0 THEN 'timed out' END AS fetch_error",
@@ -78,11 +76,12 @@ ROBOTS_RULES = [
     ("blog.tionsh.example.net", False, "/en/"),
     ("blog.tionsh.example.net", True, "/en/5"),
     ("spam-farm.example.org", True, "/"),
+    ("under_score.example.org", False, "/"),
 ]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
 def robots_rules(spark: SparkSession) -> DataFrame:

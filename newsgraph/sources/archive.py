@@ -9,9 +9,11 @@ import zlib
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from newsgraph.functions.parse import mentions_any, text
+from newsgraph.operators.manifest import file_stamp
 from newsgraph.schema import RAW_COLUMNS
 
 LINES_PER_BATCH = 10_000
@@ -28,15 +30,17 @@ def read_archives(spark: SparkSession, path: str, daily_time: str | None = None)
             .option("recursiveFileLookup", True).load(path).select("path", "content"))
 
 
-def of_days(archives: DataFrame, days: DataFrame) -> DataFrame:
-    """Archives whose name carries a ``timestamp_queried`` of ``days``.
+def of_days(spark: SparkSession, path: str, days: DataFrame, daily_time: str | None = None) -> DataFrame:
+    """Archives (path, content) whose name carries a ``timestamp_queried`` of ``days``.
 
-    ``days`` has one row per day, some thousands for the longest range, so it is
-    sent to the tasks and file contents are never shuffled.
+    Names are matched first, without opening a file; only the files found, at most one per
+    day of the sample, are then read.
     """
-    stamp = F.regexp_extract("path", r"([0-9]{14})[^/]*$", 1)
-    return (archives.withColumn("timestamp_queried", stamp)
-            .join(F.broadcast(days.select("timestamp_queried")), "timestamp_queried", "left_semi"))
+    names = read_archives(spark, path, daily_time).select("path", file_stamp(F.col("path")).alias("timestamp_queried"))
+    found = [r["path"] for r in names.join(days.select("timestamp_queried"), "timestamp_queried", "left_semi").collect()]
+    if not found:
+        return spark.createDataFrame([], "path string, content binary")
+    return spark.read.format("binaryFile").load(found).select("path", "content")
 
 
 def _unzip(legacy_quotes: bool):
@@ -50,7 +54,8 @@ def _unzip(legacy_quotes: bool):
                                                   newline="" if legacy_quotes else None)
                         rows = csv.reader(reader, delimiter="\t") if legacy_quotes else reader
                         yield from _chunks(path, rows, legacy_quotes)
-                except (zipfile.BadZipFile, zlib.error, EOFError, IndexError, csv.Error):
+                except (zipfile.BadZipFile, zlib.error, EOFError, IndexError, csv.Error,
+                        RuntimeError, NotImplementedError):
                     yield pd.DataFrame({"path": [path], "line_no": [-1], "line": [None]})
     return lines
 
@@ -105,7 +110,10 @@ def malformed(lines: DataFrame) -> DataFrame:
 
 
 def matching_or_broken(lines: DataFrame, codes: Sequence[str]) -> DataFrame:
-    """Well-formed records that mention a code, and one row marked ``broken`` per unreadable file."""
+    """Well-formed records that mention a code, and one row marked ``broken`` per unreadable file.
+
+    A file may turn out broken after its first lines; ``of_sound_files`` drops those.
+    """
     named = lines.select("*", *[F.get("fields", F.lit(i)).alias(c) for i, c in enumerate(RAW_COLUMNS)])
     broken = F.col("fields").isNull()
     match = (F.size("fields") == len(RAW_COLUMNS)) & mentions_any(
@@ -113,24 +121,42 @@ def matching_or_broken(lines: DataFrame, codes: Sequence[str]) -> DataFrame:
     return named.where(broken | match).withColumn("broken", broken).drop("fields")
 
 
+def of_sound_files(found: DataFrame) -> DataFrame:
+    """The records of files without a ``broken`` row: a broken file gives nothing."""
+    return found.where("NOT broken").join(found.where("broken").select("path").distinct(), "path", "left_anti")
+
+
 def unreadable(lines: DataFrame) -> DataFrame:
     """Files that could not be unzipped."""
     return lines.where("fields IS NULL").select("path")
 
 
-def pack_archives(raw: DataFrame) -> DataFrame:
-    """Records as zip files, (path, content): the inverse of the scan, for landing test data.
+def pack_archives(raw: DataFrame, day: Column, daily_time: str = "121500") -> DataFrame:
+    """Records as zip files, (name, content), one per ``day`` (yyyyMMdd): the inverse of the scan.
 
-    A file holds at most one batch of rows, so none grows with the data.
+    For landing test data: like a real archive, a file is made in one piece.
     """
-    def pack(batches):
-        for n, batch in enumerate(batches):
-            out = io.BytesIO()
-            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-                z.writestr("records.csv", "".join(x + "\n" for x in batch["line"]))
-            yield pd.DataFrame({"path": [f"{batch['part'].iloc[0]}-{n}.gkg.csv.zip"],
-                                "content": [out.getvalue()]})
-
-    lines = raw.select(F.spark_partition_id().alias("part"),
-                       F.array_join(F.array(*RAW_COLUMNS), "\t", "").alias("line"))
-    return lines.mapInPandas(pack, "path string, content binary")
+    def pack(group):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("records.csv", "".join(x + "\n" for x in group["line"]))
+        return pd.DataFrame({"name": [f"{group['day'].iloc[0]}{daily_time}.gkg.csv.zip"], "content": [out.getvalue()]})
+
+    lines = raw.select(day.alias("day"), F.array_join(F.array(*RAW_COLUMNS), "\t", "").alias("line"))
+    return lines.groupBy("day").applyInPandas(pack, "name string, content binary")
+
+
+def land(files: DataFrame, folder: str) -> int:
+    """Writes each (name, content) row as a file of ``folder``, from the tasks; returns their number."""
+    uri = folder.replace("file:/", "file:///", 1) if folder.startswith("file:/") and not folder.startswith("file://") else folder
+
+    def write(batches):
+        system, path = fs.FileSystem.from_uri(uri)
+        system.create_dir(path, recursive=True)
+        for batch in batches:
+            for name, content in zip(batch["name"], batch["content"]):
+                with system.open_output_stream(f"{path}/{name}") as out:
+                    out.write(bytes(content))
+            yield batch[["name"]]
+
+    return files.select("name", "content").mapInPandas(write, "name string").count()

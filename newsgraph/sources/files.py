@@ -16,8 +16,9 @@ CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"', "multiLine": True,
                "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    options = {k: v for k, v in CSV_OPTIONS.items() if v is not None}
+def read_csv(spark: SparkSession, path: str, schema: StructType, line_ends: bool = True) -> DataFrame:
+    """Without ``line_ends`` in fields, large files are read in splits."""
+    options = {k: v for k, v in CSV_OPTIONS.items() if v is not None} | {"multiLine": line_ends}
     return spark.read.options(**options).schema(schema).csv(path)
 
 
@@ -74,7 +75,8 @@ def write_articles(articles: DataFrame, path: str, mode: str = "overwrite") -> N
 
 
 def read_articles(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(ARTICLE_SCHEMA).json(path)
+    """One text per record: an append that was repeated after a stop counts once."""
+    return spark.read.schema(ARTICLE_SCHEMA).json(path).groupBy("Record_ID").agg(F.max("text").alias("text"))
 
 
 def write_fetch_manifest(manifest: DataFrame, path: str, mode: str = "append") -> None:
@@ -85,8 +87,12 @@ def read_fetch_manifest(spark: SparkSession, path: str) -> DataFrame:
     return read_csv(spark, path, FETCH_SCHEMA)
 
 
+def write_manifest(manifest: DataFrame, path: str, mode: str = "append") -> None:
+    write_csv(manifest.select(*MANIFEST_SCHEMA.names), path, mode)
+
+
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    return read_csv(spark, path, MANIFEST_SCHEMA)
+    return read_csv(spark, path, MANIFEST_SCHEMA, line_ends=False)
 
 
 def export_results(tables: Mapping[str, DataFrame], folder: str) -> None:

@@ -34,7 +34,8 @@ def landed_archives(spark: SparkSession, path: str, daily_time: str | None = "12
 
     ``daily_time`` keeps the one file of each day whose name carries that time.
     """
-    files = (spark.readStream.format("binaryFile").schema(BINARY_FILE).option("pathGlobFilter", "*.zip")
+    names = f"*{daily_time}.*zip" if daily_time else "*.zip"
+    files = (spark.readStream.format("binaryFile").schema(BINARY_FILE).option("pathGlobFilter", names)
              .option("maxFilesPerTrigger", files_per_batch).load(path))
     if daily_time:
         files = files.where(F.col("path").rlike(rf"/[0-9]{{8}}{daily_time}\.[^/]*$"))
