@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from newsgraph.llm.repeats import stored
-from newsgraph.llm.textkit import ALNUM_WORD, Rolling, Slice, fold_case, slices, text_column
+from newsgraph.llm.textkit import ALNUM_WORD, Rolling, Slice, fold_case, slices, small, text_column
 
 #: Words of a window; an item with fewer words is one window.
 WINDOW = 10
@@ -34,7 +34,7 @@ def _words(part: Slice) -> tuple[Slice, np.ndarray, np.ndarray, np.ndarray]:
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Distinct windows: hash, n (words), words, items (ids as strings, null ids left out)."""
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             items = batch.column(0).to_pylist()
             for part in slices(batch.column(1)):
                 folded, start, end, first = _words(part)
@@ -73,7 +73,7 @@ def _scan(docs: DataFrame, block: list) -> DataFrame:
         keys = np.sort(np.fromiter(known, np.uint64, len(known)))
         maybe = np.zeros(1 << _BITS, bool)
         maybe[keys & np.uint64((1 << _BITS) - 1)] = True
-        for batch in batches:
+        for batch in small(batches):
             hits = [x or [] for x in batch.column(hits_at).to_pylist()]
             items = [x or [] for x in batch.column(items_at).to_pylist()]
             for part in slices(batch.column(text_at)):
@@ -141,7 +141,7 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = benchmark_hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             ids, texts, hits, items = (batch.column(c) for c in ("doc_id", "text", "hits", "items"))
             hits, items = hits.to_pylist(), items.to_pylist()
             n_words, n_hit = [], []

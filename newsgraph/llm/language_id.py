@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from newsgraph.llm.repeats import stored
-from newsgraph.llm.textkit import SLICE_BYTES, mix, text_column
+from newsgraph.llm.textkit import SLICE_BYTES, small, text_column
 
 #: Lengths of the n-grams and number of hashed features.
 GRAMS, FEATURES = (1, 2, 3), 1 << 16
@@ -67,7 +67,7 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(FEATURES, np.int64)
         seen = np.zeros(FEATURES, bool)
-        for batch in batches:
+        for batch in small(batches):
             for text in _texts(batch.column(0)):
                 if has_letters(text):
                     for part in _chunks(text):
@@ -85,7 +85,7 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
 def _sparse(docs: DataFrame) -> DataFrame:
     """Columns lang, cal, features, shares: each text as distinct features and their shares."""
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             langs, cal = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for lang, held, text in zip(langs, cal, _texts(batch.column(2))):
                 if not has_letters(text):
@@ -214,7 +214,7 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = shared.value
-        for batch in batches:
+        for batch in small(batches):
             column = batch.column(batch.schema.get_field_index("text"))
             out = [judge(t) for t in _texts(column.cast(pa.binary()))]
             yield pa.RecordBatch.from_arrays(

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from newsgraph.llm.repeats import packed_texts, sha256, stored, unpacked
-from newsgraph.llm.textkit import SPACES, text_column
+from newsgraph.llm.textkit import SPACES, small, text_column
 
 #: Shortest key that counts, in code points, and the documents that make it a repeated line.
 MIN_CHARS, MIN_DOCS = 40, 5
@@ -79,7 +79,7 @@ def seen_twice(docs: DataFrame) -> DataFrame:
     """The twice-seen filter: slice, bits; at most ``SLICES`` rows of 8 KB, compressed."""
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once, twice = Filter(), Filter()
-        for batch in batches:
+        for batch in small(batches):
             found = [np.fromiter(_hashes(t), np.uint64) for t in batch.column(0).to_pylist() if t]
             if not found:
                 continue
@@ -125,7 +125,7 @@ def dropped_keys(docs: DataFrame) -> DataFrame:
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Filter({s: np.frombuffer(zlib.decompress(b), np.uint8) for s, b in shared.value.items()})
-        for batch in batches:
+        for batch in small(batches):
             found = [_hashes(t) if t else {} for t in batch.column(1).to_pylist()]
             hashes = np.fromiter((h for f in found for h in f), np.uint64)
             keys = [key for f in found for key in f.values()]
@@ -162,7 +162,7 @@ def line_dedup(docs: DataFrame) -> DataFrame:
 
 def _applied(docs: DataFrame, finish, field: str) -> DataFrame:
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             out = [kept_lines(t, set(d or ())) for t, d in zip(unpacked(batch, 1), batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()),
@@ -181,7 +181,7 @@ def without_repeated_lines(docs: DataFrame) -> DataFrame:
     drop = dropped_keys(docs).withColumnsRenamed({"doc": "_doc", "drop": "_drop"})
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             text = batch.schema.get_field_index("text")
             lists = batch.column(batch.schema.get_field_index("_drop")).to_pylist()
             new = [kept_lines(t.encode(), set(d))[2].decode() if d and t is not None else t

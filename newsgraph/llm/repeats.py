@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from newsgraph.llm.textkit import (PLAIN_WORD, Rolling, Slice, byte_symbols, merged, signed,
-                                   sliding_min, slices, text_column)
+                                   sliding_min, slices, small, text_column)
 from newsgraph.session import scratch_path
 
 
@@ -70,7 +70,7 @@ def paths(source: DataFrame, unit: Unit, seed: int) -> DataFrame:
     window = unit.window
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             ids, bases, weights = (np.asarray(batch.column(i)) for i in (0, 1, 3))
             for part in slices(batch.column(2)):
                 symbols, first, _, _ = unit.symbols(part)
@@ -104,7 +104,7 @@ def packed_texts(docs: DataFrame, *keys: str) -> DataFrame:
     """The keys and ``packed``: each text compressed, so that a shuffle of texts stays small."""
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
+        for batch in small(batches):
             texts = [pack.compress(t) if t is not None else None for t in batch.column(len(keys)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.binary())],
                                              names=[*keys, "packed"])
@@ -134,7 +134,7 @@ def snippets(source: DataFrame, requests: DataFrame, unit: Unit) -> DataFrame:
     window = unit.window
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             ids, bases = np.asarray(batch.column(0)), np.asarray(batch.column(1))
             counts, start, n, path = _spans(batch, 3)
             weight = np.asarray(batch.column(3).flatten().field(3), np.int64)
@@ -218,7 +218,7 @@ def removed(docs: DataFrame, spans: DataFrame, unit: Unit,
     fields = [f.split()[0] for f in schema.split(", ")]
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             if not len(batch):
                 continue
             texts = unpacked(batch, 1)

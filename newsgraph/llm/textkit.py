@@ -159,6 +159,13 @@ def slices(column: pa.Array | pa.ChunkedArray) -> Iterator[Slice]:
         first = last
 
 
+def small(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches, so that what a kernel makes of one takes little memory."""
+    for batch in batches:
+        for low in range(0, len(batch), rows):
+            yield batch.slice(low, rows)
+
+
 def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
