@@ -10,8 +10,10 @@ shingles share a signature, the hash of what one subset of partitions holds:
 
 Equal sets are one class. Classes that share fewer signatures with others than a link needs drop
 out. Of each signature group, members meet one leader first; links are verified on the texts.
-What those links join needs no further comparison, so only pairs of one signature
-group that are still in different components follow.
+What those links join needs no further comparison; members of a signature group that are still in
+different components meet once more, where they share one of their rarest shingles (the
+prefix filter, exact too), which keeps a large family of loosely similar texts from
+comparing all its pairs.
 """
 
 from __future__ import annotations
@@ -22,10 +24,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from newsgraph.llm.repeats import packed_texts, stored
-from newsgraph.llm.textkit import PLAIN_WORD, Rolling, Slice, fold_case, mix, rows_of, signed, slices, text_column
+from newsgraph.llm.textkit import PLAIN_WORD, Rolling, Slice, fold_case, mix, rows_of, signed, slices, small, text_column
 from newsgraph.operators.components import stars
 
 SHINGLE = 5
@@ -33,7 +35,7 @@ SHINGLE = 5
 PER_CENT = 80
 #: Largest distance whose partitions are enumerated in subsets of several.
 ENUMERATED = 3
-#: Rounds in which members meet one leader each before all open pairs are compared.
+#: Rounds in which members meet one leader each before the open rest is compared.
 LEADER_ROUNDS = 3
 
 _ONE = np.uint64(1)
@@ -96,7 +98,7 @@ def _set_hashes(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.
 def classes(docs: DataFrame) -> DataFrame:
     """Columns doc_id, h1, h2, n: the class (set hashes) and the size of each document's set."""
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             for part in slices(batch.column(1)):
                 hashes, counts = shingle_sets(part)
                 one, two = _set_hashes(hashes, counts)
@@ -156,7 +158,7 @@ def shared_signatures(docs: DataFrame) -> DataFrame:
     targets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             for part in slices(batch.column(0)):
                 hashes, counts = shingle_sets(part)
                 one = _set_hashes(hashes, counts)[0]
@@ -215,7 +217,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     unpack = zstandard.ZstdDecompressor
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             for low in range(0, len(batch), 200):
                 part = batch.slice(low, 200)
                 open_ = unpack().decompress
@@ -237,6 +239,35 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             .mapInArrow(kernel, "a long, b long, link boolean"))
 
 
+def rare_shingles(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Columns key, class, label: the rarest shingles of each class, so many that two linked sets share one.
+
+    Of a set of n shingles a linked set lacks at most n - 0.8 n; so of the n - 0.8 n + 1 rarest, in one
+    order for all sets, two linked sets share at least one. Shingles of one class alone
+    take their places in that number, but need not travel.
+    """
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
+        for batch in small(batches):
+            texts = pa.array([unpack.decompress(t) for t in batch.column(2).to_pylist()], pa.large_binary())
+            for part in slices(texts):
+                hashes, counts = shingle_sets(part)
+                row = pa.array(part.first + np.repeat(np.arange(part.size), counts))
+                yield pa.RecordBatch.from_arrays(
+                    [signed(hashes), batch.column(0).take(row), batch.column(1).take(row),
+                     pa.array(np.repeat(counts, counts))], names=["key", "class", "label", "n"])
+
+    each = stored(members.join(texts, "class").select("class", "label", "packed")
+                  .mapInArrow(kernel, "key long, class long, label long, n long"), "shingles")
+    shared = stored(each.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1"), "frequencies")
+    common = each.join(shared, "key")
+    order = Window.partitionBy("class").orderBy("df", "key")
+    ranked = common.withColumns({"rank": F.row_number().over(order),
+                                 "alone": F.col("n") - F.count("*").over(Window.partitionBy("class"))})
+    most = F.col("n") - F.ceil(F.col("n") * PER_CENT / 100) + 1
+    return ranked.filter(F.col("rank") + F.col("alone") <= most).select("key", "class", "label")
+
+
 def components(docs: DataFrame) -> DataFrame:
     """Columns doc_id, n_shingles, component_id, one row per row of ``docs``.
 
@@ -272,12 +303,16 @@ def components(docs: DataFrame) -> DataFrame:
         else:
             groups = groups.withColumn("label", F.col("class"))
         if turn < LEADER_ROUNDS:
-            leader = groups.groupBy("sig").agg(F.min(F.struct(F.xxhash64("class", F.lit(turn)), "class", "label")).alias("l"))
-            other = stored(leader.select("sig", F.col("l.class").alias("other"), F.col("l.label").alias("theirs")),
+            met = groups.select(F.col("sig").alias("key"), "class", "label")
+            leader = met.groupBy("key").agg(F.min(F.struct(F.xxhash64("class", F.lit(turn)), "class", "label")).alias("l"))
+            other = stored(leader.select("key", F.col("l.class").alias("other"), F.col("l.label").alias("theirs")),
                            f"leaders{turn}")
-        else:  # whatever is still apart in a group
-            other = groups.select("sig", F.col("class").alias("other"), F.col("label").alias("theirs"))
-        pairs = (groups.join(other, "sig").filter("label != theirs")
+            apart = F.col("label") != F.col("theirs")
+        else:  # whatever is still apart in a group meets where rare shingles are shared
+            met = stored(rare_shingles(groups.select("class", "label").distinct(), texts), "rare")
+            other = met.select("key", F.col("class").alias("other"), F.col("label").alias("theirs"))
+            apart = F.col("label") < F.col("theirs")
+        pairs = (met.join(other, "key").filter(apart)
                  .select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct()
                  .join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
                  .filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PER_CENT).select("a", "b"))
