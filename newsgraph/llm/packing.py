@@ -9,13 +9,12 @@ imbalances into near-equal windows; while the fullest exceeds the capacity, one
 from __future__ import annotations
 
 import heapq
-import unicodedata
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from tokenizers import Tokenizer
@@ -28,9 +27,9 @@ END = 1
 #: Longest piece of a document's rest after its whole windows.
 PIECE = 512
 #: Pieces that are packed together.
-BLOCK = 1200
-#: Entries of a task's memory of words; a full memory is emptied.
-WORDS_KEPT = 250_000
+BLOCK = 1000
+#: Entries of a worker's memory of words, about 100 MB; a full memory is emptied.
+WORDS_KEPT = 500_000
 
 _END = np.array([END], "<u4").tobytes()
 
@@ -38,62 +37,66 @@ _END = np.array([END], "<u4").tobytes()
 class WordCodes:
     """Token ids of texts as bytes (unsigned, little-endian, 4 each), with a memory of words.
 
-    The tokenizer treats words between ASCII white space on their own. Plain words are cut once
-    more, at the tokenizer's own borders, which makes the memory useful for rare words.
+    Texts of Latin letters are cut as the tokenizer cuts them before its merges, and each part
+    is looked up. Beyond those, case, normal form and white space may follow rules that
+    the pattern here does not know: such texts are split at ASCII white space, where the
+    tokenizer splits too, and their words go to it as they are.
     """
 
-    #: Fixed by the vocabulary file: its pattern of pre-tokens.
-    PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+    #: Fixed by the vocabulary file: its pattern of parts, for characters below U+0250 in lower case.
+    PATTERN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ɏ]+|[0-9²³¹¼½¾]|[^\\sa-zªµºß-öø-ɏ0-9²³¹¼½¾]+")
+    ODD = re.compile("[\x1c-\x1f\x85\u0130\u0250-\U0010ffff]|<\\|")
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in
-                self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def _learn(self, new: set[bytes]) -> None:
-        cut: dict[bytes, list[str]] = {}
-        whole: list[bytes] = []
-        for word in new:
-            text = word.decode("utf-8", "replace")
-            # beyond Latin letters, case and normal form may depend on more than the pattern knows
-            if max(text) < "ɐ" and "İ" not in text and "<|" not in text and unicodedata.is_normalized("NFC", text):
-                cut[word] = self.PATTERN.findall(text.lower())
-            else:
-                whole.append(word)
-        missing = list({p for parts in cut.values() for p in parts if p not in self.parts})
-        self.parts.update(zip(missing, self._encode(missing)))
-        for word, parts in cut.items():
-            self.words[word] = b"".join([self.parts[p] for p in parts])
-        self.words.update(zip(whole, self._encode([w.decode("utf-8", "replace") for w in whole])))
+        self.known: dict[str, bytes] = {}
+
+    def _learn(self, new: list[str]) -> None:
+        for low in range(0, len(new), 4096):
+            some = new[low:low + 4096]
+            found = self.tokenizer.encode_batch(some, add_special_tokens=False)
+            self.known.update(zip(some, [np.array(e.ids, "<u4").tobytes() for e in found]))
+
+    def _parts(self, text: str) -> list[str]:
+        if not self.ODD.search(text):
+            return self.PATTERN.findall(text.lower())
+        return re.split("[ \t\n\x0b\x0c\r]+", text)
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        if len(self.words) > WORDS_KEPT:
-            self.words.clear()
-        if len(self.parts) > WORDS_KEPT:
-            self.parts.clear()
-        new = set().union(*split) - self.words.keys()
+        if len(self.known) > WORDS_KEPT:
+            self.known.clear()
+        split = [self._parts(t.decode("utf-8", "replace")) for t in texts]
+        get = self.known.get
+        coded = [list(map(get, parts)) for parts in split]
+        gaps = [[i for i, c in enumerate(codes) if c is None] if None in codes else () for codes in coded]
+        new = {parts[i] for parts, at in zip(split, gaps) for i in at}
         if new:
-            self._learn(new)
-        code = self.words.__getitem__
-        return [b"".join(map(code, words)) for words in split]
+            self._learn(sorted(new))
+        for parts, codes, at in zip(split, coded, gaps):
+            for i in at:
+                codes[i] = get(parts[i])
+        return [b"".join(codes) for codes in coded]
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, piece: int = PIECE,
-                 keep_ids: bool = False) -> DataFrame:
-    """Pieces of the tokenised documents: doc_id, start, length, ids_crc32, doc_tokens[, ids].
+_CODES: dict[str, WordCodes] = {}
 
-    ``tokenizer`` is the path of a vocabulary file that every machine has. A null or empty text
-    is the end id alone. Repeated rows and rows without an id are documents like others.
-    """
+
+def word_codes(path: str) -> WordCodes:
+    """The memory of this Python worker, which outlives a task."""
+    if path not in _CODES:
+        _CODES[path] = WordCodes(path)
+    return _CODES[path]
+
+
+Kernel = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+
+
+def _cutter(tokenizer: str, capacity: int, piece: int, keep_ids: bool) -> Kernel:
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * keep_ids]
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = WordCodes(tokenizer)
+        codes = word_codes(tokenizer)
         for batch in batches:
             for low in range(0, len(batch), 256):
                 part = batch.slice(low, 256)
@@ -114,9 +117,21 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, piec
                                             pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs))
-            .mapInArrow(kernel, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-                        + ", ids array<int>" * keep_ids))
+    return kernel
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs))
+
+
+def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, piece: int = PIECE,
+                 keep_ids: bool = False) -> DataFrame:
+    """Pieces of the tokenised documents: doc_id, start, length, ids_crc32, doc_tokens[, ids].
+
+    ``tokenizer`` is the path of a vocabulary file that every machine has. A null or empty text
+    is the end id alone. Repeated rows and rows without an id are documents like others.
+    """
+    return _texts(docs).mapInArrow(_cutter(tokenizer, capacity, piece, keep_ids), PIECES + ", ids array<int>" * keep_ids)
 
 
 def differencing(sizes: np.ndarray, windows: int) -> tuple[np.ndarray, int]:
@@ -166,16 +181,7 @@ def near_equal(sizes: np.ndarray, capacity: int) -> np.ndarray:
         windows += 1
 
 
-def packed(pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK) -> DataFrame:
-    """``pieces`` with sequence_id and offset; any other columns stay, these two are replaced.
-
-    No piece may be longer than ``capacity``. Offsets have no gaps. Sequence ids follow from
-    the partition and the order in it. An empty table gives an empty result.
-    """
-    pieces = pieces.drop("sequence_id", "offset")
-    schema = pieces.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")}).schema
-    names = schema.fieldNames()
-
+def _packer(names: list[str], capacity: int, block: int) -> Kernel:
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 40
         used = 0
@@ -217,7 +223,18 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK) -> D
         if count:
             yield from fill(pa.concat_tables(waiting))
 
-    return pieces.mapInArrow(kernel, schema)
+    return kernel
+
+
+def packed(pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK) -> DataFrame:
+    """``pieces`` with sequence_id and offset; any other columns stay, these two are replaced.
+
+    No piece may be longer than ``capacity``. Offsets have no gaps. Sequence ids follow from
+    the partition and the order in it. An empty table gives an empty result.
+    """
+    pieces = pieces.drop("sequence_id", "offset")
+    schema = pieces.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")}).schema
+    return pieces.mapInArrow(_packer(schema.fieldNames(), capacity, block), schema)
 
 
 def tokenizer_path() -> str:
@@ -227,8 +244,14 @@ def tokenizer_path() -> str:
 
 
 def packing(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    return packed(token_pieces(docs, tokenizer or tokenizer_path(), capacity), capacity)
+    """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+
+    As ``packed`` of ``token_pieces``, with both steps in one Python worker.
+    """
+    cut = _cutter(tokenizer or tokenizer_path(), capacity, PIECE, False)
+    schema = PIECES + ", sequence_id long, offset long"
+    pack = _packer([f.split()[0] for f in schema.split(", ")], capacity, BLOCK)
+    return _texts(docs).mapInArrow(lambda batches: pack(cut(batches)), schema)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
