@@ -1,7 +1,10 @@
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from newsgraph.operators.clean import EVENT_COLUMNS
 from newsgraph.plans import flows
+from newsgraph.sources import files as FS
 from test_archive import record, zipped
 
 THEMES = ["INFO_HOAX", "ELECTION", "ECON_INFLATION", "WB_HEALTH", "CYBER_ATTACK"]
@@ -32,7 +35,7 @@ def test_from_archives_to_results(spark, tmp_path):
 
     args = (spark, str(landing), path("raw"), path("manifest"))
     flows.extract(*args, "2023-05-30", "2023-06-03")
-    manifest = lambda: {(r.date, r.rows_matched, r.status) for r in spark.read.parquet(path("manifest")).collect()}
+    manifest = lambda: {(r.date, r.rows_matched, r.status) for r in FS.read_manifest(spark, path("manifest")).collect()}
     assert manifest() == {("2023-05-30", 40, "ok"), ("2023-05-31", 40, "ok"), ("2023-06-01", 40, "ok"),
                           ("2023-06-02", 0, "failed"), ("2023-06-03", 0, "failed")}
 
@@ -55,6 +58,75 @@ def test_from_archives_to_results(spark, tmp_path):
     assert spark.read.parquet(path("results/morans_i.parquet")).count() == 2
 
 
+def test_broken_archives_and_foreign_dates(spark, tmp_path):
+    """A file broken after many lines gives nothing; once mended it is read whole; rows count by file."""
+    rng = np.random.default_rng(2)
+    landing = tmp_path / "landing"
+    landing.mkdir()
+    path = lambda n: str(tmp_path / n)
+    noise = lambda i: "".join(map(chr, rng.integers(97, 123, 30)))
+    sound = zipped("".join(record(i, V2Themes="INFO_HOAX,1", DATE="20230601121500", AllNames=noise(i)) + "\n"
+                           for i in range(25_000)).encode())
+    broken = bytearray(sound)
+    broken[int(len(broken) * 0.95)] ^= 255
+    (landing / "20230601121500.gkg.csv.zip").write_bytes(broken)
+    (landing / "20230602121500.gkg.csv.zip").write_bytes(zipped(
+        "".join(record(i, V2Themes="INFO_HOAX,1", DATE="20230603121500") + "\n" for i in range(5)).encode()))
+    args = (spark, str(landing), path("raw"), path("manifest"), "2023-06-01", "2023-06-03")
+    first = {(r.date, r.rows_matched, r.status) for r in flows.extract(*args).collect()}
+    assert first == {("2023-06-01", 0, "failed"), ("2023-06-02", 5, "ok"), ("2023-06-03", 0, "failed")}
+    assert spark.read.parquet(path("raw")).count() == 5
+    (landing / "20230601121500.gkg.csv.zip").write_bytes(sound)
+    again = {(r.date, r.rows_matched, r.status) for r in flows.extract(*args, resume=True).collect()}
+    assert again == {("2023-06-01", 25_000, "ok"), ("2023-06-03", 0, "failed")}
+    assert spark.read.parquet(path("raw")).count() == 25_005
+    fixed = {r.date: (r.rows_matched, r.status) for r in flows.repair(spark, path("raw"), path("manifest")).collect()}
+    assert fixed == {"2023-06-01": (25_000, "ok"), "2023-06-02": (5, "ok"), "2023-06-03": (0, "failed")}
+
+
+def test_a_run_without_its_manifest_is_rescued(spark, tmp_path):
+    landing = tmp_path / "landing"
+    landing.mkdir()
+    path = lambda n: str(tmp_path / n)
+    for day in ("20230601", "20230602"):
+        (landing / f"{day}121500.gkg.csv.zip").write_bytes(zipped((record(1, V2Themes="INFO_HOAX,1", DATE=f"{day}121500") + "\n").encode()))
+    args = (spark, str(landing), path("raw"))
+    flows.extract(*args, path("lost"), "2023-06-01", "2023-06-01")
+    rows = flows.extract(*args, path("manifest"), "2023-06-01", "2023-06-02", resume=True)
+    assert {(r.date, r.rows_matched, r.status) for r in rows.collect()} == {("2023-06-01", 1, "ok"), ("2023-06-02", 1, "ok")}
+    assert spark.read.parquet(path("raw")).count() == 2
+
+
+def test_pilot(spark, tmp_path):
+    rows = [(str(i % 50), "2023-06-01", "UK" if i % 2 else "United Kingdom", 1.0, 2.0, "T", i % 3 and 1, None if i % 5 else 1.5)
+            for i in range(80)]
+    table = spark.createDataFrame(rows, "Record_ID string, Date string, Country string, Latitude double, Longitude double, "
+                                        "Themes string, Misinfo_Flag int, Tone_Overall double").withColumn("_pos", F.monotonically_increasing_id())
+    needed = ["Record_ID", "Country", "Tone_Overall"]
+    gaps = flows.pilot(spark, table, str(tmp_path / "clean"), str(tmp_path / "sample"), 10, required=needed)
+    assert {r.column: r.n_null for r in gaps.collect()} == {"Record_ID": 0, "Country": 0, "Tone_Overall": 64}
+    cleaned = spark.read.parquet(str(tmp_path / "clean"))
+    assert cleaned.where("Tone_Overall IS NULL").count() == 0 and cleaned.count() == cleaned.select("Record_ID").distinct().count()
+    assert spark.read.parquet(str(tmp_path / "sample")).count() == 10
+    with pytest.raises(ValueError):
+        flows.pilot(spark, table.drop("Country"), str(tmp_path / "c2"), str(tmp_path / "s2"), required=needed)
+
+
+def test_topics_meet_events(spark, tmp_path):
+    path = lambda n: str(tmp_path / n)
+    words = ["ball goal team match", "vote law court bill"]
+    texts = spark.createDataFrame([(str(i), f"{words[i % 2]} " * 5 if i < 40 else "zzz qqq") for i in range(44)], "Record_ID string, text string")
+    FS.write_articles(texts, path("articles"))
+    FS.write_articles(texts.limit(5), path("articles"), "append")  # an append that was repeated
+    events = spark.range(60).selectExpr("cast(id as string) AS Record_ID", "'2023-06' AS Year_Month", "double(id % 2) AS Tone_Overall",
+                                        "1.0D AS Tone_Positive", "2.0D AS Tone_Negative", "3.0D AS Tone_Polarity")
+    events.write.partitionBy("Year_Month").parquet(path("events"))
+    tone = flows.topics(spark, path("articles"), path("events"), path("results"), [2], min_docs=5, max_share=0.9)
+    assert {r.Tone_Overall for r in tone.collect()} == {0.0, 1.0}
+    labels = spark.read.parquet(path("results/event_topics.parquet"))
+    assert labels.count() == 60 and labels.where("Topic_Label IS NULL").count() == 20
+
+
 def test_articles_with_resume(spark, tmp_path):
     page = "<p>" + "word " * 60 + "</p>"
     rows = [(i, str(i), f"http://h{i % 3}.org/a", None, 200, "text/html", page) for i in range(6)]

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
     ("<script>var a='<p>no</p>';</script><p>yes</p>", "yes"), ("<!-- <p>no</p> --><p>a &lt;b&gt; &amp;lt;</p>", "a <b> &lt;"),
     ("<style>p{}</style>text only", ""), ("<p>a<script>x</script>b</p>", "a b"),
     ("<p>1 < 2 and 3</p>", "1 < 2 and 3"), ("<p>x\n\n  y&nbsp;z</p>", "x y z"), ("", ""), (None, ""),
+    ("<p>&copy; &#8364;&#x20AC; &#xD800; &unknown; a&b &amp;copy; &eacute;&#39;&apos; AT&T; &</p>",
+     "\u00a9 \u20ac\u20ac \ufffd &unknown; a&b &copy; \u00e9'' AT&T; &"),
     ("<script>never closed <p>a</p>", ""), ("<p>a</p >b<p>c", "a c"),
 ])
 def test_paragraph_text(spark, html, want):
@@ -63,6 +65,33 @@ def test_permission(spark):
         assert got == {u: w[i] for u, w in urls.items()}, match
 
 
+def test_odd_addresses_do_not_hide_the_host(spark):
+    rules = spark.createDataFrame([("h.org", False, "/"), ("under_score.org", False, "/")],
+                                  "host string, allow boolean, path_prefix string")
+    urls = ["http://h.org/a|b", "http://h.org/a b", "http://h.org/{x}", "http://H.org:8080/x", "http://u:p@h.org/",
+            "http://under_score.org/x", "http://h.org?q", "https://h.org#top", "http://h.org/a\nb"]
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    assert not any(r.allowed for r in PG.with_permission(df, rules).collect())
+    with pytest.raises(ValueError):
+        PG.with_permission(df, rules, "first")
+
+
+def test_gaps_of_required_columns(spark):
+    from newsgraph.operators.clean import missing_columns
+    df = spark.createDataFrame([("a", None), (" ", 1), ("", None), (None, 2)], "x string, y int")
+    assert {tuple(r) for r in missing_columns(df, ["x", "y", "z"]).collect()} == {
+        ("x", True, 1, 2), ("y", True, 2, 0), ("z", False, 4, 0)}
+
+
+def test_repair_keeps_failed_days_due(spark):
+    old = spark.createDataFrame([("2023-06-01", "t", "u", 0, "failed"), ("2023-06-02", "t", "u", 0, "failed")],
+                                "date string, timestamp_queried string, source_url string, rows_matched long, status string")
+    raw = spark.createDataFrame([("20230601121500",)], "DATE string")
+    fixed = M.repair_manifest(old, raw)
+    assert [(r.date, r.rows_matched, r.status) for r in fixed.collect()] == [("2023-06-01", 1, "ok"), ("2023-06-02", 0, "failed")]
+    assert [r.date for r in M.days_to_do(old.select("date"), fixed).collect()] == ["2023-06-02"]
+
+
 def test_failed_days_are_due_again(spark):
     span = spark.sql("SELECT date'2023-06-01' AS start, date'2023-06-03' AS end")
     days = M.sampled_days(span)

@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pytest
 
-from newsgraph.operators import spatial as SP
+from newsgraph.operators import components as CO, spatial as SP
 
 R = 6371.0088
 
@@ -135,6 +135,18 @@ def test_components_on_a_chain_and_a_star(spark):
     assert {got[i] for i in range(41)} == {0} and {got[i] for i in range(100, 130)} == {100} and got[500] == 500
 
 
+def test_components_need_few_rounds(spark, monkeypatch):
+    """A chain of 4,096 nodes in random order: its length must not count."""
+    rng = np.random.default_rng(3)
+    ids = rng.permutation(4096).tolist()
+    rounds, state = [], CO._state
+    monkeypatch.setattr(CO, "_state", lambda e: (rounds.append(1), state(e))[1])
+    edges = spark.createDataFrame(list(zip(ids, ids[1:])), "a long, b long")
+    found = CO.stars(edges)
+    assert found.count() == 4095 and {r.b for r in found.select("b").distinct().collect()} == {0}
+    assert len(rounds) < 25
+
+
 def test_no_core_points(spark):
     rows = SP.dbscan(frame(spark, {(0.0, 0.0): 1, (50.0, 50.0): 1}), 10.0, 5).collect()
     assert [(r.is_core, r.cluster) for r in rows] == [(False, -1)] * 2

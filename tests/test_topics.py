@@ -23,7 +23,7 @@ def test_vocabulary_bounds_and_ties(spark):
     matrix = {(r.Record_ID, r["index"]): r.n for r in T.doc_term_matrix(docs, T.vocabulary(docs, 2, 0.75, 2)).collect()}
     assert matrix == {("0", 0): 2, ("0", 1): 1, ("1", 0): 1, ("2", 1): 1}
     vectors = {r.Record_ID: r.features.toArray().tolist() for r in T.term_vectors(docs, ["b", "c"]).collect()}
-    assert vectors["0"] == [2.0, 1.0] and "3" not in vectors
+    assert vectors["0"] == [2.0, 1.0] and vectors["3"] == [0.0, 0.0]
 
 
 def windows(tokens, size):
@@ -62,9 +62,9 @@ def test_lda_separates_two_subjects(spark):
     texts = ["ball goal team ball match " * 4, "vote law court vote bill " * 4] * 30
     docs = docs_of(spark, texts)
     terms = ["ball", "goal", "team", "match", "vote", "law", "court", "bill"]
-    table, model = T.select_k(docs, terms, [2, 3], top=4, iterations=30, batch_share=1.0)
+    table, model = T.select_k(docs, terms, [2, 3], top=4, iterations=30)
     assert [r.chosen for r in table.orderBy("k").collect()].count(True) == 1
-    model = T.fit_lda(T.term_vectors(docs, terms), 2, 30, batch_share=1.0)
+    model = T.fit_lda(T.term_vectors(docs, terms), 2, 30)
     rows = T.dominant_topic(model, T.term_vectors(docs, terms)).collect()
     assert all(r.total == pytest.approx(1.0) for r in rows)
     sides = [{r.Topic_Label for r in rows if int(r.Record_ID) % 2 == s} for s in (0, 1)]
@@ -73,8 +73,23 @@ def test_lda_separates_two_subjects(spark):
     assert {frozenset(r.t) for r in tops} == {frozenset(terms[:4]), frozenset(terms[4:])}
 
 
+def test_documents_without_terms_keep_a_row(spark):
+    docs = docs_of(spark, ["ball goal ball", "vote law vote", "unknown words", ""] * 5)
+    terms = ["ball", "goal", "vote", "law"]
+    vectors = T.term_vectors(docs, terms)
+    rows = T.dominant_topic(T.fit_lda(vectors, 2, 10), vectors).collect()
+    assert len(rows) == 20
+    assert [(r.Topic_Label is None, r.share is None, r.total == 0) for r in rows] == [
+        (int(r.Record_ID) % 4 > 1,) * 3 for r in rows]
+
+
+def test_best_k_prefers_the_smaller_on_ties():
+    assert T.best_k([(2, 0.5), (3, 0.5000000000001), (5, 0.4)]) == 2
+    assert T.best_k([(2, float("nan")), (4, -0.9), (3, None)]) == 4
+
+
 def test_lemmas(spark):
     docs = docs_of(spark, ["cats sit cats", ""])
-    lemmas = spark.createDataFrame([("cats", "cat")], "form string, lemma string")
+    lemmas = spark.createDataFrame([("cats", "cat"), ("cats", "feline")], "form string, lemma string")
     rows = T.lemmatise(docs, lemmas).orderBy("Record_ID").collect()
     assert [r.tokens for r in rows] == [["cat", "sit", "cat"], []]
