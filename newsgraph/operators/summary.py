@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from newsgraph.functions.geo import unit_vector
 from newsgraph.operators.quantiles import exact_quantiles
 from newsgraph.session import cut_lineage
 
@@ -90,12 +91,18 @@ def topic_tone(events: DataFrame, topics: DataFrame, key: str = "Record_ID", dig
 
 
 def country_totals(events: DataFrame) -> DataFrame:
-    """Events, mean tone and mean position per country."""
+    """Events, mean tone and mean position per country.
+
+    The position is that of the mean direction from the centre of the Earth, so a
+    country on both sides of the date line does not land on the far side of the globe.
+    """
+    x, y, z = unit_vector(F.col("Latitude"), F.col("Longitude"))
     return events.groupBy("Country").agg(
-        F.count(F.lit(1)).alias("n_events"),
-        rounded(F.avg("Tone_Overall")).alias("mean_tone"),
-        rounded(F.avg("Latitude")).alias("Latitude"),
-        rounded(F.avg("Longitude")).alias("Longitude"))
+        F.count(F.lit(1)).alias("n_events"), rounded(F.avg("Tone_Overall")).alias("mean_tone"),
+        F.avg(x).alias("_x"), F.avg(y).alias("_y"), F.avg(z).alias("_z"),
+    ).select("Country", "n_events", "mean_tone",
+             rounded(F.degrees(F.atan2("_z", F.sqrt(F.col("_x") ** 2 + F.col("_y") ** 2)))).alias("Latitude"),
+             rounded(F.degrees(F.atan2("_y", "_x"))).alias("Longitude"))
 
 
 def event_points(events: DataFrame) -> DataFrame:

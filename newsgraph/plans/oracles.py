@@ -13,6 +13,13 @@ from newsgraph.schema import (
 )
 
 
+MEAN_LATITUDE = """round(degrees(atan2(avg(sin(radians(Latitude))),
+    sqrt(power(avg(cos(radians(Latitude)) * cos(radians(Longitude))), 2)
+         + power(avg(cos(radians(Latitude)) * sin(radians(Longitude))), 2)))), 6)"""
+MEAN_LONGITUDE = """round(degrees(atan2(avg(cos(radians(Latitude)) * sin(radians(Longitude))),
+    avg(cos(radians(Latitude)) * cos(radians(Longitude))))), 6)"""
+
+
 def quote(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -393,8 +400,8 @@ ORACLES: dict[str, str] = {
             coalesce(Source_Diversity, 0) AS Source_Diversity
         FROM cells c LEFT JOIN panel p ON p.Country = c.Country AND p.Year_Month = c.Year_Month""",
     "country_totals": f"""WITH {CLEAN} SELECT Country, count(*) AS n_events,
-        round(avg(Tone_Overall), 6) + 0.0 AS mean_tone, round(avg(Latitude), 6) + 0.0 AS Latitude,
-        round(avg(Longitude), 6) + 0.0 AS Longitude FROM clean GROUP BY 1""",
+        round(avg(Tone_Overall), 6) + 0.0 AS mean_tone, {MEAN_LATITUDE} + 0.0 AS Latitude,
+        {MEAN_LONGITUDE} + 0.0 AS Longitude FROM clean GROUP BY 1""",
     "event_points": f"""WITH {CLEAN} SELECT Latitude, Longitude, count(*) AS n_events
         FROM clean GROUP BY 1, 2""",
 
@@ -451,9 +458,9 @@ reach(lat, lon, rlat, rlon) AS (
 roots AS (SELECT lat, lon, min({{'a': rlat, 'b': rlon}}) AS root FROM reach GROUP BY 1, 2),
 numbers AS (SELECT lat, lon, dense_rank() OVER (ORDER BY root) - 1 AS cluster FROM roots)"""
 
-UNITS = CLEAN + """,
+UNITS = CLEAN + f""",
 units AS (SELECT Country AS u, count(*) AS n_events, round(avg(Tone_Overall), 6) AS mean_tone,
-              round(avg(Latitude), 6) AS lat, round(avg(Longitude), 6) AS lon
+              {MEAN_LATITUDE} AS lat, {MEAN_LONGITUDE} AS lon
           FROM clean WHERE Country <> '' GROUP BY 1)"""
 
 MORAN = UNITS + f""",
