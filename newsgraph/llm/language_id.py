@@ -182,6 +182,8 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel:
     chosen = ranked.filter(F.col("rank") <= per_language)
     languages = sorted(r.lang for r in chosen.filter("rank = 1").select("lang").limit(MAX_LANGUAGES).collect())
     picked = chosen.select(F.col("doc_id").alias("_id"), (F.col("rank") % 5 == 0).alias("cal")).distinct()
+    # ids of the sample: PER_LANGUAGE times MAX_LANGUAGES at most, so the texts need no shuffle
+    picked = F.broadcast(picked.limit(per_language * MAX_LANGUAGES))
     sample = stored(_sparse(known.join(picked, F.col("doc_id") == F.col("_id"))), "sample")
     size = np.log((1 + total.max(initial=0)) / (1 + total)) + 1.0
     fit, check = [], []
