@@ -7,6 +7,7 @@ from newsgraph.llm.language_id import op6_language_id
 from newsgraph.llm.license_scan import LICENSE_SCAN_SQL, op9_license_scan
 from newsgraph.llm.line_dedup import LINE_DEDUP_SQL, op4_line_dedup
 from newsgraph.llm.packing import op10_packing
+from newsgraph.llm.sql import DECONTAMINATE_SQL, JACCARD_JOIN_SQL, SUBSTRING_DEDUP_SQL, SUFFIX_DEDUP_SQL
 from newsgraph.llm.substring_dedup import op1_substring_dedup
 from newsgraph.llm.suffix_dedup import op3_suffix_dedup
 from newsgraph.llm.voronoi_knn import VORONOI_KNN_SQL, op5_voronoi_knn
@@ -25,6 +26,10 @@ OP_QUERIES = {
 }
 
 OP_ORACLES = {
+    "op1_substring_dedup": SUBSTRING_DEDUP_SQL,
+    "op2_jaccard_join": JACCARD_JOIN_SQL,
+    "op3_suffix_dedup": SUFFIX_DEDUP_SQL,
+    "op7_decontaminate": DECONTAMINATE_SQL,
     "op4_line_dedup": LINE_DEDUP_SQL,
     "op5_voronoi_knn": VORONOI_KNN_SQL,
     "op8_chat_format": CHAT_FORMAT_SQL,
