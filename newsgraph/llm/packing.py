@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import heapq
 import re
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -28,8 +29,13 @@ END = 1
 PIECE = 512
 #: Pieces that are packed together.
 BLOCK = 1000
-#: Entries of a worker's memory of words, about 100 MB; a full memory is emptied.
-WORDS_KEPT = 500_000
+#: Entries of a worker's memory of words, about 250 MB; a full memory is emptied.
+WORDS_KEPT = 1_200_000
+
+
+def _bytes(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
 
 _END = np.array([END], "<u4").tobytes()
 
@@ -45,33 +51,50 @@ class WordCodes:
 
     #: Fixed by the vocabulary file: its pattern of parts, for characters below U+0250 in lower case.
     PATTERN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ɏ]+|[0-9²³¹¼½¾]|[^\\sa-zªµºß-öø-ɏ0-9²³¹¼½¾]+")
-    ODD = re.compile("[\x1c-\x1f\x85\u0130\u0250-\U0010ffff]|<\\|")
+    ODD = re.compile("[\x1c-\x1f\x85\u0130\u0250-\U0010ffff]")
+    #: Two characters in a row that are one part together, unlike a single point or comma.
+    MARKS = re.compile(r"[.,_](?:(?<=_)|[^\w\s]|(?<=[^\w\s][.,]))")
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
 
-    def _learn(self, new: list[str]) -> None:
-        for low in range(0, len(new), 4096):
-            some = new[low:low + 4096]
+    def _encode(self, texts: list[str]) -> None:
+        for low in range(0, len(texts), 4096):
+            some = texts[low:low + 4096]
             found = self.tokenizer.encode_batch(some, add_special_tokens=False)
-            self.known.update(zip(some, [np.array(e.ids, "<u4").tobytes() for e in found]))
-
-    def _parts(self, text: str) -> list[str]:
-        if not self.ODD.search(text):
-            return self.PATTERN.findall(text.lower())
-        return re.split("[ \t\n\x0b\x0c\r]+", text)
+            self.known.update(zip(some, [_bytes(e.ids) for e in found]))
+
+    def _learn(self, new: set[str]) -> None:
+        """Words of one part go to the tokenizer, other plain words are put together from theirs."""
+        cut = {w: self.PATTERN.findall(w) for w in new if not w.isalpha() and w == w.lower() and self._plain(w)}
+        cut = {w: parts for w, parts in cut.items() if len(parts) > 1}
+        whole = {p for parts in cut.values() for p in parts}.union(w for w in new if w not in cut)
+        self._encode(sorted(w for w in whole if w not in self.known))
+        for w, parts in cut.items():
+            self.known[w] = b"".join([self.known[p] for p in parts])
+
+    def _plain(self, text: str) -> bool:
+        return not self.ODD.search(text) and "<|" not in text
+
+    def _words(self, text: str) -> list[str]:
+        if not self._plain(text):
+            return re.split("[ \t\n\x0b\x0c\r]+", text)
+        text = text.lower()
+        if not self.MARKS.search(text):
+            return text.replace(".", " .").replace(",", " ,").split()
+        return self.PATTERN.findall(text)
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         if len(self.known) > WORDS_KEPT:
             self.known.clear()
-        split = [self._parts(t.decode("utf-8", "replace")) for t in texts]
+        split = [self._words(t.decode("utf-8", "replace")) for t in texts]
         get = self.known.get
         coded = [list(map(get, parts)) for parts in split]
         gaps = [[i for i, c in enumerate(codes) if c is None] if None in codes else () for codes in coded]
         new = {parts[i] for parts, at in zip(split, gaps) for i in at}
         if new:
-            self._learn(sorted(new))
+            self._learn(new)
         for parts, codes, at in zip(split, coded, gaps):
             for i in at:
                 codes[i] = get(parts[i])
