@@ -67,9 +67,8 @@ def undo_entities(c: Column) -> Column:
         return F.when(char.isNull(), F.concat(F.lit("&"), part)).otherwise(
             F.concat(char, F.substr(part, F.length(name) + 2)))
 
-    parts = F.split(c, "&", -1)
-    return F.concat(F.get(parts, F.lit(0)), F.array_join(
-        F.transform(F.slice(parts, 2, F.size(parts)), undone), ""))
+    # the text is mentioned once, so what made it is not repeated
+    return F.array_join(F.transform(F.split(c, "&", -1), lambda part, i: F.when(i == 0, part).otherwise(undone(part))), "")
 
 
 HIDDEN_MARKUP = (
@@ -91,4 +90,4 @@ def paragraph_text(html: Column) -> Column:
     page = F.regexp_replace(F.coalesce(html, F.lit("")), HIDDEN_MARKUP, " ")
     inside = F.regexp_replace(F.concat(F.lit("</p>"), page), BETWEEN_PARAGRAPHS, " $1")
     plain = F.regexp_replace(inside, TAG, " ")
-    return squeeze(F.when(F.contains(plain, F.lit("&")), undo_entities(plain)).otherwise(plain))
+    return squeeze(undo_entities(plain))
