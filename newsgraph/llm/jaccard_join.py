@@ -11,9 +11,9 @@ shingles share a signature, the hash of what one subset of partitions holds:
 Equal sets are one class. Classes that share fewer signatures with others than a link needs drop
 out. Of each signature group, members meet one leader first; links are verified on the texts.
 What those links join needs no further comparison; members of a signature group that are still in
-different components meet once more, where they share one of their rarest shingles (the
-prefix filter, exact too), which keeps a large family of loosely similar texts from
-comparing all its pairs.
+different components meet once more, where they share one of their rarest shingles early enough
+(prefix and position filters, exact too), which keeps a large family of loosely similar
+texts from comparing all its pairs.
 """
 
 from __future__ import annotations
@@ -239,12 +239,13 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             .mapInArrow(kernel, "a long, b long, link boolean"))
 
 
-def rare_shingles(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """Columns key, class, label: the rarest shingles of each class, so many that two linked sets share one.
+def meeting_on_rare_shingles(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Columns class, other: members with different labels that share one of their rarest shingles.
 
-    Of a set of n shingles a linked set lacks at most n - 0.8 n; so of the n - 0.8 n + 1 rarest, in one
-    order for all sets, two linked sets share at least one. Shingles of one class alone
-    take their places in that number, but need not travel.
+    Shingles of all sets stand in one order, rare ones first. Two linked sets of n and m shingles share at
+    least a = 0.8 / 1.8 (n + m), so the first that they share has a - 1 shared ones behind it: its
+    place is at most n - a + 1 in the one, and m - a + 1 in the other. Shingles that one set alone has
+    take their places in that order, but need not travel.
     """
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
@@ -264,8 +265,14 @@ def rare_shingles(members: DataFrame, texts: DataFrame) -> DataFrame:
     order = Window.partitionBy("class").orderBy("df", "key")
     ranked = common.withColumns({"rank": F.row_number().over(order),
                                  "alone": F.col("n") - F.count("*").over(Window.partitionBy("class"))})
-    most = F.col("n") - F.ceil(F.col("n") * PER_CENT / 100) + 1
-    return ranked.filter(F.col("rank") + F.col("alone") <= most).select("key", "class", "label")
+    place = F.col("rank") + F.col("alone")
+    rare = stored(ranked.filter(place <= F.col("n") - F.ceil(F.col("n") * PER_CENT / 100) + 1)
+                  .select("key", "class", "label", "n", place.alias("place")), "rare")
+    other = rare.toDF("key", "other", "theirs", "m", "there")
+    least = F.ceil((F.col("n") + F.col("m")) * PER_CENT / (100 + PER_CENT))
+    return rare.join(other, (rare["key"] == other["key"]) & (F.col("label") < F.col("theirs"))
+                     & (F.col("place") <= F.col("n") - least + 1) & (F.col("there") <= F.col("m") - least + 1)
+                     ).select("class", "other")
 
 
 def components(docs: DataFrame) -> DataFrame:
@@ -303,17 +310,15 @@ def components(docs: DataFrame) -> DataFrame:
         else:
             groups = groups.withColumn("label", F.col("class"))
         if turn < LEADER_ROUNDS:
-            met = groups.select(F.col("sig").alias("key"), "class", "label")
-            leader = met.groupBy("key").agg(F.min(F.struct(F.xxhash64("class", F.lit(turn)), "class", "label")).alias("l"))
-            other = stored(leader.select("key", F.col("l.class").alias("other"), F.col("l.label").alias("theirs")),
+            leader = groups.groupBy("sig").agg(F.min(F.struct(F.xxhash64("class", F.lit(turn)), "class", "label")).alias("l"))
+            other = stored(leader.select("sig", F.col("l.class").alias("other"), F.col("l.label").alias("theirs")),
                            f"leaders{turn}")
-            apart = F.col("label") != F.col("theirs")
+            # each member meets the leader with which it shares most signatures
+            shared_with = groups.join(other, "sig").filter("label != theirs").groupBy("class", "other").agg(F.count("*").alias("n"))
+            met = shared_with.groupBy("class").agg(F.max_by("other", F.struct("n", "other")).alias("other"))
         else:  # whatever is still apart in a group meets where rare shingles are shared
-            met = stored(rare_shingles(groups.select("class", "label").distinct(), texts), "rare")
-            other = met.select("key", F.col("class").alias("other"), F.col("label").alias("theirs"))
-            apart = F.col("label") < F.col("theirs")
-        pairs = (met.join(other, "key").filter(apart)
-                 .select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct()
+            met = meeting_on_rare_shingles(groups.select("class", "label").distinct(), texts)
+        pairs = (met.select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct()
                  .join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
                  .filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PER_CENT).select("a", "b"))
         pairs = stored(pairs.join(tested, ["a", "b"], "left_anti") if turn else pairs, f"pairs{turn}")
