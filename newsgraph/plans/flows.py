@@ -35,7 +35,7 @@ def _present(read, *args) -> DataFrame | None:
 def extract(spark: SparkSession, landing: str, raw: str, manifest: str, start: str, end: str,
             daily_time: str = "121500", codes: Sequence[str] = FILTER_CODES, resume: bool = False,
             legacy: bool = False, legacy_quotes: bool = False) -> DataFrame:
-    """Matching records of one archive per day into ``raw``; returns this run's manifest rows.
+    """Matching records of one stamp per day into ``raw``; returns this run's manifest rows.
 
     With ``resume``, the manifest decides which days are due: those it lacks, and those whose file
     was missing or broken, unless ``legacy``. Only where it lacks a day do raw records count: they
@@ -69,8 +69,9 @@ def extract(spark: SparkSession, landing: str, raw: str, manifest: str, start: s
     matched = A.of_sound_files(found)
     FS.write_raw(matched, raw, "append" if resume else "overwrite", order=ORDER_COLUMNS)
 
-    sound = archives.select("path").join(found.where("broken").select("path"), "path", "left_anti")
-    failed = days.join(sound.select(M.file_stamp(F.col("path")).alias("timestamp_queried")), "timestamp_queried", "left_anti")
+    stamp = M.file_stamp(F.col("path")).alias("timestamp_queried")
+    sound = archives.select(stamp).join(found.where("broken").select(stamp), "timestamp_queried", "left_anti")
+    failed = days.join(sound, "timestamp_queried", "left_anti")
     rows = M.extraction_manifest(days, matched, failed, file_day)
     rows = cut_lineage(rows.unionByName(rescued) if rescued is not None else rows)
     FS.write_manifest(rows, manifest, "append" if resume else "overwrite")

@@ -17,6 +17,8 @@ from newsgraph.operators.manifest import file_stamp
 from newsgraph.schema import RAW_COLUMNS
 
 LINES_PER_BATCH = 10_000
+#: Text of one packed file, about.
+FILE_BYTES = 16 << 20
 
 
 def read_archives(spark: SparkSession, path: str, daily_time: str | None = None) -> DataFrame:
@@ -33,8 +35,8 @@ def read_archives(spark: SparkSession, path: str, daily_time: str | None = None)
 def of_days(spark: SparkSession, path: str, days: DataFrame, daily_time: str | None = None) -> DataFrame:
     """Archives (path, content) whose name carries a ``timestamp_queried`` of ``days``.
 
-    Names are matched first, without opening a file; only the files found, at most one per
-    day of the sample, are then read.
+    Names are matched first, without opening a file; only the files found are then read. A day may
+    have several, which differ behind the stamp.
     """
     names = read_archives(spark, path, daily_time).select("path", file_stamp(F.col("path")).alias("timestamp_queried"))
     found = [r["path"] for r in names.join(days.select("timestamp_queried"), "timestamp_queried", "left_semi").collect()]
@@ -121,9 +123,19 @@ def matching_or_broken(lines: DataFrame, codes: Sequence[str]) -> DataFrame:
     return named.where(broken | match).withColumn("broken", broken).drop("fields")
 
 
+def file_set(path: Column) -> Column:
+    """What stands or falls together: the files of one stamp, or a file whose name has none."""
+    stamp = file_stamp(path)
+    return F.when(stamp != "", stamp).otherwise(path)
+
+
 def of_sound_files(found: DataFrame) -> DataFrame:
-    """The records of files without a ``broken`` row: a broken file gives nothing."""
-    return found.where("NOT broken").join(found.where("broken").select("path").distinct(), "path", "left_anti")
+    """The records of files without a ``broken`` row: a broken file gives nothing.
+
+    Neither do the other files of its stamp, as a resume reads them all again.
+    """
+    named = found.withColumn("_set", file_set(F.col("path")))
+    return named.where("NOT broken").join(named.where("broken").select("_set").distinct(), "_set", "left_anti").drop("_set")
 
 
 def unreadable(lines: DataFrame) -> DataFrame:
@@ -131,19 +143,29 @@ def unreadable(lines: DataFrame) -> DataFrame:
     return lines.where("fields IS NULL").select("path")
 
 
-def pack_archives(raw: DataFrame, day: Column, daily_time: str = "121500") -> DataFrame:
-    """Records as zip files, (name, content), one per ``day`` (yyyyMMdd): the inverse of the scan.
+def pack_archives(raw: DataFrame, day: Column, daily_time: str = "121500", row: str = "_pos",
+                  file_bytes: int = FILE_BYTES) -> DataFrame:
+    """Records as zip files, (name, content), of one ``day`` (yyyyMMdd) each: the inverse of the scan.
 
-    For landing test data: like a real archive, a file is made in one piece.
+    A day has as many files as its text needs at ``file_bytes`` each, so no file grows with the
+    data. They share the stamp of the day and differ in a part number behind it. ``row`` is a column
+    without repeats; its hash deals the records out, so a task that runs again makes the same files.
     """
     def pack(group):
         out = io.BytesIO()
-        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-            z.writestr("records.csv", "".join(x + "\n" for x in group["line"]))
-        return pd.DataFrame({"name": [f"{group['day'].iloc[0]}{daily_time}.gkg.csv.zip"], "content": [out.getvalue()]})
-
-    lines = raw.select(day.alias("day"), F.array_join(F.array(*RAW_COLUMNS), "\t", "").alias("line"))
-    return lines.groupBy("day").applyInPandas(pack, "name string, content binary")
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z, z.open("records.csv", "w", force_zip64=True) as member:
+            for x in group["line"]:
+                member.write(f"{x}\n".encode())
+        name = f"{group['day'].iloc[0]}{daily_time}.{group['part'].iloc[0]:06d}.gkg.csv.zip"
+        return pd.DataFrame({"name": [name], "content": [out.getvalue()]})
+
+    lines = raw.select(day.alias("day"), F.xxhash64(row).alias("hash"),
+                       F.array_join(F.array(*RAW_COLUMNS), "\t", "").alias("line"))
+    parts = lines.groupBy(F.col("day").alias("of")).agg(
+        F.ceil(F.sum(F.octet_length("line") + 1) / file_bytes).alias("parts"))
+    dealt = lines.join(parts, F.col("day").eqNullSafe(F.col("of"))).select(
+        "day", F.pmod("hash", "parts").alias("part"), "line")
+    return dealt.groupBy("day", "part").applyInPandas(pack, "name string, content binary")
 
 
 def land(files: DataFrame, folder: str) -> int:

@@ -82,3 +82,36 @@ def test_append_adds_only_new_days(spark):
     more = raw(spark, [{"DATE": "20230601000000"}, {"DATE": "20230602000000"}]).drop("_pos")
     assert {(r.day, r.n) for r in rows_per_day(append_new_days(have, more)).collect()} == {
         ("20230601", 1), ("20230602", 1)}
+
+
+def test_packed_files_do_not_grow_with_the_day(spark, tmp_path):
+    """Many files for a large day, each below the stated size, and every record once on the way back."""
+    from pyspark.sql import functions as F
+    rows = raw(spark, [{"Extras": "x" * 200, "AllNames": f"n{i}"} for i in range(3_000)]).withColumn(
+        "day", F.when(F.col("_pos") % 100 == 0, "20230602").when(F.col("_pos") != 7, "20230601"))
+    files = A.pack_archives(rows, F.col("day"), file_bytes=20_000).cache()
+    sizes = {}
+    for r in files.collect():
+        with zipfile.ZipFile(io.BytesIO(r.content)) as z:
+            assert z.getinfo("records.csv").file_size < 40_000
+        assert r.name not in sizes and (r.name[:14].isdigit() or r.name.startswith("None"))
+        sizes[r.name] = r.name[:8]
+    assert list(sizes.values()).count("20230601") > 20
+    assert A.land(files, str(tmp_path / "in")) == len(sizes)
+    back = A.well_formed(A.archive_lines(A.read_archives(spark, str(tmp_path / "in"), "121500")))
+    assert sorted(r.AllNames for r in back.collect()) == sorted(f"n{i}" for i in range(3_000))
+
+
+def test_a_broken_part_takes_its_day_along(spark, tmp_path):
+    """A resume reads all files of a failed day again, so none of them may have left records."""
+    from newsgraph.plans import flows
+    folder = tmp_path / "in"
+    folder.mkdir()
+    part = lambda i: zipped((record(i, V2Themes="INFO_HOAX,1", DATE="20230601121500") + "\n").encode())
+    for i in range(3):
+        (folder / f"20230601121500.{i:06d}.gkg.csv.zip").write_bytes(part(i) if i else b"broken")
+    args = (spark, str(folder), str(tmp_path / "raw"), str(tmp_path / "log"), "2023-06-01", "2023-06-01")
+    assert [(r.rows_matched, r.status) for r in flows.extract(*args).collect()] == [(0, "failed")]
+    (folder / "20230601121500.000000.gkg.csv.zip").write_bytes(part(0))
+    assert [(r.rows_matched, r.status) for r in flows.extract(*args, resume=True).collect()] == [(3, "ok")]
+    assert sorted(r.GKGRECORDID for r in spark.read.parquet(str(tmp_path / "raw")).collect()) == ["id0", "id1", "id2"]
