@@ -1,7 +1,8 @@
 """Operator 6, language ID: sparse logistic regression on TF-IDF of character n-grams.
 
 Document frequencies come from all training documents. The model is fitted on a sample of them
-of documented size (``PER_LANGUAGE`` documents of each language, chosen by a hash of the id), with
+of documented size (``PER_LANGUAGE`` documents of each language, chosen by a hash of the id, and
+fewer with more than ``MAX_LANGUAGES``; no language is left out), with
 follow-the-regularised-leader updates and elastic-net penalties, so most weights are exactly
 zero. A part of the sample that the fit does not see sets the temperature of the probabilities.
 Every document is then scored in one scan.
@@ -22,7 +23,7 @@ from newsgraph.llm.textkit import SLICE_BYTES, small, text_column
 
 #: Lengths of the n-grams and number of hashed features.
 GRAMS, FEATURES = (1, 2, 3), 1 << 16
-#: Bound of the labelled sample: documents of each language, and languages at most.
+#: Bound of the labelled sample: documents of each language, fewer of each with more languages than these.
 PER_LANGUAGE, MAX_LANGUAGES = 600, 200
 #: Step size and penalties of the fit.
 ALPHA, BETA, L1, L2, EPOCHS = 2.0, 1.0, 2e-3, 1e-4, 3
@@ -171,27 +172,34 @@ def held_out() -> "F.Column":
 
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel:
-    """Learns from text and lang of the rows with a language that are not held out."""
+    """Learns from text and lang of the rows with a language that are not held out.
+
+    Every language is learnt. The weights are FEATURES x languages numbers on the driver.
+    """
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()
                         & F.col("doc_id").isNotNull()).select("doc_id", "text", "lang")
     total = np.zeros(FEATURES, np.int64)
     for row in document_frequencies(known).collect():  # at most FEATURES rows
         total[row.feature] = row.docs
-    ranked = known.selectExpr("lang", "doc_id", "xxhash64(doc_id) as h",
+    languages = sorted(r.lang for r in known.select("lang").distinct().collect())
+    place = {lang: k for k, lang in enumerate(languages)}
+    if len(languages) > MAX_LANGUAGES:
+        per_language = max(1, per_language * MAX_LANGUAGES // len(languages))
+    ranked = known.selectExpr("lang", "doc_id",
                               "row_number() over (partition by lang order by xxhash64(doc_id), doc_id) as rank")
-    chosen = ranked.filter(F.col("rank") <= per_language)
-    languages = sorted(r.lang for r in chosen.filter("rank = 1").select("lang").limit(MAX_LANGUAGES).collect())
-    picked = chosen.select(F.col("doc_id").alias("_id"), (F.col("rank") % 5 == 0).alias("cal")).distinct()
-    # ids of the sample: PER_LANGUAGE times MAX_LANGUAGES at most, so the texts need no shuffle
-    picked = F.broadcast(picked.limit(per_language * MAX_LANGUAGES))
-    sample = stored(_sparse(known.join(picked, F.col("doc_id") == F.col("_id"))), "sample")
+    picked = ranked.filter(F.col("rank") <= per_language).groupBy(F.col("lang").alias("_lang"), F.col("doc_id").alias("_id")).agg(
+        (F.min("rank") % 5 == 0).alias("cal"))
+    # ids of the sample: PER_LANGUAGE times MAX_LANGUAGES, or one a language, so the texts need no shuffle
+    chosen = known.join(F.broadcast(picked), (F.col("lang") == F.col("_lang")) & (F.col("doc_id") == F.col("_id")))
+    # an id may come with many rows
+    sample = stored(_sparse(chosen), "sample").selectExpr(
+        "*", "row_number() over (partition by lang order by features, shares) as rank").filter(F.col("rank") <= per_language)
     size = np.log((1 + total.max(initial=0)) / (1 + total)) + 1.0
     fit, check = [], []
-    for r in sample.filter(F.col("lang").isin(languages)).orderBy("lang", "features", "shares").limit(
-            per_language * MAX_LANGUAGES).toLocalIterator():
+    for r in sample.orderBy("lang", "features", "shares").toLocalIterator():
         at = np.frombuffer(r.features, np.int32)
         x = np.frombuffer(r.shares, np.float32) * size[at]
-        (check if r.cal else fit).append((at, x / max(np.linalg.norm(x), 1e-12), languages.index(r.lang), np.linalg.norm(x)))
+        (check if r.cal else fit).append((at, x / max(np.linalg.norm(x), 1e-12), place[r.lang], np.linalg.norm(x)))
     if not fit:
         return LanguageModel([], np.zeros((FEATURES, 0)))
     # texts are scored by plain sums, so the length of the vectors is taken as their mean

@@ -82,6 +82,20 @@ def test_language(spark):
     assert {(r.doc_id, r.lang_pred) for r in other} == {(r.doc_id, r.lang_pred) for r in got}
 
 
+def test_no_language_is_left_out(spark, monkeypatch):
+    """More languages than the full sample is meant for: all are learnt, from fewer documents each."""
+    monkeypatch.setattr(L, "MAX_LANGUAGES", 2)
+    rng = random.Random(5)
+    syllables = {"aa": "ba ko li mu", "bb": "sch ein ung tz", "cc": "fjo rd yv kk", "dd": "xe qu zi nh"}
+    rows = [(i, " ".join("".join(rng.choices(syllables[lang].split(), k=3)) for _ in range(30)), lang)
+            for i, lang in enumerate(rng.choices(list(syllables), weights=(1, 1, 1, 7), k=300))]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.train(table, per_language=40)
+    assert model.languages == sorted(syllables)
+    got = {r.doc_id: r.lang_pred for r in L.predict(table.drop("lang"), model).collect()}
+    assert all(got[i] == lang for i, _, lang in rows)
+
+
 def test_language_without_labels(spark):
     table = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
     assert [tuple(r)[-2:] for r in L.predict(table, L.train(table)).collect()] == [("und", 0.0)]
