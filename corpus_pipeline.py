@@ -16,16 +16,17 @@ from newsgraph.llm.packing import packing
 from newsgraph.llm.repeats import stored
 from newsgraph.session import ship_package
 
-#: Documents whose language is less certain than this go, as do those without any.
-LEAST_SCORE = 0.5
-
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language the model knows; it is learnt from ``docs`` itself."""
+    """Documents whose language the model can tell, however surely; it is learnt from ``docs`` itself.
+
+    Only those without a letter go. Where no document has a label to learn from, all stay.
+    """
     ship_package(spark)
-    columns = docs.columns
-    judged = predict(docs, train(docs))
-    return judged.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*columns)
+    model = train(docs)
+    if not model.languages:
+        return docs
+    return predict(docs, model).filter(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

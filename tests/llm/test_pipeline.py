@@ -43,3 +43,12 @@ def test_stages(spark, tmp_path):
     packed = C.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
     assert {r.doc_id for r in packed} == kept[3].keys()
     assert {r.doc_id for r in C.run(spark, str(tmp_path)).collect()} == kept[3].keys()
+
+
+def test_language_stage_rejects_only_what_has_no_language(spark):
+    """Three languages alike give scores below one half; without labels nothing is rejected."""
+    rows = [(i, "ba ko li mu " * 5, "abc"[i % 3]) for i in range(60)] + [(90, "12 34", "a"), (91, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.doc_id for r in C.language(spark, docs, "").collect()} == set(range(60))
+    unlabelled = docs.selectExpr("doc_id", "text", "cast(null as string) as lang")
+    assert C.language(spark, unlabelled, "").count() == 62
