@@ -1,7 +1,8 @@
 """Operator 1, substring dedup: repeated 50-word passages stay in the smallest document only.
 
-De Bruijn compaction: runs of words are edges between k-mer nodes, runs of windows that share
-a smallest k-mer are compacted into paths, paths that do not branch are settled by one join,
+Not by k-mer edges, degrees and compaction through joins: runs of consecutive windows that share a
+smallest k-mer (a minimiser) are paths, cut in the task that reads the document. Joins count their
+anchors and hashes and settle those that do not branch; open ones are cut again with longer seeds,
 and source coordinates verify every span (``repeats``). The windows have 50 words.
 """
 
