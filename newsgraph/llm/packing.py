@@ -9,8 +9,6 @@ imbalances into near-equal windows; while the fullest exceeds the capacity, one
 from __future__ import annotations
 
 import heapq
-import re
-import struct
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -18,9 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from tokenizers import Tokenizer
 
 from newsgraph.llm.textkit import text_column
+from newsgraph.llm.wordcodes import groups, tokenizer_path, word_codes
 
 CAPACITY = 2048
 #: The id after each document.
@@ -29,88 +27,8 @@ END = 1
 PIECE = 512
 #: Pieces that are packed together.
 BLOCK = 1000
-#: Entries of a worker's memory of words, about 250 MB; a full memory is emptied.
-WORDS_KEPT = 1_200_000
-
-
-def _bytes(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
-
-
 _END = np.array([END], "<u4").tobytes()
 
-
-class WordCodes:
-    """Token ids of texts as bytes (unsigned, little-endian, 4 each), with a memory of words.
-
-    Texts of Latin letters are cut as the tokenizer cuts them before its merges, and each part
-    is looked up. Beyond those, case, normal form and white space may follow rules that
-    the pattern here does not know: such texts are split at ASCII white space, where the
-    tokenizer splits too, and their words go to it as they are.
-    """
-
-    #: Fixed by the vocabulary file: its pattern of parts, for characters below U+0250 in lower case.
-    PATTERN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ɏ]+|[0-9²³¹¼½¾]|[^\\sa-zªµºß-öø-ɏ0-9²³¹¼½¾]+")
-    ODD = re.compile("[\x1c-\x1f\x85\u0130\u0250-\U0010ffff]")
-    #: Two characters in a row that are one part together, unlike a single point or comma.
-    MARKS = re.compile(r"[.,_](?:(?<=_)|[^\w\s]|(?<=[^\w\s][.,]))")
-
-    def __init__(self, path: str):
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> None:
-        for low in range(0, len(texts), 4096):
-            some = texts[low:low + 4096]
-            found = self.tokenizer.encode_batch(some, add_special_tokens=False)
-            self.known.update(zip(some, [_bytes(e.ids) for e in found]))
-
-    def _learn(self, new: set[str]) -> None:
-        """Words of one part go to the tokenizer, other plain words are put together from theirs."""
-        cut = {w: self.PATTERN.findall(w) for w in new if not w.isalpha() and w == w.lower() and self._plain(w)}
-        cut = {w: parts for w, parts in cut.items() if len(parts) > 1}
-        whole = {p for parts in cut.values() for p in parts}.union(w for w in new if w not in cut)
-        self._encode(sorted(w for w in whole if w not in self.known))
-        for w, parts in cut.items():
-            self.known[w] = b"".join([self.known[p] for p in parts])
-
-    def _plain(self, text: str) -> bool:
-        return not self.ODD.search(text) and "<|" not in text
-
-    def _words(self, text: str) -> list[str]:
-        if not self._plain(text):
-            return re.split("[ \t\n\x0b\x0c\r]+", text)
-        text = text.lower()
-        if not self.MARKS.search(text):
-            return text.replace(".", " .").replace(",", " ,").split()
-        return self.PATTERN.findall(text)
-
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
-        if len(self.known) > WORDS_KEPT:
-            self.known.clear()
-        split = [self._words(t.decode("utf-8", "replace")) for t in texts]
-        get = self.known.get
-        coded = [list(map(get, parts)) for parts in split]
-        gaps = [[i for i, c in enumerate(codes) if c is None] if None in codes else () for codes in coded]
-        new = {parts[i] for parts, at in zip(split, gaps) for i in at}
-        if new:
-            self._learn(new)
-        for parts, codes, at in zip(split, coded, gaps):
-            for i in at:
-                codes[i] = get(parts[i])
-        return [b"".join(codes) for codes in coded]
-
-
-_CODES: dict[str, WordCodes] = {}
-
-
-def word_codes(path: str) -> WordCodes:
-    """The memory of this Python worker, which outlives a task."""
-    if path not in _CODES:
-        _CODES[path] = WordCodes(path)
-    return _CODES[path]
-
-
 Kernel = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -121,9 +39,10 @@ def _cutter(tokenizer: str, capacity: int, piece: int, keep_ids: bool) -> Kernel
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = word_codes(tokenizer)
         for batch in batches:
-            for low in range(0, len(batch), 256):
-                part = batch.slice(low, 256)
-                texts = [t or b"" for t in part.column(1).to_pylist()]
+            low = 0
+            for texts in groups([t or b"" for t in batch.column(1).to_pylist()]):
+                part = batch.slice(low, len(texts))
+                low += len(texts)
                 rows: list[list] = [[] for _ in range(6)]
                 for k, ids in enumerate(codes(texts)):
                     ids += _END
@@ -260,12 +179,6 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK) -> D
     return pieces.mapInArrow(_packer(schema.fieldNames(), capacity, block), schema)
 
 
-def tokenizer_path() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("word_bpe_49k.json")
-
-
 def packing(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
