@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from newsgraph.llm.repeats import stored
 from newsgraph.llm.textkit import text_column
@@ -287,17 +287,11 @@ def _requests(files: DataFrame, ids: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(doc[row]), pa.array(parts[at].astype(np.int32))], names=["doc_id", "part"])
 
     dealt = wanted.mapInArrow(deal, "doc_id long, part int")
-    lists = dealt.groupBy("part", F.floor(F.row_number().over(_order()) / REQUESTED).alias("block")).agg(
-        F.collect_list("doc_id").alias("wanted"))
+    block = F.floor(F.row_number().over(Window.partitionBy("part").orderBy("doc_id")) / REQUESTED)
+    lists = dealt.withColumn("block", block).groupBy("part", "block").agg(F.collect_list("doc_id").alias("wanted"))
     return lists.join(files.select("part", "name", "base"), "part").select("name", "base", "wanted", "part")
 
 
-def _order() -> Column:
-    from pyspark.sql import Window
-
-    return Window.partitionBy("part").orderBy("doc_id")
-
-
 def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token files of all documents, written and read back."""
     folder = scratch_path(spark, "tokens")
