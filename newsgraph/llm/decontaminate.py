@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from newsgraph.llm.repeats import stored
-from newsgraph.llm.textkit import ALNUM_WORD, Rolling, Slice, fold_case, slices, small, text_column
+from newsgraph.llm.textkit import ALNUM_WORD, Rolling, Slice, fold_case, free_name, slices, small, text_column
 
 #: Words of a window; an item with fewer words is one window.
 WINDOW = 10
@@ -129,10 +129,13 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Clean rows pass as they are, repeated rows and null texts included; an empty benchmark or
     an empty table removes nothing.
     """
-    kept = benchmark_hits(docs.withColumnsRenamed({c: f"_{c}" for c in docs.columns if c in ("hits", "items")}),
-                          benchmark)
+    names: dict[str, str] = {}
+    for c in docs.columns:
+        if c.lower() in ("hits", "items"):
+            names[c] = free_name([*docs.columns, *names.values()], f"{c}_")
+    kept = benchmark_hits(docs.withColumnsRenamed(names), benchmark)
     kept = kept.filter(F.coalesce(F.size("hits"), F.lit(0)) <= 0).drop("hits", "items")
-    return kept.withColumnsRenamed({f"_{c}": c for c in docs.columns if c in ("hits", "items")})
+    return kept.withColumnsRenamed({own: c for c, own in names.items()})
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

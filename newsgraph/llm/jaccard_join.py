@@ -9,8 +9,9 @@ shingles share a signature, the hash of what one subset of partitions holds:
 * else: first-level partitions of two halves each, more than k halves, subsets of one half.
 
 Equal sets are one class. Classes that share fewer signatures with others than a link needs drop
-out. Of each signature group, members meet one leader first; links are verified on the texts.
-What those links join needs no further comparison; members of a signature group that are still in
+out. Of each signature group, members meet one leader a turn, first the one with most company: the
+text that a family was made from links most of it at once. Links are verified on the texts.
+What they join needs no further comparison; members of a signature group that are still in
 different components meet once more, where they share one of their rarest shingles early enough
 (prefix and position filters, exact too), which keeps a large family of loosely similar
 texts from comparing all its pairs.
@@ -36,7 +37,9 @@ PER_CENT = 80
 #: Largest distance whose partitions are enumerated in subsets of several.
 ENUMERATED = 3
 #: Rounds in which members meet one leader each before the open rest is compared.
-LEADER_ROUNDS = 3
+LEADER_ROUNDS = 2
+#: Shingles whose signatures one task groups, about.
+TASK_SHINGLES = 1_500_000
 
 _ONE = np.uint64(1)
 
@@ -149,13 +152,14 @@ def bands_of(n: int) -> list[int]:
     return [own, own + 1] if n * 100 >= int(_BOUNDS[own + 1]) * PER_CENT else [own]
 
 
-def shared_signatures(docs: DataFrame) -> DataFrame:
+def shared_signatures(docs: DataFrame, shingles: int) -> DataFrame:
     """Columns sig, member, need: the signatures that several classes have.
 
     ``member`` is the class hash with its last bit telling the band (own, or the next). Tasks
-    send packed arrays, one per target, instead of a row per signature.
+    send packed arrays, one per target, instead of a row per signature; the number of targets
+    follows that of all ``shingles``, so what one of them holds does not grow with the data.
     """
-    targets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    targets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-shingles // TASK_SHINGLES))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
@@ -275,6 +279,16 @@ def meeting_on_rare_shingles(members: DataFrame, texts: DataFrame) -> DataFrame:
                      ).select("class", "other")
 
 
+def with_most_company(groups: DataFrame) -> DataFrame:
+    """Columns class, weight: how often each class meets another one in the signature groups (sig, class).
+
+    The text that a family of near copies was made from differs least from all of them, so it
+    shares most signatures; it should lead.
+    """
+    company = groups.groupBy("sig").agg((F.count("*") - 1).alias("others"))
+    return groups.join(company, "sig").groupBy("class").agg(F.sum("others").alias("weight"))
+
+
 def components(docs: DataFrame) -> DataFrame:
     """Columns doc_id, n_shingles, component_id, one row per row of ``docs``.
 
@@ -288,7 +302,8 @@ def components(docs: DataFrame) -> DataFrame:
     named = base.filter("n > 0 and doc_id is not null")
     by_class = stored(named.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
                       .select(class_of, "rep", "n"), "reps")
-    shared = stored(shared_signatures(docs), "signatures")
+    shingles = base.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    shared = stored(shared_signatures(docs, shingles), "signatures")
     enough = (shared.groupBy("member").agg(F.count("*").alias("have"), F.first("need").alias("need"))
               .filter("have >= need").select("member"))
     groups = stored(shared.join(enough, "member").select("sig", F.col("member").bitwiseAND(F.lit(-2)).alias("class"))
@@ -301,6 +316,8 @@ def components(docs: DataFrame) -> DataFrame:
     links = spark.createDataFrame([], "a long, b long")
     labels = spark.createDataFrame([], "class long, label long")
     tested = links
+    weights = stored(with_most_company(groups), "weights")
+    led = None
     for turn in range(LEADER_ROUNDS + 1):
         if turn:
             groups = groups.drop("label").join(labels, "class", "left")
@@ -310,9 +327,12 @@ def components(docs: DataFrame) -> DataFrame:
         else:
             groups = groups.withColumn("label", F.col("class"))
         if turn < LEADER_ROUNDS:
-            leader = groups.groupBy("sig").agg(F.min(F.struct(F.xxhash64("class", F.lit(turn)), "class", "label")).alias("l"))
+            free = groups if led is None else groups.join(led, ["sig", "class"], "left_anti")
+            leader = free.join(weights, "class").groupBy("sig").agg(F.max(F.struct("weight", "class", "label")).alias("l"))
             other = stored(leader.select("sig", F.col("l.class").alias("other"), F.col("l.label").alias("theirs")),
                            f"leaders{turn}")
+            mine = other.select("sig", F.col("other").alias("class"))
+            led = mine if led is None else led.unionByName(mine)
             # each member meets the leader with which it shares most signatures
             shared_with = groups.join(other, "sig").filter("label != theirs").groupBy("class", "other").agg(F.count("*").alias("n"))
             met = shared_with.groupBy("class").agg(F.max_by("other", F.struct("n", "other")).alias("other"))
@@ -345,11 +365,11 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     Rows that repeat the smallest id of their component all stay.
     """
-    keep = components(docs.filter(F.col("doc_id").isNotNull())).filter("doc_id = component_id").select(
-        F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, docs["doc_id"] == keep["_keep"], "left").filter(
-        F.col("_keep").isNotNull() | docs["doc_id"].isNull()).drop("_keep")
+    named = components(docs.filter(F.col("doc_id").isNotNull())).filter("doc_id = component_id").select("doc_id")
+    keep = named.distinct().unionByName(docs.sparkSession.createDataFrame([(None,)], "doc_id long")).toDF("kept")
+    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["kept"]), "left_semi")
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents."""
     return components(spark.read.parquet(f"{sf_dir}/documents.parquet"))

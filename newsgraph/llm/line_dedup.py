@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from newsgraph.llm.repeats import packed_texts, sha256, stored, unpacked
-from newsgraph.llm.textkit import SPACES, small, text_column
+from newsgraph.llm.textkit import SPACES, free_name, small, text_column
 
 #: Shortest key that counts, in code points, and the documents that make it a repeated line.
 MIN_CHARS, MIN_DOCS = 40, 5
@@ -178,20 +178,21 @@ def without_repeated_lines(docs: DataFrame) -> DataFrame:
 
     ``n_chars``, if there is such a column, follows the new text. All rows and columns stay.
     """
-    drop = dropped_keys(docs).withColumnsRenamed({"doc": "_doc", "drop": "_drop"})
+    doc_name, drop_name = free_name(docs.columns, "doc_"), free_name(docs.columns, "drop_")
+    drop = dropped_keys(docs).withColumnsRenamed({"doc": doc_name, "drop": drop_name})
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
             text = batch.schema.get_field_index("text")
-            lists = batch.column(batch.schema.get_field_index("_drop")).to_pylist()
+            lists = batch.column(batch.schema.get_field_index(drop_name)).to_pylist()
             new = [kept_lines(t.encode(), set(d))[2].decode() if d and t is not None else t
                    for t, d in zip(batch.column(text).to_pylist(), lists)]
             columns = list(batch.columns)
             columns[text] = pa.array(new, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    joined = docs.join(drop, docs["doc_id"] == drop["_doc"], "left").drop("_doc")
-    joined = joined.mapInArrow(rewrite, joined.schema).drop("_drop")
+    joined = docs.join(drop, docs["doc_id"] == drop[doc_name], "left").drop(doc_name)
+    joined = joined.mapInArrow(rewrite, joined.schema).drop(drop_name)
     return joined.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else joined
 
 

@@ -33,12 +33,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: The modulus of the second family of hashes, a prime.
+PRIME = (1 << 31) - 1
+_P, _SHIFT = np.uint64(PRIME), np.uint64(31)
+
+
+def _fold(x: np.ndarray) -> np.ndarray:
+    """A smaller number that equals ``x`` modulo PRIME."""
+    return (x & _P) + (x >> _SHIFT)
+
+
 class Powers:
-    """Powers of an odd base modulo 2**64 and of its inverse, grown on demand."""
+    """Powers of an odd base and of its inverse, modulo 2**64 and modulo PRIME, grown on demand."""
 
     def __init__(self, base: int):
         self.base, self.inverse = base | 1, pow(base | 1, -1, 1 << 64)
-        self.up = self.down = np.ones(1, np.uint64)
+        self.small = base % PRIME or 7
+        self.up = self.down = self.up_small = self.down_small = np.ones(1, np.uint64)
 
     def need(self, n: int) -> None:
         if len(self.up) < n:
@@ -47,6 +58,11 @@ class Powers:
                 values = np.full(size, step, np.uint64)
                 values[0] = 1
                 setattr(self, name, np.cumprod(values, dtype=np.uint64))
+            for name, step in (("up_small", self.small), ("down_small", pow(self.small, -1, PRIME))):
+                values = np.ones(1, np.uint64)
+                while len(values) < size:
+                    values = np.concatenate([values, values * np.uint64(pow(step, len(values), PRIME)) % _P])
+                setattr(self, name, values[:size])
 
 
 _POWERS = [Powers((s * 0x2545F4914F6CDD1D) & _MASK) for s in _SEEDS]
@@ -54,25 +70,38 @@ _BYTE_CODES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_SEEDS[2]))
 
 
 class Rolling:
-    """Hashes of any ranges of a sequence of 64-bit symbols, after one prefix sum."""
+    """Hashes of any ranges of a sequence of 64-bit symbols, after two prefix sums.
+
+    Two polynomials: one modulo 2**64, and, as some different sequences agree there whatever
+    the base (those of Thue-Morse kind), one modulo a prime.
+    """
 
     def __init__(self, symbols: np.ndarray, which: int = 0):
         self.powers = _POWERS[which]
-        self.powers.need(len(symbols) + 1)
-        self.sums = np.zeros(len(symbols) + 1, np.uint64)
-        np.cumsum(symbols * self.powers.up[: len(symbols)], out=self.sums[1:], dtype=np.uint64)
+        n = len(symbols)
+        self.powers.need(n + 1)
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(symbols * self.powers.up[:n], out=self.sums[1:], dtype=np.uint64)
+        self.small = np.zeros(n + 1, np.uint64)
+        # 33 bits each after one fold, so 2**31 symbols fit
+        np.cumsum(_fold((symbols >> np.uint64(33)) * self.powers.up_small[:n]), out=self.small[1:], dtype=np.uint64)
+
+    def _hash(self, sums: np.ndarray, small: np.ndarray, start, length) -> np.ndarray:
+        rest = _fold(_fold(_fold(_fold(small)) * self.powers.down_small[start]))
+        rest = np.where(rest >= _P, rest - _P, rest)
+        return mix(sums * self.powers.down[start] + rest * np.uint64(_SEEDS[0]) + length)
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        h = (self.sums[end] - self.sums[start]) * self.powers.down[start]
-        return mix(h + (end - start).astype(np.uint64) * np.uint64(_SEEDS[1]))
+        return self._hash(self.sums[end] - self.sums[start], self.small[end] - self.small[start], start,
+                          (end - start).astype(np.uint64) * np.uint64(_SEEDS[1]))
 
     def windows(self, n: int) -> np.ndarray:
         """Hashes of all runs of ``n`` symbols, document bounds ignored."""
         count = len(self.sums) - n
         if count <= 0:
             return np.zeros(0, np.uint64)
-        h = (self.sums[n:] - self.sums[:count]) * self.powers.down[:count]
-        return mix(h + np.uint64(n * _SEEDS[1] & _MASK))
+        return self._hash(self.sums[n:] - self.sums[:count], self.small[n:] - self.small[:count], slice(count),
+                          np.uint64(n * _SEEDS[1] & _MASK))
 
 
 def byte_symbols(data: np.ndarray) -> np.ndarray:
@@ -166,6 +195,14 @@ def small(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Rec
             yield batch.slice(low, rows)
 
 
+def free_name(columns: Iterable[str], stem: str) -> str:
+    """A column name that begins with ``stem`` and that no column has, whatever its case."""
+    taken = {c.lower() for c in columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 

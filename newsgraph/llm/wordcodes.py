@@ -9,8 +9,9 @@ from collections.abc import Iterator
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Bytes that a worker's memory of words may take, about; a full memory is emptied.
-MEMORY_BYTES = 96 << 20
+#: Bytes that a worker's memory of words may take, about. When half is full, the words of the half
+#: before are forgotten, unless they were met since.
+MEMORY_BYTES = 80 << 20
 #: What a word takes beside its letters and ids.
 _ENTRY = 150
 #: Words that go to the tokenizer in one call.
@@ -56,6 +57,7 @@ class WordCodes:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.size = 0
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(self.PART_END)]] = True
@@ -84,6 +86,9 @@ class WordCodes:
 
     def _learn(self, plain: set[str], other: set[str]) -> None:
         """Plain words are put together from their parts, all others go to the tokenizer whole."""
+        met = [w for words in (plain, other) for w in words if w in self.before]
+        self._keep(met, [self.before[w] for w in met])
+        plain, other = plain.difference(met), other.difference(met)
         cut = {w: self.PATTERN.findall(w) for w in plain if not w.isalpha()}
         single = {p for parts in cut.values() for p in parts}.union(w for w in plain if w not in cut)
         self._encode_parts(sorted(p for p in single if p not in self.known))
@@ -102,9 +107,8 @@ class WordCodes:
         return self.PATTERN.findall(text)
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
-        if self.size > MEMORY_BYTES:
-            self.known.clear()
-            self.size = 0
+        if self.size > MEMORY_BYTES // 2:
+            self.before, self.known, self.size = self.known, {}, 0
         plain, other, split = set(), set(), []
         for text in texts:
             text = text.decode("utf-8", "replace")

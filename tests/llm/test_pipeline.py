@@ -52,3 +52,31 @@ def test_language_stage_rejects_only_what_has_no_language(spark):
     assert {r.doc_id for r in C.language(spark, docs, "").collect()} == set(range(60))
     unlabelled = docs.selectExpr("doc_id", "text", "cast(null as string) as lang")
     assert C.language(spark, unlabelled, "").count() == 62
+
+
+def test_missing_languages_are_filled(spark):
+    rows = [(i, ("ba ko li mu " if i % 2 else "schung tzein ") * 5, None if i in (4, 7) else "ab"[i % 2]) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.doc_id: r.lang for r in C.language(spark, docs, "").collect()} == {i: "ab"[i % 2] for i in range(60)}
+
+
+def test_any_columns_and_no_rows(spark, tmp_path):
+    """Columns named like those the stages use inside stay as they are, on empty tables too."""
+    words = lambda i: " ".join("bakolimu"[(i * 7 + j * j) % 5:][:3] + "aeiou"[(i + j) % 5] for j in range(30))
+    names = ["lang_pred", "score", "score_", "doc_", "drop_", "_doc", "_drop", "_keep", "kept", "hits", "hits_", "items", "label", "class", "n", "packed"]
+    schema = "doc_id long, text string, lang string, " + ", ".join(f"{c} string" for c in names)
+    rows = [(i, words(i), "ab"[i % 2], *[f"{c}{i}" for c in names]) for i in range(20)]
+    rows += [(None, words(50), "a", *names), (30, "", "b", *names), (31, None, None, *names)]
+    spark.createDataFrame([(1, "nothing of it")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    full = spark.createDataFrame(rows, schema)
+    for docs, gone in ((full, {30, 31}), (full.limit(0), set())):
+        before = {r.doc_id: tuple(r) for r in docs.collect()}
+        for name, stage in C.STAGES[:-1]:
+            docs = stage(spark, docs, str(tmp_path))
+            docs.write.parquet(f"{tmp_path}/{name}-{len(gone)}")
+            docs = spark.read.parquet(f"{tmp_path}/{name}-{len(gone)}")
+            after = {r.doc_id: tuple(r) for r in docs.collect()}
+            assert docs.columns == full.columns and all(before[d] == row for d, row in after.items()), name
+            if name == "language":
+                assert before.keys() - after.keys() == gone
+        C.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
