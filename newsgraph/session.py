@@ -35,11 +35,20 @@ def get_session(app: str = "newsgraph", master: str | None = None, **conf: str)
     return spark
 
 
+#: Rows and bytes of one batch between Spark and a Python worker, where the session sets none: whole
+#: texts travel in them, so the usual 10,000 rows may take hundreds of megabytes on both sides.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+           "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Make Spark send this package to its Python workers, once per application.
+    """Make Spark send this package to its Python workers, once per application, and bound their batches.
 
     Workers then need neither an installed copy nor the driver's working directory.
     """
+    for key, value in BATCHES.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
     context = spark.sparkContext
     if getattr(context, "_newsgraph_shipped", False):
         return
