@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from newsgraph.functions import parse as P
 from newsgraph.operators.quantiles import exact_quantiles
@@ -101,6 +101,33 @@ def drop_report(raw: DataFrame) -> DataFrame:
     ).alias("measure", "n"))
 
 
+#: What a raw record needs to be judged and parsed.
+RECORD_COLUMNS = ["GKGRECORDID", "DATE", "SourceCommonName", "DocumentIdentifier", "Themes", "V2Themes", "V2Locations", "V2Tone"]
+REASONS = ["bad_date", "no_themes", "no_location"]
+
+
+def clean_observed(raw: DataFrame, order: Sequence[str] = ("_pos",)) -> tuple[DataFrame, Observation, Observation]:
+    """``clean_events`` with two observations, of records as judged and of events as left.
+
+    They are filled while the events are written, so the report needs no pass of its own.
+    """
+    judged, left = Observation(), Observation()
+    reason = F.col("_reason")
+    seen = raw.select(*dict.fromkeys([*order, *RECORD_COLUMNS]), drop_reason().alias("_reason")).observe(
+        judged, F.count(F.lit(1)).alias("raw_rows"), *[F.count_if(reason == r).alias(r) for r in REASONS],
+        F.count_if(reason.isNull()).alias("kept"))
+    valid = parse_events(seen.where(reason.isNull()), keep=order)
+    events = dedupe_first(valid, "Record_ID", order).select(*EVENT_COLUMNS).observe(left, F.count(F.lit(1)).alias("final_rows"))
+    return events, judged, left
+
+
+def observed_report(judged: dict, left: dict) -> list[tuple[str, int]]:
+    """The rows of ``drop_report`` from what was observed."""
+    final = left["final_rows"]
+    return [("raw_rows", judged["raw_rows"]), *[(r, judged[r]) for r in REASONS], ("duplicates", judged["kept"] - final),
+            ("final_rows", final)]
+
+
 def missing_columns(df: DataFrame, required: Sequence[str] = REQUIRED_COLUMNS) -> DataFrame:
     """(column, present, n_null, n_blank) per required column, over all rows.
 

@@ -5,6 +5,7 @@ Each stage reads what the one before has written, so it can be run again alone.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -14,7 +15,7 @@ from newsgraph.operators import (
     clean as C, manifest as M, pages as PG, regress as R, spatial as SP, summary as S, topics as T,
 )
 from newsgraph.operators.panel import country_month_panel
-from newsgraph.schema import CONTEXT_CODES, FILTER_CODES, REQUIRED_COLUMNS, TONE_COLUMNS
+from newsgraph.schema import CONTEXT_CODES, FILTER_CODES, MANIFEST_SCHEMA, REQUIRED_COLUMNS, TONE_COLUMNS
 from newsgraph.session import cut_lineage, scratch_path, ship_package
 from newsgraph.sources import archive as A, files as FS
 
@@ -37,29 +38,36 @@ def extract(spark: SparkSession, landing: str, raw: str, manifest: str, start: s
             legacy: bool = False, legacy_quotes: bool = False) -> DataFrame:
     """Matching records of one stamp per day into ``raw``; returns this run's manifest rows.
 
-    With ``resume``, the manifest decides which days are due: those it lacks, and those whose file
-    was missing or broken, unless ``legacy``. Only where it lacks a day do raw records count: they
-    are of a run that stopped before its manifest, which then gets their row. A broken file
-    gives no record. Rows count for the day of their file. ``legacy_quotes`` reads quotes in
-    archives as quoting.
+    Three writes follow each other: the records, one folder per file stamp; a note of the stamps
+    whose records are complete; the manifest. A run may stop before, between or in any of them, and one
+    with ``resume`` then leaves what a run without a stop leaves: folders without a note go, noted
+    stamps that the manifest lacks get their row, and what is read again replaces its folder.
+
+    With ``resume``, days are due that the manifest lacks, and those whose file was missing or
+    broken, unless ``legacy``. A broken file gives no record. Rows count for the day of their
+    file. ``legacy_quotes`` reads quotes in archives as quoting. A run that matches nothing warns.
     """
     ship_package(spark)
     span = spark.createDataFrame([(start, end)], "start string, end string")
-    sampled = cut_lineage(M.sampled_days(span, daily_time=daily_time))
-    days, rescued = sampled, None
-    file_day = F.substring(M.file_stamp(F.col("path")), 1, 8)
+    days = cut_lineage(M.sampled_days(span, daily_time=daily_time))
+    rescued = None
     if resume:
         known = _present(lambda: FS.read_manifest(spark, manifest))
-        have = _present(lambda: FS.read_raw(spark, raw, order=ORDER))
+        noted = _present(lambda: FS.read_commits(spark, raw))
         if known is not None:
             days = M.days_to_do(days, known, legacy)
-        if have is not None:
-            held = M.rows_per_day(have, file_day).select(M.iso_day(F.col("day")).alias("date"), F.col("n").alias("rows_matched"))
-            if known is not None:
-                held = held.join(known.select("date"), "date", "left_anti")
-            rescued = cut_lineage(days.join(held, "date").withColumn("status", F.lit("ok")))
+        if noted is not None:
+            noted = cut_lineage(noted)
+            rescued = cut_lineage(days.join(noted, "timestamp_queried").select(
+                "date", "timestamp_queried", "source_url", "rows_matched", F.lit("ok").alias("status")))
             days = days.join(rescued.select("date"), "date", "left_anti")
         days = cut_lineage(days)
+        # one stamp per day
+        FS.drop_uncommitted(spark, raw, [r[0] for r in noted.select("timestamp_queried").collect()] if noted is not None else [])
+    else:  # notes first: what has no note counts for nothing
+        FS.drop_folder(spark, f"{raw}/_commits")
+        FS.write_manifest(spark.createDataFrame([], MANIFEST_SCHEMA), manifest, "overwrite")
+        FS.drop_folder(spark, raw)
 
     # one pass over the archives: matches, and a row without fields per broken file
     archives = A.of_days(spark, landing, days, daily_time)
@@ -67,20 +75,23 @@ def extract(spark: SparkSession, landing: str, raw: str, manifest: str, start: s
     A.matching_or_broken(A.archive_lines(archives, legacy_quotes), codes).write.parquet(staged)
     found = spark.read.parquet(staged)
     matched = A.of_sound_files(found)
-    FS.write_raw(matched, raw, "append" if resume else "overwrite", order=ORDER_COLUMNS)
+    FS.write_raw_by_stamp(matched, raw, M.file_stamp(F.col("path")), ORDER_COLUMNS)
 
     stamp = M.file_stamp(F.col("path")).alias("timestamp_queried")
     sound = archives.select(stamp).join(found.where("broken").select(stamp), "timestamp_queried", "left_anti")
     failed = days.join(sound, "timestamp_queried", "left_anti")
-    rows = M.extraction_manifest(days, matched, failed, file_day)
+    rows = cut_lineage(M.extraction_manifest(days, matched, failed, F.substring(M.file_stamp(F.col("path")), 1, 8)))
+    FS.write_commits(rows.where("status = 'ok'"), raw)
     rows = cut_lineage(rows.unionByName(rescued) if rescued is not None else rows)
-    FS.write_manifest(rows, manifest, "append" if resume else "overwrite")
+    FS.write_manifest(rows, manifest, "append")
+    if not rows.agg(F.sum("rows_matched")).first()[0]:
+        warnings.warn(f"no record of {start} to {end} mentions a code", stacklevel=2)
     return rows
 
 
 def repair(spark: SparkSession, raw: str, manifest: str, daily_time: str = "121500") -> DataFrame:
     """The manifest rewritten with what the raw records hold; failed days stay due."""
-    records = FS.read_raw(spark, raw, order=ORDER)
+    records = FS.read_raw_by_stamp(spark, raw, ORDER)
     fixed = cut_lineage(M.repair_manifest(
         FS.read_manifest(spark, manifest), records, daily_time, day=F.substring(M.file_stamp(F.col("path")), 1, 8)))
     FS.write_manifest(fixed, manifest, "overwrite")
@@ -99,11 +110,24 @@ def pilot(spark: SparkSession, prepared: DataFrame, cleaned: str, sample: str, n
     return gaps
 
 
-def clean(spark: SparkSession, raw: str, events: str) -> DataFrame:
-    """Raw records into ``events``; returns the drop report."""
-    records = FS.read_raw(spark, raw, order=ORDER)
-    FS.write_events(C.clean_events(records, ORDER_COLUMNS), events)
-    return C.drop_report(records)
+def clean(spark: SparkSession, raw: str, events: str, flat: str | None = None) -> DataFrame:
+    """Raw records into ``events``, and as a flat file into ``flat``; returns the drop report.
+
+    The report is observed by the pass that writes. A stage that ran again after a lost executor
+    may count twice; the counts are held against the stored tables, whose sizes are in their
+    footers, and records are judged again only where they differ.
+    """
+    records = FS.read_raw_by_stamp(spark, raw, ORDER)
+    cleaned, judged, left = C.clean_observed(records, ORDER_COLUMNS)
+    FS.write_events(cleaned, events)
+    stored = FS.read_events(spark, events)
+    if flat:
+        FS.write_events(stored.select(*C.EVENT_COLUMNS), flat, fmt="csv")
+    report = C.observed_report(judged.get, left.get)
+    counts = dict(report)
+    if counts["raw_rows"] != records.count() or counts["final_rows"] != stored.count():
+        return C.drop_report(records)
+    return spark.createDataFrame(report, "measure string, n long")
 
 
 def collect_articles(spark: SparkSession, fetched: DataFrame, rules: DataFrame, articles: str,

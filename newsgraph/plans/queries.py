@@ -15,7 +15,7 @@ from newsgraph.operators import (
 from newsgraph.operators.panel import country_month_panel
 from newsgraph.operators.summary import rounded
 from newsgraph.plans import flows, views as V
-from newsgraph.schema import RAW_COLUMNS, TONE_COLUMNS
+from newsgraph.schema import FILTER_CODES, RAW_COLUMNS, TONE_COLUMNS
 from newsgraph.session import cut_lineage, scratch_path
 from newsgraph.sources import archive as A, files as FS
 from newsgraph.streaming import feed as ST
@@ -59,7 +59,7 @@ def gkg_archive_scan(spark, sf_dir):
 
 @query
 def extract_resume(spark, sf_dir):
-    """A broken archive mended before a resume, and one that holds records of the day before."""
+    """A broken archive mended before a resume, a run that stopped after its records, and a file with records of the day before."""
     folder, raw, log = (scratch_path(spark, n) for n in ("landing", "raw", "manifest"))
     span = day_span(spark, sf_dir).first()
     day = F.substring("DATE", 1, 8)
@@ -73,12 +73,15 @@ def extract_resume(spark, sf_dir):
     A.land(files.withColumn("content", F.when(fifth, flipped).otherwise(F.col("content"))), folder)
     args = (spark, folder, raw, log, str(span.start), str(span.end))
     flows.extract(*args)
-    A.land(files.where(fifth), folder)
+    mended = files.where(fifth)
+    A.land(mended, folder)
+    # a run that stopped right after it had written their records
+    lines = A.archive_lines(mended.select(F.col("name").alias("path"), "content"))
+    FS.write_raw_by_stamp(A.matching_or_broken(lines, FILTER_CODES), raw, M.file_stamp(F.col("path")), flows.ORDER_COLUMNS)
     flows.extract(*args, resume=True)
-    held = FS.read_raw(spark, raw, order=flows.ORDER).select(
+    held = FS.read_raw_by_stamp(spark, raw, flows.ORDER).select(
         M.iso_day(F.substring(M.file_stamp(F.col("path")), 1, 8)).alias("date"))
-    latest = FS.read_manifest(spark, log).groupBy("date").agg(
-        F.max_by("rows_matched", F.col("status") == "ok").alias("rows_matched"), F.max("status").alias("status"))
+    latest = FS.read_manifest(spark, log).select("date", "rows_matched", "status")
     return latest.join(held.groupBy("date").agg(F.count(F.lit(1)).alias("raw_rows")), "date", "left").fillna(0, ["raw_rows"])
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from newsgraph.operators.clean import themes_text
@@ -55,6 +55,59 @@ def read_raw(spark: SparkSession, path: str, fmt: str = "parquet", order: str =
     return spark.read.schema(schema).format(fmt).load(path)
 
 
+def write_raw_by_stamp(raw: DataFrame, path: str, stamp: Column, order: Sequence[str] = ()) -> None:
+    """Records in one folder per file stamp; those of the stamps at hand are replaced, others stay.
+
+    So a write that is repeated after a stop leaves each record once.
+    """
+    out = raw.select(*RAW_COLUMNS, *order, F.substring("DATE", 1, 8).alias("day"), stamp.alias("stamp"))
+    (out.hint("rebalance", F.col("stamp")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("stamp").parquet(path))
+
+
+def read_raw_by_stamp(spark: SparkSession, path: str, order: str = "") -> DataFrame:
+    """Raw records with their ``day`` and ``stamp``; a condition on ``stamp`` prunes folders."""
+    extra = StructType.fromDDL(order).fields if order else []
+    return spark.read.schema(StructType([*RAW_SCHEMA.fields, *extra]).add("day", "string").add("stamp", "string")).parquet(path)
+
+
+COMMITS = "timestamp_queried string, rows_matched long"
+
+
+def write_commits(commits: DataFrame, raw: str) -> None:
+    """Notes that the records of these stamps are in ``raw``, all of them; beside them, where readers of records do not look."""
+    commits.select("timestamp_queried", F.col("rows_matched").cast("long")).coalesce(1).write.mode("append").parquet(f"{raw}/_commits")
+
+
+def read_commits(spark: SparkSession, raw: str) -> DataFrame:
+    """Stamps whose records are in ``raw``; a repeated note counts once."""
+    return (spark.read.schema(COMMITS).parquet(f"{raw}/_commits")
+            .groupBy("timestamp_queried").agg(F.max("rows_matched").alias("rows_matched")))
+
+
+def _folder(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Removes a folder of this table, if it is there."""
+    system, where = _folder(spark, path)
+    system.delete(where, True)
+
+
+def drop_uncommitted(spark: SparkSession, raw: str, committed: Sequence[str]) -> None:
+    """Removes the folders of stamps that a run wrote and did not note: it stopped in between."""
+    system, where = _folder(spark, raw)
+    if not system.exists(where):
+        return
+    known = {f"stamp={s}" for s in committed}
+    for status in system.listStatus(where):
+        name = status.getPath().getName()
+        if name.startswith("stamp=") and name not in known:
+            system.delete(status.getPath(), True)
+
+
 def write_events(events: DataFrame, path: str, mode: str = "overwrite", fmt: str = "parquet") -> None:
     """Cleaned events, one folder per month; flat files get the themes as one string."""
     out = themes_text(events) if fmt == "csv" else events
@@ -92,7 +145,11 @@ def write_manifest(manifest: DataFrame, path: str, mode: str = "append") -> None
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    return read_csv(spark, path, MANIFEST_SCHEMA, line_ends=False)
+    """One row per date, the newest: a day that was mended has a row for each run that tried it."""
+    values = [c for c in MANIFEST_SCHEMA.names if c != "date"]
+    rows = read_csv(spark, path, MANIFEST_SCHEMA, line_ends=False).select(
+        "*", F.struct("_metadata.file_modification_time", "_metadata.file_name").alias("_written"))
+    return rows.groupBy("date").agg(F.max_by(F.struct(*values), "_written").alias("v")).select("date", "v.*")
 
 
 def export_results(tables: Mapping[str, DataFrame], folder: str) -> None:

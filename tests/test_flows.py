@@ -139,3 +139,80 @@ def test_articles_with_resume(spark, tmp_path):
     assert go(resume=True) == {"disallowed": 1, "ok": 3}
     assert go(resume=True) == {}
     assert spark.read.json(str(tmp_path / "a")).count() == 4
+
+
+@pytest.mark.parametrize("resumed", [False, True])
+@pytest.mark.parametrize("point", ["write_raw_by_stamp", "write_commits", "write_manifest"])
+@pytest.mark.parametrize("after", [False, True])
+def test_a_stop_between_any_two_writes(spark, tmp_path, monkeypatch, point, after, resumed):
+    """A first run or a resume stops before or after a write; the next resume leaves the rows of one clean run."""
+    landing = tmp_path / "landing"
+    landing.mkdir()
+    path = lambda n: str(tmp_path / n)
+    lines = lambda day, n: zipped("".join(record(i, V2Themes="INFO_HOAX,1", DATE=f"{day}121500") + "\n" for i in range(n)).encode())
+    sound = {"20230601": 5, "20230602": 7, "20230603": 0}
+    for day, n in sound.items():
+        (landing / f"{day}121500.gkg.csv.zip").write_bytes(lines(day, n))
+    args = (spark, str(landing), path("raw"), path("manifest"), "2023-06-01", "2023-06-04")
+    if resumed:
+        (landing / "20230602121500.gkg.csv.zip").write_bytes(b"broken")
+        flows.extract(*args)
+        (landing / "20230602121500.gkg.csv.zip").write_bytes(lines("20230602", 7))
+    with monkeypatch.context() as m:
+        write, calls = getattr(FS, point), []
+
+        def stop(*a, **k):
+            calls.append(1)
+            if point == "write_manifest" and not resumed and len(calls) == 1:
+                return write(*a, **k)  # the emptied manifest of a first run
+            if after:
+                write(*a, **k)
+            raise KeyboardInterrupt
+        m.setattr(FS, point, stop)
+        with pytest.raises(KeyboardInterrupt):
+            flows.extract(*args, resume=resumed)
+    for _ in range(2):  # once more changes nothing
+        flows.extract(*args, resume=True)
+        held = FS.read_raw_by_stamp(spark, path("raw"), flows.ORDER)
+        assert {(r.stamp[:8], r["count"]) for r in held.groupBy("stamp").count().collect()} == {("20230601", 5), ("20230602", 7)}
+        rows = [(r.date, r.rows_matched, r.status) for r in FS.read_manifest(spark, path("manifest")).collect()]
+        assert sorted(rows) == [("2023-06-01", 5, "ok"), ("2023-06-02", 7, "ok"), ("2023-06-03", 0, "ok"), ("2023-06-04", 0, "failed")]
+    fixed = sorted((r.date, r.rows_matched, r.status) for r in flows.repair(spark, path("raw"), path("manifest")).collect())
+    assert fixed == sorted(rows)
+
+
+def test_records_of_a_stopped_run_do_not_outlive_their_file(spark, tmp_path, monkeypatch):
+    landing = tmp_path / "landing"
+    landing.mkdir()
+    path = lambda n: str(tmp_path / n)
+    file = landing / "20230601121500.gkg.csv.zip"
+    file.write_bytes(zipped((record(1, V2Themes="INFO_HOAX,1", DATE="20230601121500") + "\n").encode()))
+    args = (spark, str(landing), path("raw"), path("manifest"), "2023-06-01", "2023-06-01")
+    with monkeypatch.context() as m:
+        m.setattr(FS, "write_commits", lambda *a: (_ for _ in ()).throw(KeyboardInterrupt))
+        with pytest.raises(KeyboardInterrupt):
+            flows.extract(*args)
+    file.write_bytes(zipped((record(1, V2Themes="OTHER,1", DATE="20230601121500") + "\n").encode()))
+    with pytest.warns(UserWarning, match="no record"):
+        flows.extract(*args, resume=True)
+    assert not list((tmp_path / "raw").glob("stamp=*"))
+    assert [(r.rows_matched, r.status) for r in FS.read_manifest(spark, path("manifest")).collect()] == [(0, "ok")]
+
+
+def test_cleaning_reads_records_once(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(6)
+    landing = tmp_path / "landing"
+    landing.mkdir()
+    path = lambda n: str(tmp_path / n)
+    (landing / "20230601121500.gkg.csv.zip").write_bytes(day_file(rng, "20230601", 90))
+    flows.extract(spark, str(landing), path("raw"), path("manifest"), "2023-06-01", "2023-06-01")
+    from newsgraph.operators import clean as C
+    whole = {r.measure: r.n for r in C.drop_report(FS.read_raw_by_stamp(spark, path("raw"), flows.ORDER)).collect()}
+    monkeypatch.setattr(C, "drop_report", lambda *_: pytest.fail("a second pass over the records"))
+    report = {r.measure: r.n for r in flows.clean(spark, path("raw"), path("events"), path("flat")).collect()}
+    assert report == whole and report["duplicates"] == 55
+    assert spark.read.csv(path("flat"), header=True, quote='"', escape='"').count() == report["final_rows"]
+    # counts that do not fit the stored tables are not trusted
+    monkeypatch.undo()
+    monkeypatch.setattr(C, "observed_report", lambda *_: [("raw_rows", 180), ("final_rows", 35)])
+    assert {r.measure: r.n for r in flows.clean(spark, path("raw"), path("events")).collect()} == whole
