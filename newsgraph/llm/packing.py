@@ -37,27 +37,27 @@ def _cutter(tokenizer: str, capacity: int, piece: int, keep_ids: bool) -> Kernel
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * keep_ids]
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = word_codes(tokenizer)
-        for batch in batches:
-            low = 0
-            for texts in groups([t or b"" for t in batch.column(1).to_pylist()]):
-                part = batch.slice(low, len(texts))
-                low += len(texts)
-                rows: list[list] = [[] for _ in range(6)]
-                for k, ids in enumerate(codes(texts)):
-                    ids += _END
-                    total, at = len(ids) // 4, 0
-                    while at < total:
-                        size = capacity if total - at >= capacity else min(piece, total - at)
-                        own = ids[4 * at:4 * (at + size)]
-                        for values, value in zip(rows, (k, at, size, zlib.crc32(own), total, own)):
-                            values.append(value)
-                        at += size
-                columns = [part.column(0).take(pa.array(rows[0])), *[pa.array(c, pa.int64()) for c in rows[1:5]]]
-                if keep_ids:
-                    columns.append(pa.array([np.frombuffer(b, "<u4").astype(np.int32) for b in rows[5]],
-                                            pa.list_(pa.int32())))
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+        with word_codes(tokenizer) as codes:
+            for batch in batches:
+                low = 0
+                for texts in groups([t or b"" for t in batch.column(1).to_pylist()]):
+                    part = batch.slice(low, len(texts))
+                    low += len(texts)
+                    rows: list[list] = [[] for _ in range(6)]
+                    for k, ids in enumerate(codes(texts)):
+                        ids += _END
+                        total, at = len(ids) // 4, 0
+                        while at < total:
+                            size = capacity if total - at >= capacity else min(piece, total - at)
+                            own = ids[4 * at:4 * (at + size)]
+                            for values, value in zip(rows, (k, at, size, zlib.crc32(own), total, own)):
+                                values.append(value)
+                            at += size
+                    columns = [part.column(0).take(pa.array(rows[0])), *[pa.array(c, pa.int64()) for c in rows[1:5]]]
+                    if keep_ids:
+                        columns.append(pa.array([np.frombuffer(b, "<u4").astype(np.int32) for b in rows[5]],
+                                                pa.list_(pa.int32())))
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return kernel
 

@@ -65,20 +65,20 @@ def frames(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
     end_code = np.array([end], "<u4").tobytes()
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = word_codes(tokenizer)
-        dtype = "<u2" if max(codes.tokenizer.get_vocab_size(), end + 1) <= 1 << 16 else "<u4"
-        pack = zstandard.ZstdCompressor(level=LEVEL)
-        for batch in batches:
-            low = 0
-            for texts in groups([t or b"" for t in batch.column(1).to_pylist()]):
-                plain = [np.frombuffer(ids + end_code, "<u4").astype(dtype).tobytes() for ids in codes(texts)]
-                width = np.dtype(dtype).itemsize
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(low, len(texts)), pa.array([len(p) // width for p in plain], pa.int64()),
-                     pa.array([len(p) for p in plain], pa.int64()), pa.array([checksum(p) for p in plain], pa.int64()),
-                     pa.array([pack.compress(p) for p in plain], pa.binary())],
-                    names=["doc_id", "n_tokens", "plain_size", "checksum", "frame"])
-                low += len(texts)
+        with word_codes(tokenizer) as codes:
+            dtype = "<u2" if max(codes.tokenizer.get_vocab_size(), end + 1) <= 1 << 16 else "<u4"
+            pack = zstandard.ZstdCompressor(level=LEVEL)
+            for batch in batches:
+                low = 0
+                for texts in groups([t or b"" for t in batch.column(1).to_pylist()]):
+                    plain = [np.frombuffer(ids + end_code, "<u4").astype(dtype).tobytes() for ids in codes(texts)]
+                    width = np.dtype(dtype).itemsize
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).slice(low, len(texts)), pa.array([len(p) // width for p in plain], pa.int64()),
+                         pa.array([len(p) for p in plain], pa.int64()), pa.array([checksum(p) for p in plain], pa.int64()),
+                         pa.array([pack.compress(p) for p in plain], pa.binary())],
+                        names=["doc_id", "n_tokens", "plain_size", "checksum", "frame"])
+                    low += len(texts)
 
     return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs)).filter("doc_id is not null")
             .mapInArrow(kernel, "doc_id long, n_tokens long, plain_size long, checksum long, frame binary"))

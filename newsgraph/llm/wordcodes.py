@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import struct
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -62,6 +63,9 @@ class WordCodes:
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(self.PART_END)]] = True
 
+    def forget(self) -> None:
+        self.known, self.before, self.size = {}, {}, 0
+
     def _keep(self, words: list[str], codes: list[bytes]) -> None:
         self.known.update(zip(words, codes))
         self.size += sum(map(len, words)) + sum(map(len, codes)) + _ENTRY * len(words)
@@ -129,11 +133,15 @@ class WordCodes:
 _CODES: dict[str, WordCodes] = {}
 
 
-def word_codes(path: str) -> WordCodes:
-    """The memory of this Python worker, which outlives a task and stays within MEMORY_BYTES."""
+@contextmanager
+def word_codes(path: str) -> Iterator[WordCodes]:
+    """The coder of this Python worker; its words are forgotten when the task ends, so an idle worker holds none."""
     if path not in _CODES:
         _CODES[path] = WordCodes(path)
-    return _CODES[path]
+    try:
+        yield _CODES[path]
+    finally:
+        _CODES[path].forget()
 
 
 def tokenizer_path() -> str:
