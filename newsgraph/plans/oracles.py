@@ -390,7 +390,7 @@ ORACLES: dict[str, str] = {
                           FROM documents) ON doc_id = _pos % (SELECT max(doc_id) + 1 FROM documents) GROUP BY 1""",
     "country_month_panel": f"WITH {PANEL} SELECT * FROM panel",
     "country_month_panel_zero_fill": f"""WITH {PANEL.replace("FROM flagged GROUP",
-        "FROM flagged WHERE Theme_Count = 1 AND list_contains(theme_list, 'ELECTION') GROUP")}, months AS (
+        "FROM flagged WHERE Theme_Count = 1 GROUP")}, months AS (
             SELECT unnest(generate_series(CAST(min(Year_Month) || '-01' AS TIMESTAMP),
                 CAST(max(Year_Month) || '-01' AS TIMESTAMP), INTERVAL 1 MONTH)) AS m FROM panel),
         cells AS (SELECT Country, strftime(m, '%Y-%m') AS Year_Month

@@ -43,3 +43,9 @@ def test_panel_counts_every_event(spark):
     report = {r.measure: r.n for r in q["clean_drop_report"](spark, SMALL).collect()}
     assert panel == report["final_rows"]
     assert report["raw_rows"] == sum(v for k, v in report.items() if k != "raw_rows")
+
+
+def test_zero_fill_has_empty_and_filled_cells(spark):
+    cells = E.queries()["country_month_panel_zero_fill"](spark, "/root/testdata/sf0.001")
+    counts = cells.selectExpr("count_if(Misinfo_Event_Count = 0) AS empty", "count_if(Misinfo_Event_Count > 0) AS filled").first()
+    assert counts.empty > 100 and counts.filled > 10
