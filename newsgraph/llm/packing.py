@@ -1,9 +1,10 @@
 """Operator 10, packing: documents as token sequences of one length, by multiway differencing.
 
 Documents are tokenised and cut: whole windows of 2048 tokens first, then shorter pieces. The
-short pieces are packed block by block, within the partition that made them, so nothing is
-shuffled. In a block, Karmarkar-Karp differencing merges partial partitions with opposing
-imbalances into near-equal windows; while the fullest exceeds the capacity, one window is added.
+short pieces are packed block by block, within the partition that made them; only what is left of
+a partition, less than a block, is shuffled and packed with the rest of others, so that padding does
+not follow the layout of files. In a block, Karmarkar-Karp differencing merges partial partitions with
+opposing imbalances into near-equal windows; while the fullest exceeds the capacity, one window is added.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from newsgraph.llm.repeats import stored
 from newsgraph.llm.textkit import text_column
 from newsgraph.llm.wordcodes import groups, tokenizer_path, word_codes
 
@@ -27,6 +29,11 @@ END = 1
 PIECE = 512
 #: Pieces that are packed together.
 BLOCK = 1000
+#: Blocks of a task that packs what partitions leave, about.
+REST_BLOCKS = 4
+#: Sequence ids of a task begin at its number times this; those of rests lie behind all others.
+_TASK_IDS = 1 << 40
+_REST_TASKS = 1 << 22
 _END = np.array([END], "<u4").tobytes()
 
 Kernel = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
@@ -123,9 +130,10 @@ def near_equal(sizes: np.ndarray, capacity: int) -> np.ndarray:
         windows += 1
 
 
-def _packer(names: list[str], capacity: int, block: int) -> Kernel:
+def _packer(names: list[str], capacity: int, block: int, rest: bool = False) -> Kernel:
+    """Fills sequence_id and offset; where these are not the ``rest``, less than a block stays without them."""
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = TaskContext.get().partitionId() << 40
+        base = (TaskContext.get().partitionId() + _REST_TASKS * rest) * _TASK_IDS
         used = 0
 
         def emit(table: pa.Table, sequence: np.ndarray, offset: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -162,33 +170,49 @@ def _packer(names: list[str], capacity: int, block: int) -> Kernel:
                     yield from fill(table.slice(at, block))
                     at += block
                 waiting, count = [table.slice(at)], count - at
-        if count:
+        if count and rest:
             yield from fill(pa.concat_tables(waiting))
+        elif count:
+            table = pa.concat_tables(waiting)
+            for name in ("sequence_id", "offset"):
+                table = table.append_column(name, pa.nulls(count, pa.int64()))
+            yield from table.select(names).combine_chunks().to_batches()
 
     return kernel
 
 
+def _with_rests(placed: DataFrame, capacity: int, block: int) -> DataFrame:
+    """``placed`` with what its partitions left packed together, in a number of tasks that follows their rows."""
+    placed = stored(placed, "placed")
+    left = placed.filter("sequence_id is null").drop("sequence_id", "offset")
+    tasks = max(1, -(-left.count() // (REST_BLOCKS * block)))
+    pack = _packer(placed.columns, capacity, block, rest=True)
+    return placed.filter("sequence_id is not null").unionByName(left.repartition(tasks).mapInArrow(pack, placed.schema))
+
+
 def packed(pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK) -> DataFrame:
     """``pieces`` with sequence_id and offset; any other columns stay, these two are replaced.
 
     No piece may be longer than ``capacity``. Offsets have no gaps. Sequence ids follow from
-    the partition and the order in it. An empty table gives an empty result.
+    the partition and the order in it. An empty table gives an empty result. The pieces are
+    written once to the shared folder.
     """
     pieces = pieces.drop("sequence_id", "offset")
-    schema = pieces.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")}).schema
-    return pieces.mapInArrow(_packer(schema.fieldNames(), capacity, block), schema)
+    schema = pieces.withColumns({c: F.lit(None).cast("long") for c in ("sequence_id", "offset")}).schema
+    return _with_rests(pieces.mapInArrow(_packer(schema.fieldNames(), capacity, block), schema), capacity, block)
 
 
 def packing(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    As ``packed`` of ``token_pieces``, with both steps in one Python worker.
+    As ``packed`` of ``token_pieces``, with cutting and the first packing in one Python worker.
     """
     cut = _cutter(tokenizer or tokenizer_path(), capacity, PIECE, False)
     schema = PIECES + ", sequence_id long, offset long"
     pack = _packer([f.split()[0] for f in schema.split(", ")], capacity, BLOCK)
-    return _texts(docs).mapInArrow(lambda batches: pack(cut(batches)), schema)
+    return _with_rests(_texts(docs).mapInArrow(lambda batches: pack(cut(batches)), schema), capacity, BLOCK)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents, in sequences."""
     return packing(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -131,6 +131,22 @@ def test_packing(spark):
     assert P.packing(table.filter("false")).collect() == []
 
 
+def test_packing_does_not_follow_partitions(spark):
+    rows = [(i, f"word {i} and another") for i in range(300)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(50)
+    got = P.packing(table).collect()
+    assert {r.doc_id for r in got} == set(range(300)) and len(got) == 300
+    total = sum(r.length for r in got)
+    assert len({r.sequence_id for r in got}) == -(-total // P.CAPACITY)
+    pieces = P.token_pieces(table, P.tokenizer_path(), keep_ids=True)
+    again = P.packed(pieces, block=7).collect()  # rests of several tasks
+    loads = defaultdict(int)
+    for r in again:
+        assert len(r.ids) == r.length
+        loads[r.sequence_id] += r.length
+    assert len(again) == 300 and max(loads.values()) <= P.CAPACITY and len(loads) < 50
+
+
 @pytest.mark.parametrize("sizes", [[5], [8, 7, 6, 5, 4], [10] * 9 + [1] * 5])
 def test_differencing(sizes):
     place = P.near_equal(np.array(sizes), 12)
