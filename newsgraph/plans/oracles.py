@@ -555,7 +555,7 @@ info AS (SELECT g, n * mu / (1 + alpha * mu) AS v FROM means, best)"""
 # ---- topics ----------------------------------------------------------------
 
 from newsgraph.operators.topics import STOP_WORDS, WORD  # noqa: E402
-from newsgraph.plans.queries import TERM_SETS  # noqa: E402
+from newsgraph.plans.queries import LDA_FIT, TERM_SETS  # noqa: E402
 
 TOKENS = f"""
 docs AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), {quote(WORD)}),
@@ -567,6 +567,64 @@ vocab AS (
     WHERE docs >= 5 AND docs <= 0.5 * (SELECT count(*) FROM docs)
     QUALIFY row_number() OVER (ORDER BY docs DESC, term) <= 2000)"""
 
+LDA_TOPICS = 5
+
+
+def _digamma(x: str) -> str:
+    z = f"({x} + 6.0)"
+    series = "".join(f" - 1.0 / ({x} + {i})" for i in range(6))
+    return (f"(ln({z}) - 0.5 / {z} - 1.0 / (12 * {z} ** 2) + 1.0 / (120 * {z} ** 4) - 1.0 / (252 * {z} ** 6)"
+            f" + 1.0 / (240 * {z} ** 8){series})")
+
+
+def _total(name: str, k: int = LDA_TOPICS) -> str:
+    return " + ".join(f"{name}{t}" for t in range(k))
+
+
+def _lda(k: int, passes: int, inner: int, seed: int = 42) -> str:
+    """Passes of variational LDA as one step after another: counts of terms, then of documents."""
+    def each(form: str) -> str:
+        return ", ".join(form.format(t=t) for t in range(k))
+
+    start = []
+    for t in range(k):
+        x = f'(("index" * {k} + {t + 1 + seed}) * 1640531527 % 2147483648)'
+        for shift, factor in ((15, 1123411259), (13, 1633244958)):
+            x = f"(xor({x}, {x} >> {shift}) * {factor} % 2147483648)"
+        start.append(f"0.5 + {x} / 2147483648.0::DOUBLE AS l{t}")
+    steps = [
+        """cells AS MATERIALIZED (SELECT doc_id, "index", count(*)::DOUBLE AS n
+            FROM (SELECT doc_id, unnest(tokens) AS term FROM docs) JOIN vocab USING (term) GROUP BY 1, 2)""",
+        "lengths AS MATERIALIZED (SELECT doc_id, sum(n) AS n FROM cells GROUP BY 1)",
+        f'terms0 AS MATERIALIZED (SELECT "index", {", ".join(start)} FROM vocab)',
+    ]
+    for p in range(passes + 1):
+        logs = ", ".join(f"exp({_digamma(f'l{t}')} - w{t}) AS e{t}" for t in range(k))
+        whole = ", ".join(f"{_digamma(f's{t}')} AS w{t}" for t in range(k))
+        steps.append(f"""topics{p} AS MATERIALIZED (SELECT "index", {logs} FROM terms{p},
+            (SELECT {whole} FROM (SELECT {each('sum(l{t}) AS s{t}')} FROM terms{p})))""")
+        steps.append(f"""used{p} AS MATERIALIZED (SELECT * FROM cells JOIN topics{p} USING ("index"))""")
+        steps.append(f"docs{p}_0 AS MATERIALIZED (SELECT doc_id, {each(f'1.0 / {k} + n / {k} AS g{{t}}')} FROM lengths)")
+        mass = " + ".join(f"e{t} * h{t}" for t in range(k))
+        for i in range(inner + 1):
+            thetas = ", ".join(f"exp({_digamma(f'g{t}')} - {_digamma('(' + _total('g', k) + ')')}) AS h{t}" for t in range(k))
+            steps.append(f"theta{p}_{i} AS MATERIALIZED (SELECT doc_id, {thetas} FROM docs{p}_{i})")
+            if i < inner:
+                steps.append(f"""docs{p}_{i + 1} AS MATERIALIZED (SELECT doc_id,
+                    {each(f'1.0 / {k} + sum(n * e{{t}} * h{{t}} / ({mass})) AS g{{t}}')}
+                    FROM used{p} JOIN theta{p}_{i} USING (doc_id) GROUP BY 1)""")
+        steps.append(f"""terms{p + 1} AS MATERIALIZED (SELECT "index",
+            {each(f'1.0 / {k} + sum(n * e{{t}} * h{{t}} / ({mass})) AS l{{t}}')}
+            FROM used{p} JOIN theta{p}_{inner} USING (doc_id) GROUP BY 1)""")
+    steps.append("weights AS (" + " UNION ALL ".join(
+        f'SELECT {t}::INTEGER AS topic, term, l{t} / sum(l{t}) OVER () AS weight FROM terms{passes} JOIN vocab USING ("index")'
+        for t in range(k)) + ")")
+    steps.append(f"final AS (SELECT * FROM docs{passes}_{inner})")
+    return ",\n".join(steps)
+
+
+TOPICS = TOKENS + ",\n" + _lda(LDA_TOPICS, LDA_FIT["iterations"], LDA_FIT["inner"])
+
 COHERENCE = TOKENS + """,
 sets(topic, term) AS (VALUES """ + ", ".join(
     f"({t}, {quote(w)})" for t, ws in TERM_SETS.items() for w in ws) + """),
@@ -600,15 +658,19 @@ ORACLES |= {
                      Tone_Overall_Mean AS t FROM panel WHERE Tone_Overall_Mean IS NOT NULL)""",
     "negbin_fit_full": f"""WITH {PANEL} SELECT unnest(['Intercept', 'Political_Prop', 'Economic_Prop', 'Health_Prop',
             'Tone_Overall_Mean']) AS term, 0.0::DOUBLE AS score FROM (SELECT count(*) FROM panel)""",
-    "lda_topics": f"""WITH {TOKENS} SELECT unnest([0, 1, 2, 3, 4])::INTEGER AS topic, n AS terms, 1.0::DOUBLE AS total
-        FROM (SELECT count(*) AS n FROM vocab)""",
-    "topic_top_terms": f"""WITH {TOKENS} SELECT t::INTEGER AS topic, r::INTEGER AS rank, true AS falls, true AS known
-        FROM range(5) a(t), range(1, 11) b(r) WHERE r <= (SELECT count(*) FROM vocab)""",
-    "dominant_topic": f"""WITH {TOKENS}, met AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, unnest(tokens) AS term FROM docs)
-            JOIN vocab USING (term))
-        SELECT d.doc_id, m.doc_id IS NOT NULL AS has_topic, CASE WHEN m.doc_id IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS total,
-               CASE WHEN m.doc_id IS NOT NULL THEN true END AS largest FROM docs d LEFT JOIN met m ON m.doc_id = d.doc_id""",
-    "select_k": """SELECT unnest([2, 3, 5])::INTEGER AS k, true AS scored, true AS rightly FROM (SELECT count(*) FROM documents)""",
+    "lda_topics": f"""WITH {TOPICS}
+        SELECT topic, term, round(weight, 7) AS weight FROM weights""",
+    "topic_top_terms": f"""WITH {TOPICS}
+        SELECT topic, rank, term, round(weight, 7) AS weight FROM (
+            SELECT *, row_number() OVER (PARTITION BY topic ORDER BY round(weight, 9) DESC, term)::INTEGER AS rank
+            FROM weights) WHERE rank <= 10""",
+    "dominant_topic": f"""WITH {TOPICS},
+        shares AS (SELECT doc_id, {", ".join(f"g{t} / ({_total('g')}) AS p{t}" for t in range(LDA_TOPICS))} FROM final),
+        best AS (SELECT *, greatest({", ".join(f"p{t}" for t in range(LDA_TOPICS))}) AS share FROM shares)
+        SELECT d.doc_id, CASE {" ".join(f"WHEN round(p{t}, 9) = round(share, 9) THEN 'Topic {t}'" for t in range(LDA_TOPICS))}
+                   END AS Topic_Label, round(share, 6) AS share,
+               CASE WHEN share IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS total
+        FROM docs d LEFT JOIN best USING (doc_id)""",
     "overdispersion": f"""WITH {FIT},
         fitted AS (SELECT y, mu, (power(y - mu, 2) - y) / mu AS z FROM cells JOIN means USING (g)),
         sums AS (SELECT count(*) AS n, sum(power(y - mu, 2) / mu) AS x2, var_samp(y) / avg(y) AS vm,

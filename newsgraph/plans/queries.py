@@ -616,49 +616,43 @@ def coherence_cv(spark, sf_dir):
     return scores.withColumn("coherence", rounded(F.col("coherence")))
 
 
+#: A number of passes and steps that does not depend on rounding, so that SQL can follow them.
+LDA_FIT = {"iterations": 6, "inner": 5, "tolerance": 0.0}
+
+
 def lda_of(spark, sf_dir, k=5):
     docs = landed_tokens(spark, sf_dir)
     terms = terms_of(docs)
     vectors = T.term_vectors(docs, terms).select("doc_id", "features")
-    return T.fit_lda(vectors, k), vectors, terms
+    return T.fit_lda(vectors, k, **LDA_FIT), vectors, terms
 
 
 @query
 def lda_topics(spark, sf_dir):
-    """Each topic's weights over all terms: their number, and their sum."""
+    """The weight of every term in every topic."""
     model, _, terms = lda_of(spark, sf_dir)
-    return T.topic_top_terms(model, terms, len(terms)).groupBy("topic").agg(
-        F.count_distinct("term").alias("terms"), F.round(F.sum("weight"), 6).alias("total"))
+    return T.topic_top_terms(model, terms, len(terms)).select("topic", "term", F.round("weight", 7).alias("weight"))
 
 
 @query
 def topic_top_terms(spark, sf_dir):
-    """What any ranking must show: weights that do not rise, terms of the vocabulary."""
-    docs = landed_tokens(spark, sf_dir)
-    vocab = T.vocabulary(docs, **VOCABULARY)
-    terms = terms_of(docs)
-    tops = cut_lineage(T.topic_top_terms(T.fit_lda(T.term_vectors(docs, terms).select("features"), 5), terms, 10))
-    before = F.lag("weight").over(Window.partitionBy("topic").orderBy("rank"))
-    return tops.withColumn("falls", F.coalesce(F.col("weight") <= before, F.lit(True))).join(
-        vocab.select("term", F.lit(True).alias("known")), "term", "left").select(
-        "topic", "rank", "falls", F.coalesce("known", F.lit(False)).alias("known"))
+    model, _, terms = lda_of(spark, sf_dir)
+    return T.topic_top_terms(model, terms, 10).withColumn("weight", F.round("weight", 7))
 
 
 @query
 def dominant_topic(spark, sf_dir):
     model, vectors, _ = lda_of(spark, sf_dir)
     found = T.dominant_topic(model, vectors, "doc_id")
-    return found.select("doc_id", F.col("Topic_Label").isNotNull().alias("has_topic"),
-                        F.round("total", 6).alias("total"), (F.col("share") >= 0.2 - 1e-9).alias("largest"))
+    return found.withColumns({"share": F.round("share", 6), "total": F.round("total", 6)})
 
 
 @query
 def select_k(spark, sf_dir):
+    """Coherence per number of topics, and which one is chosen."""
     docs = landed_tokens(spark, sf_dir)
     table, _ = T.select_k(docs, terms_of(docs), [2, 3, 5], key="doc_id")
-    place = F.row_number().over(Window.orderBy(F.desc(F.round("coherence", 9)), "k"))  # three rows
-    return cut_lineage(table).select("k", F.col("coherence").between(-1, 1).alias("scored"),
-                                     (F.col("chosen") == (place == 1)).alias("rightly"))
+    return table.withColumn("coherence", rounded(F.col("coherence")))
 
 
 # ---- streams ---------------------------------------------------------------

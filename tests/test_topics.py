@@ -1,5 +1,7 @@
 import math
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,6 +75,49 @@ def test_lda_separates_two_subjects(spark):
     assert {frozenset(r.t) for r in tops} == {frozenset(terms[:4]), frozenset(terms[4:])}
 
 
+def test_lda_equals_a_document_by_document_fit(spark):
+    texts = ["ball goal team ball", "vote law court vote bill", "ball law", "team goal goal", "none of them", "bill"] * 3
+    docs = docs_of(spark, texts).repartition(4)
+    terms = ["ball", "goal", "team", "vote", "law", "court", "bill"]
+    k, passes, inner = 2, 4, 3
+    model = T.fit_lda(T.term_vectors(docs, terms), k, passes, inner=inner, tolerance=0.0)
+
+    def slope(x, h=1e-5):  # of the log-gamma function
+        return (math.lgamma(x + h) - math.lgamma(x - h)) / (2 * h)
+
+    counts = T.first_counts(k, len(terms), 42).tolist()
+    for _ in range(passes):
+        topics = [[math.exp(slope(c) - slope(sum(row))) for c in row] for row in counts]
+        after = [[1 / k] * len(terms) for _ in range(k)]
+        for text in texts:
+            words = [terms.index(w) for w in text.split() if w in terms]
+            gamma = [1 / k + len(words) / k] * k
+            for step in range(inner + 1):
+                theta = [math.exp(slope(g) - slope(sum(gamma))) for g in gamma]
+                share = [[theta[t] * topics[t][w] for t in range(k)] for w in words]
+                share = [[x / sum(row) for x in row] for row in share]
+                if step < inner:
+                    gamma = [1 / k + sum(row[t] for row in share) for t in range(k)]
+            for w, row in zip(words, share):
+                for t in range(k):
+                    after[t][w] += row[t]
+        counts = after
+    assert model.counts == pytest.approx(np.array(counts), rel=1e-5)
+    assert T.digamma(np.array([0.1, 1.0, 50.0])) == pytest.approx([slope(x) for x in (0.1, 1.0, 50.0)], rel=1e-6)
+    assert T.log_gamma(np.array([0.1, 1.0, 50.0])) == pytest.approx([math.lgamma(x) for x in (0.1, 1.0, 50.0)], abs=1e-9)
+
+
+def test_lda_bound_never_falls(spark):
+    rng = random.Random(1)
+    groups = [[f"{g}{x}" for x in "abcdefgh"] for g in "pqr"]
+    texts = [" ".join(rng.choices(groups[i % 3], k=25) + rng.choices(sum(groups, []), k=3)) for i in range(120)]
+    docs = docs_of(spark, texts)
+    terms = sorted({t for r in docs.collect() for t in r.tokens})
+    model = T.fit_lda(T.term_vectors(docs, terms), 3, 15, inner=200, tolerance=1e-9)
+    assert len(model.bounds) == 15
+    assert all(b >= a - 1e-6 * abs(a) for a, b in zip(model.bounds, model.bounds[1:]))
+
+
 def test_documents_without_terms_keep_a_row(spark):
     docs = docs_of(spark, ["ball goal ball", "vote law vote", "unknown words", ""] * 5)
     terms = ["ball", "goal", "vote", "law"]
