@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from html.entities import name2codepoint
 
 from pyspark.sql import Column, functions as F
@@ -59,16 +60,27 @@ def undo_entities(c: Column) -> Column:
         points = F.lpad(F.hex(F.when(good, code).otherwise(F.lit(0xFFFD))), 8, "0")
         return F.decode(F.unhex(points), "UTF-32")
 
-    def undone(part: Column) -> Column:
-        name = F.regexp_extract(part, r"(?s)^(#[0-9]{1,9}|#[xX][0-9a-fA-F]{1,7}|[A-Za-z][A-Za-z0-9]*);", 1)
+    def named(value: Column, use: Callable[[Column], Column]) -> Column:
+        """``use(value)`` with the value worked out once, however often it is mentioned."""
+        return F.get(F.transform(F.array(value), use), F.lit(0))
+
+    def meaning(name: Column) -> Column:
         number = F.when(F.startswith(F.lower(name), F.lit("#x")), F.conv(F.substr(name, F.lit(3)), 16, 10)) \
-            .when(F.startswith(name, F.lit("#")), F.substr(name, F.lit(2))).cast("long")
-        char = F.when(number.isNotNull(), character(number)).otherwise(F.try_element_at(names, name))
-        return F.when(char.isNull(), F.concat(F.lit("&"), part)).otherwise(
-            F.concat(char, F.substr(part, F.length(name) + 2)))
+            .otherwise(F.substr(name, F.lit(2))).cast("long")
+        return F.when(F.startswith(name, F.lit("#")), character(number)).otherwise(F.try_element_at(names, name))
+
+    def undone(part: Column) -> Column:
+        whole = F.concat(F.lit("&"), part)
+        found = F.regexp_extract(part, r"^(#[0-9]{1,9}|#[xX][0-9a-fA-F]{1,7}|[A-Za-z][A-Za-z0-9]*);", 1)
+        return named(found, lambda name: F.when(name == "", whole).otherwise(named(
+            meaning(name), lambda char: F.when(char.isNull(), whole).otherwise(
+                F.concat(char, F.substr(part, F.length(name) + 2))))))
+
+    def all_undone(text: Column) -> Column:
+        return F.array_join(F.transform(
+            F.split(text, "&", -1), lambda part, i: F.when(i == 0, part).otherwise(undone(part))), "")
 
-    # the text is mentioned once, so what made it is not repeated
-    return F.array_join(F.transform(F.split(c, "&", -1), lambda part, i: F.when(i == 0, part).otherwise(undone(part))), "")
+    return named(c, lambda text: F.when(F.contains(text, F.lit("&")), all_undone(text)).otherwise(text))
 
 
 HIDDEN_MARKUP = (
