@@ -17,7 +17,7 @@ from newsgraph.operators import (
 from newsgraph.operators.panel import country_month_panel
 from newsgraph.schema import CONTEXT_CODES, FILTER_CODES, MANIFEST_SCHEMA, REQUIRED_COLUMNS, TONE_COLUMNS
 from newsgraph.session import cut_lineage, scratch_path, ship_package
-from newsgraph.sources import archive as A, files as FS
+from newsgraph.sources import archive as A, archive_source as AS, files as FS
 
 ORDER = "path string, line_no long"
 ORDER_COLUMNS = ["path", "line_no"]
@@ -69,16 +69,17 @@ def extract(spark: SparkSession, landing: str, raw: str, manifest: str, start: s
         FS.write_manifest(spark.createDataFrame([], MANIFEST_SCHEMA), manifest, "overwrite")
         FS.drop_folder(spark, raw)
 
-    # one pass over the archives: matches, and a row without fields per broken file
-    archives = A.of_days(spark, landing, days, daily_time)
+    # one pass over the archives due: matches, and a row without fields per file, sound or broken
+    due = [r[0] for r in days.select("timestamp_queried").collect()]  # one per day
+    lines = AS.scan_archives(spark, landing, daily_time, legacy_quotes).where(F.col("stamp").isin(due))
     staged = scratch_path(spark, "matched")
-    A.matching_or_broken(A.archive_lines(archives, legacy_quotes), codes).write.parquet(staged)
+    A.matching_or_marked(lines, codes, legacy_quotes).write.parquet(staged)
     found = spark.read.parquet(staged)
-    matched = A.of_sound_files(found)
+    matched = A.of_sound_files(found.where("state <> 'end'"))
     FS.write_raw_by_stamp(matched, raw, M.file_stamp(F.col("path")), ORDER_COLUMNS)
 
-    stamp = M.file_stamp(F.col("path")).alias("timestamp_queried")
-    sound = archives.select(stamp).join(found.where("broken").select(stamp), "timestamp_queried", "left_anti")
+    marked = lambda state: found.where(F.col("state") == state).select(F.col("stamp").alias("timestamp_queried"))
+    sound = marked("end").join(marked("broken"), "timestamp_queried", "left_anti")
     failed = days.join(sound, "timestamp_queried", "left_anti")
     rows = cut_lineage(M.extraction_manifest(days, matched, failed, F.substring(M.file_stamp(F.col("path")), 1, 8)))
     FS.write_commits(rows.where("status = 'ok'"), raw)

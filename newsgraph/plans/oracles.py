@@ -705,6 +705,8 @@ ORACLES |= {
 ORACLES |= {
     "stream_ingest": """SELECT event_type, count(*) AS n, min(event_id) AS first_id, max(ts) AS last_ts
         FROM events GROUP BY 1""",
+    "stream_archive_scan": f"""WITH {GKG} SELECT GKGRECORDID, DATE, SourceCommonName,
+        DocumentIdentifier, Themes, V2Themes, V2Locations, V2Tone FROM gkg WHERE {SUBSTRING_HIT}""",
     "stream_dedupe": "SELECT event_id, ts, event_type FROM events",
     "stream_daily_counts": "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1",
     "stream_manifest": "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1",

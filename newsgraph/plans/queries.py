@@ -17,7 +17,7 @@ from newsgraph.operators.summary import rounded
 from newsgraph.plans import flows, views as V
 from newsgraph.schema import FILTER_CODES, RAW_COLUMNS, TONE_COLUMNS
 from newsgraph.session import cut_lineage, scratch_path
-from newsgraph.sources import archive as A, files as FS
+from newsgraph.sources import archive as A, archive_source as AS, files as FS
 from newsgraph.streaming import feed as ST
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,7 +52,7 @@ def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gkg_archive_scan(spark, sf_dir):
     folder = scratch_path(spark, "landing")
     A.land(A.pack_archives(V.gkg(spark, sf_dir), F.concat(F.lit("202306"), F.lpad(F.col("_pos") % 28 + 1, 2, "0"))), folder)
-    kept = C.theme_filter(A.well_formed(A.archive_lines(A.read_archives(spark, folder, "121500"))))
+    kept = C.theme_filter(A.well_formed(AS.fields_of(AS.scan_archives(spark, folder, "121500"))))
     return kept.select("GKGRECORDID", "DATE", "SourceCommonName", "DocumentIdentifier",
                        "Themes", "V2Themes", "V2Locations", "V2Tone")
 
@@ -680,6 +680,20 @@ def stream_ingest(spark, sf_dir):
         F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id"), F.max("ts").alias("last_ts"))
 
 
+@query
+def stream_archive_scan(spark, sf_dir):
+    """Archives of the derived records in two deliveries, the later one with earlier days, and a restart between them."""
+    folder, out, marks = (scratch_path(spark, n) for n in ("landing", "ingested", "progress"))
+    number = F.col("_pos") % 28 + 1
+    files = cut_lineage(A.pack_archives(V.gkg(spark, sf_dir), F.concat(F.lit("202306"), F.lpad(number, 2, "0"))))
+    odd = F.substring("name", 7, 2).cast("int") % 2 == 1
+    for part in (~odd, odd):
+        A.land(files.where(part), folder)
+        ST.ingest(ST.landed_archives(spark, folder, windowDays="31"), out, marks)
+    return spark.read.parquet(out).select("GKGRECORDID", "DATE", "SourceCommonName", "DocumentIdentifier",
+                                          "Themes", "V2Themes", "V2Locations", "V2Tone")
+
+
 @query
 def stream_daily_counts(spark, sf_dir):
     path, schema = land_events(spark, sf_dir)

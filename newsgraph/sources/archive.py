@@ -32,19 +32,6 @@ def read_archives(spark: SparkSession, path: str, daily_time: str | None = None)
             .option("recursiveFileLookup", True).load(path).select("path", "content"))
 
 
-def of_days(spark: SparkSession, path: str, days: DataFrame, daily_time: str | None = None) -> DataFrame:
-    """Archives (path, content) whose name carries a ``timestamp_queried`` of ``days``.
-
-    Names are matched first, without opening a file; only the files found are then read. A day may
-    have several, which differ behind the stamp.
-    """
-    names = read_archives(spark, path, daily_time).select("path", file_stamp(F.col("path")).alias("timestamp_queried"))
-    found = [r["path"] for r in names.join(days.select("timestamp_queried"), "timestamp_queried", "left_semi").collect()]
-    if not found:
-        return spark.createDataFrame([], "path string, content binary")
-    return spark.read.format("binaryFile").load(found).select("path", "content")
-
-
 def _unzip(legacy_quotes: bool):
     def lines(batches):
         csv.field_size_limit(2**31 - 1)
@@ -111,11 +98,8 @@ def malformed(lines: DataFrame) -> DataFrame:
                     F.array_join("fields", "\t").alias("line")))
 
 
-def matching_or_broken(lines: DataFrame, codes: Sequence[str]) -> DataFrame:
-    """Well-formed records that mention a code, and one row marked ``broken`` per unreadable file.
-
-    A file may turn out broken after its first lines; ``of_sound_files`` drops those.
-    """
+def _matching(lines: DataFrame, codes: Sequence[str]) -> DataFrame:
+    """Well-formed records that mention a code, and what has no fields, marked ``broken``."""
     named = lines.select("*", *[F.get("fields", F.lit(i)).alias(c) for i, c in enumerate(RAW_COLUMNS)])
     broken = F.col("fields").isNull()
     match = (F.size("fields") == len(RAW_COLUMNS)) & mentions_any(
@@ -123,6 +107,21 @@ def matching_or_broken(lines: DataFrame, codes: Sequence[str]) -> DataFrame:
     return named.where(broken | match).withColumn("broken", broken).drop("fields")
 
 
+def matching_or_broken(lines: DataFrame, codes: Sequence[str]) -> DataFrame:
+    """Well-formed records that mention a code, and one row marked ``broken`` per unreadable file.
+
+    A file may turn out broken after its first lines; ``of_sound_files`` drops those.
+    """
+    return _matching(lines, codes)
+
+
+def matching_or_marked(scanned: DataFrame, codes: Sequence[str], legacy_quotes: bool = False) -> DataFrame:
+    """The same for ``scan_archives``, with stamp and state: the last row of every file stays."""
+    fields = F.split("line", "\x1f" if legacy_quotes else "\t", -1)
+    found = _matching(scanned.select("path", "stamp", "line_no", "state", fields.alias("fields")), codes)
+    return found.withColumn("broken", F.col("state") == "broken")
+
+
 def file_set(path: Column) -> Column:
     """What stands or falls together: the files of one stamp, or a file whose name has none."""
     stamp = file_stamp(path)

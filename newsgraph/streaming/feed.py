@@ -13,11 +13,8 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.types import StructType
 
 from newsgraph.operators.clean import theme_filter
-from newsgraph.sources.archive import archive_lines, well_formed
-
-# The columns of Spark's binary file source
-BINARY_FILE = "path string, modificationTime timestamp, length long, content binary"
-
+from newsgraph.sources.archive import well_formed
+from newsgraph.sources.archive_source import fields_of, stream_archives
 
 def landed(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet",
            files_per_batch: int | None = None, **options) -> DataFrame:
@@ -29,17 +26,13 @@ def landed(spark: SparkSession, path: str, schema: StructType, fmt: str = "parqu
 
 
 def landed_archives(spark: SparkSession, path: str, daily_time: str | None = "121500",
-                    codes: list[str] | None = None, files_per_batch: int = 1000) -> DataFrame:
-    """Matching records of zip archives as they land.
+                    codes: list[str] | None = None, **options) -> DataFrame:
+    """Matching records of zip archives as they land, with path and line as order.
 
-    ``daily_time`` keeps the one file of each day whose name carries that time.
+    ``daily_time`` keeps the files of each day whose name carries that time; others are not opened.
+    ``windowDays`` says how many days a file may land after a newer one.
     """
-    names = f"*{daily_time}.*zip" if daily_time else "*.zip"
-    files = (spark.readStream.format("binaryFile").schema(BINARY_FILE).option("pathGlobFilter", names)
-             .option("maxFilesPerTrigger", files_per_batch).load(path))
-    if daily_time:
-        files = files.where(F.col("path").rlike(rf"/[0-9]{{8}}{daily_time}\.[^/]*$"))
-    lines = well_formed(archive_lines(files.select("path", "content")))
+    lines = well_formed(fields_of(stream_archives(spark, path, daily_time, **options)))
     return theme_filter(lines, codes) if codes else theme_filter(lines)
 
 
