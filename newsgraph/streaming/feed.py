@@ -15,6 +15,7 @@ from pyspark.sql.types import StructType
 from newsgraph.operators.clean import theme_filter
 from newsgraph.sources.archive import well_formed
 from newsgraph.sources.archive_source import fields_of, stream_archives
+from newsgraph.streaming.deltas import BATCH, COMPACT_EVERY, DeltaTable
 
 def landed(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet",
            files_per_batch: int | None = None, **options) -> DataFrame:
@@ -80,29 +81,31 @@ def daily_counts(stream: DataFrame, time: str, delay: str) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n")).select(utc_day(F.col("window.start")).alias("day"), "n"))
 
 
-def upsert_by_batch(out: str) -> Callable[[DataFrame, int], None]:
-    """A sink that gives each batch its own folder; a replayed batch overwrites itself."""
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-    return write
+def upsert_by_batch(out: str, key: str = "day", compact_every: int = COMPACT_EVERY) -> Callable[[DataFrame, int], None]:
+    """A sink for update mode that keeps the newest row per key; a replayed batch changes nothing."""
+    return DeltaTable(out, lambda rows: _newest(rows, key), compact_every).write
+
+
+def _newest(rows: DataFrame, key: str) -> DataFrame:
+    values = [c for c in rows.columns if c != key]
+    return (rows.groupBy(key).agg(F.max_by(F.struct(*values), BATCH).alias("v"))
+            .select(key, *[F.col(f"v.{c}") for c in values]))
 
 
 def latest(spark: SparkSession, out: str, key: str = "day") -> DataFrame:
     """Newest value per key of a stream in update mode."""
-    rows = spark.read.parquet(out)
-    values = [c for c in rows.columns if c not in (key, "batch")]
-    return (rows.groupBy(key).agg(F.max_by(F.struct(*values), "batch").alias("v"))
-            .select(key, "v.*"))
+    return _newest(DeltaTable(out).read(spark), key).drop(BATCH)
+
 
+def manifest_sink(out: str, day: Column, compact_every: int = COMPACT_EVERY) -> Callable[[DataFrame, int], None]:
+    """Adds up the rows of each batch by day; a replayed batch changes nothing."""
+    table = DeltaTable(out, lambda rows: rows.groupBy("day").agg(F.sum("n").alias("n"), F.max(BATCH).alias(BATCH)), compact_every)
 
-def manifest_sink(out: str, day: Column) -> Callable[[DataFrame, int], None]:
-    """Counts of each batch by day, kept by (day, batch), so that a replay changes nothing."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        counts = batch.groupBy(day.alias("day")).agg(F.count(F.lit(1)).alias("n"))
-        counts.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        table.write(batch.groupBy(day.alias("day")).agg(F.count(F.lit(1)).alias("n")), batch_id)
     return write
 
 
 def stream_manifest(spark: SparkSession, out: str) -> DataFrame:
     """Rows per day over all batches so far."""
-    return spark.read.parquet(out).groupBy("day").agg(F.sum("n").alias("n"))
+    return DeltaTable(out).read(spark).groupBy("day").agg(F.sum("n").alias("n"))
