@@ -32,8 +32,8 @@ ARROW = pa.schema([("path", pa.string()), ("stamp", pa.string()), ("line_no", pa
                    ("line", pa.string()), ("state", pa.string())])
 #: Lines and characters of one batch.
 BATCH_LINES, BATCH_CHARS = 2_000, 4 << 20
-#: Archives smaller than this share a task, up to this size together.
-TASK_BYTES = 16 << 20
+#: Archives smaller than this share a task, up to this size (packed) together.
+TASK_BYTES = 4 << 20
 #: What a damaged archive raises; the last is a place before its start. Errors of the store are not among them.
 UNREADABLE = (zipfile.BadZipFile, zlib.error, EOFError, IndexError, csv.Error, RuntimeError, NotImplementedError,
               pa.ArrowInvalid)
