@@ -138,3 +138,63 @@ def test_lemmas(spark):
     lemmas = spark.createDataFrame([("cats", "cat"), ("cats", "feline")], "form string, lemma string")
     rows = T.lemmatise(docs, lemmas).orderBy("Record_ID").collect()
     assert [r.tokens for r in rows] == [["cat", "sit", "cat"], []]
+
+
+def test_models_of_several_sizes_share_one_pass_each(spark):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices([f"w{x}" for x in range(30)], k=rng.randint(0, 60))) for _ in range(200)]
+    vectors = T.term_vectors(docs_of(spark, texts), [f"w{x}" for x in range(30)]).persist()
+    runs, fit = [], T._sufficient
+    T._sufficient = lambda models: runs.append(len(models)) or fit(models)
+    try:
+        together = T.fit_models(vectors, [2, 5], 3)
+    finally:
+        T._sufficient = fit
+        vectors.unpersist()
+    assert runs == [2, 2, 2]
+    for k, model in zip((2, 5), together):
+        alone = T.fit_lda(T.term_vectors(docs_of(spark, texts), [f"w{x}" for x in range(30)]), k, 3)
+        assert model.counts == pytest.approx(alone.counts) and model.bounds == pytest.approx(alone.bounds)
+
+
+def test_documents_settle_alike_in_any_company():
+    rng = np.random.default_rng(5)
+    lengths = rng.integers(1, 90, 400)
+    terms = np.concatenate([rng.choice(200, n, replace=False) for n in lengths])
+    n = rng.integers(1, 6, len(terms)).astype(float)
+    counts = rng.gamma(0.3, 50, (4, 200)) + 0.25
+    model = T.TopicModel(counts, 0.25, 50, 1e-3)
+    topics = np.exp(T._expected_logs(counts))
+    got = T._settle(lengths, terms, n, topics, model)
+    ends = np.cumsum(lengths)
+    for d in range(0, 400, 7):
+        own, number = terms[ends[d] - lengths[d]:ends[d]], n[ends[d] - lengths[d]:ends[d]]
+        gamma = np.full(4, 0.25 + number.sum() / 4)
+        for _ in range(50):
+            mass = topics[:, own] * np.exp(T.digamma(gamma) - T.digamma(gamma.sum()))[:, None]
+            step = 0.25 + (mass / mass.sum(axis=0) * number).sum(axis=1)
+            moved, gamma = np.abs(step - gamma).mean(), step
+            if moved < 1e-3:
+                break
+        assert got[d] == pytest.approx(gamma, rel=1e-9)
+    x = np.array([0.01, 0.2, 1.0, 7.5, 1e4])
+    assert T.exp_digamma(x) == pytest.approx(np.exp(T.digamma(x)), rel=1e-12, abs=1e-300)
+
+
+def test_window_counts_shuffle_no_occurrences(spark):
+    docs = docs_of(spark, ["a x b y a z c", "b c", "", "x a a b"])
+    groups = spark.createDataFrame([("a", "a"), ("a b", "a"), ("a b", "b"), ("none", "never")], "group string, term string")
+    counts = T.window_counts(docs, groups, 3)
+    assert {r["group"]: r.windows for r in counts.collect()} == {"a": 6, "a b": 8}
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "posexplode" not in plan
+
+
+def test_window_counts_of_rows_that_share_a_key(spark):
+    rows = [("1", ["a", "b", "c", "a"]), ("1", ["a", "b", "c", "a"]), (None, ["a"]), (None, ["c", "c", "a"]), ("2", ["a", "c"])]
+    docs = spark.createDataFrame(rows, "Record_ID string, tokens array<string>")
+    groups = spark.createDataFrame([("a", "a"), ("a c", "a"), ("a c", "c")], "group string, term string")
+    # rows of one key count as one document, as they lie over each other
+    got = {r["group"]: r.windows for r in T.window_counts(docs, groups, 2).collect()}
+    hits = T._shared_windows(docs, groups, 2, "Record_ID").groupBy("group").sum("added").collect()
+    assert got == {r["group"]: r[1] for r in hits}
