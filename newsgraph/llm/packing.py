@@ -87,37 +87,45 @@ def differencing(sizes: np.ndarray, windows: int) -> tuple[np.ndarray, int]:
     """Karmarkar-Karp: the window of each item, and the load of the fullest window."""
     order = np.argsort(-sizes, kind="stable")
     left, right = [-1] * len(sizes), [-1] * len(sizes)  # a node is an item, or two nodes of one window
-    heap = []
-    for rank, item in enumerate(order.tolist()):
-        loads, nodes = np.zeros(windows, np.int64), np.full(windows, -1, np.int64)
-        loads[0], nodes[0] = sizes[item], item
-        heap.append((-int(sizes[item]) if windows > 1 else 0, rank, loads, nodes))
+    # loads and nodes of the windows that hold something, fullest first
+    heap = [(-size if windows > 1 else 0, rank, [size], [item])
+            for rank, (size, item) in enumerate(zip(sizes[order].tolist(), order.tolist()))]
     heapq.heapify(heap)
     count = len(order)
     while len(heap) > 1:
         _, _, loads, nodes = heapq.heappop(heap)
         _, _, other, theirs = heapq.heappop(heap)
-        loads, theirs = loads + other[::-1], theirs[::-1]
-        both = np.flatnonzero((nodes >= 0) & (theirs >= 0))
-        left += nodes[both].tolist()
-        right += theirs[both].tolist()
-        nodes = np.maximum(nodes, theirs)
-        nodes[both] = np.arange(len(left) - len(both), len(left))
-        rank = np.argsort(-loads, kind="stable")
-        loads, nodes = loads[rank], nodes[rank]
+        free = windows - len(loads) - len(other)
+        if free >= 0 and len(other) == 1 and other[0] <= loads[-1]:
+            loads += other
+            nodes += theirs
+        else:
+            if free >= 0:
+                loads, nodes = loads + other[::-1], nodes + theirs[::-1]
+            else:  # the fullest of one meets the emptiest of the other
+                alone, shared = len(loads) + free, []
+                for node, their in zip(nodes[alone:], theirs[::-1]):
+                    shared.append(len(left))
+                    left.append(node)
+                    right.append(their)
+                nodes = nodes[:alone] + shared + theirs[::-1][len(shared):]
+                met = [a + b for a, b in zip(loads[alone:], other[::-1])]
+                loads = loads[:alone] + met + other[::-1][len(met):]
+            rank = sorted(range(len(loads)), key=loads.__getitem__, reverse=True)
+            loads, nodes = [loads[i] for i in rank], [nodes[i] for i in rank]
         count += 1
-        heapq.heappush(heap, (int(loads[-1] - loads[0]), count, loads, nodes))
+        heapq.heappush(heap, ((loads[-1] if len(loads) == windows else 0) - loads[0], count, loads, nodes))
     _, _, loads, nodes = heap[0]
     place = np.zeros(len(sizes), np.int64)
-    for window, node in enumerate(nodes.tolist()):
-        stack = [node] if node >= 0 else []
+    for window, node in enumerate(nodes):
+        stack = [node]
         while stack:
             node = stack.pop()
             if left[node] < 0:
                 place[node] = window
             else:
                 stack += (left[node], right[node])
-    return place, int(loads[0])
+    return place, loads[0]
 
 
 def near_equal(sizes: np.ndarray, capacity: int) -> np.ndarray:

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 #: Bytes that a worker's memory of words may take, about. When half is full, the words of the half
 #: before are forgotten, unless they were met since.
@@ -57,6 +57,10 @@ class WordCodes:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
+        #: For parts, which are cut and in normal form already: the same merges, no patterns before them.
+        self.merges = Tokenizer(self.tokenizer.model)
+        self.merges.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
         self.size = 0
@@ -80,7 +84,7 @@ class WordCodes:
         """Parts go to the tokenizer as one text; each ends with the token that carries the mark."""
         for low in range(0, len(parts), _CALL):
             some = parts[low:low + _CALL]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.merges.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) != len(some):
                 self._encode(some)
@@ -114,20 +118,23 @@ class WordCodes:
         if self.size > MEMORY_BYTES // 2:
             self.before, self.known, self.size = self.known, {}, 0
         plain, other, split = set(), set(), []
+        get = self.known.get
         for text in texts:
             text = text.decode("utf-8", "replace")
-            if self._plain(text):
-                split.append(self._words(text))
-                plain.update(split[-1])
+            is_plain = self._plain(text)
+            words = self._words(text) if is_plain else re.split("[ \t\n\x0b\x0c\r]+", text)
+            found = list(map(get, words))
+            if None in found:
+                (plain if is_plain else other).update([w for w, code in zip(words, found) if code is None])
+                split.append((words, found))
             else:
-                split.append(re.split("[ \t\n\x0b\x0c\r]+", text))
-                other.update(split[-1])
-        plain = plain.difference(self.known)
-        other = other.difference(self.known, plain)
+                split.append((None, b"".join(found)))
+        other -= plain
         if plain or other:
             self._learn(plain, other)
         code = self.known.__getitem__
-        return [b"".join(map(code, words)) for words in split]
+        return [found if words is None else b"".join([code(w) if c is None else c for w, c in zip(words, found)])
+                for words, found in split]
 
 
 _CODES: dict[str, WordCodes] = {}

@@ -162,3 +162,43 @@ def test_differencing_is_near_equal():
 def test_kept_ids(spark):
     got = P.token_pieces(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), P.tokenizer_path(), keep_ids=True).first()
     assert got["ids"][-1] == 1 and len(got["ids"]) == got.length and re.fullmatch(r"\d+", str(got.ids_crc32))
+
+
+def dense_differencing(sizes, windows):
+    """Each partial partition with a place for every window, as the method is written down."""
+    heap = [(-(s if windows > 1 else 0), rank, [s] + [0] * (windows - 1), [[i]] + [[] for _ in range(windows - 1)])
+            for rank, (s, i) in enumerate(sorted(((int(s), i) for i, s in enumerate(sizes)), key=lambda x: -x[0]))]
+    count = len(heap)
+    while len(heap) > 1:
+        heap.sort(key=lambda x: x[:2])
+        (_, _, a, items), (_, _, b, others) = heap[:2]
+        both = sorted(zip([x + y for x, y in zip(a, b[::-1])], [x + y for x, y in zip(items, others[::-1])]), key=lambda x: -x[0])
+        a, items = map(list, zip(*both))
+        count += 1
+        heap = [*heap[2:], (a[-1] - a[0], count, a, items)]
+    place = {i: w for w, items in enumerate(heap[0][3]) for i in items}
+    return [place[i] for i in range(len(sizes))], heap[0][2][0]
+
+
+def test_differencing_holds_only_windows_in_use(monkeypatch):
+    rng = np.random.default_rng(8)
+    cases = [(rng.integers(1, most, rng.integers(1, 40)), int(rng.integers(1, 44))) for most in (4, 30, 513) for _ in range(40)]
+    expected = [dense_differencing(*case) for case in cases]
+    monkeypatch.setattr(P.np, "full", None)  # no dense array per item
+    for case, (place, load) in zip(cases, expected):
+        got = P.differencing(*case)
+        assert got[0].tolist() == place and got[1] == load
+
+
+def test_parts_go_to_the_merges_alone():
+    from newsgraph.llm.wordcodes import WordCodes, tokenizer_path
+
+    text = "Straße déjà-vu 12 it's o'clock x2y ... naïve_case ÀÉ ½ «quoted» end.".encode()
+    other = "ﬁ Ωmega 漢字 <|endoftext|> İx".encode()
+    codes = WordCodes(tokenizer_path())
+    full = codes.tokenizer
+    whole = [np.array(full.encode(t.decode(), add_special_tokens=False).ids, "<u4").tobytes() for t in (text, other)]
+    assert codes([text, other, text]) == [whole[0], whole[1], whole[0]]
+    codes.forget()
+    codes.tokenizer = None  # its patterns are not run again over parts that are cut already
+    assert codes([text, b"", text]) == [whole[0], b"", whole[0]]
